@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomlog.functions.titles import empty_to_null
-
 LIBRARY_ROOT = "library/"
 # Files the jobs write themselves, at the library root only.
 GENERATED_FILES = ("index.md", "CHANGELOG.md")
@@ -31,7 +29,13 @@ def article_body(text: Column) -> Column:
 
 def field(block: Column, name: str) -> Column:
     """First `name: value` line of a front matter block, value trimmed; absent or empty -> NULL."""
-    return empty_to_null(F.trim(F.regexp_extract(block, rf"(?md)^{name}:[^\S\n]*(.+)$", 1)))
+    return _first(block, rf"(?md)^{name}:[^\S\n]*(\S.*)$")
+
+
+def _first(text: Column, pattern: str) -> Column:
+    """First group of the first match, trimmed; NULL without one. Refers to `text` once, so
+    nested uses stay small when Spark pushes a filter through them."""
+    return F.trim(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0)))
 
 
 def first_word(value: Column) -> Column:
@@ -40,7 +44,7 @@ def first_word(value: Column) -> Column:
 
 def field_anywhere(text: Column, name: str) -> Column:
     """Looser reading: any line of the file, and an empty value takes the next line."""
-    return empty_to_null(F.trim(F.regexp_extract(text, rf"(?md)^{name}:\s*(.+)$", 1)))
+    return _first(text, rf"(?md)^{name}:\s*(\S.*)$")
 
 
 def share_flag(block: Column, strict: bool = False) -> Column:
@@ -55,17 +59,16 @@ def share_flag(block: Column, strict: bool = False) -> Column:
 def list_field(block: Column, name: str) -> Column:
     """`name: [a, b]` as an array without blank members; absent -> empty array."""
     inner = F.regexp_extract(block, rf"(?md)^{name}:[^\S\n]*\[([^\]\n]*)\]", 1)
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ttl_expiry(updated: Column, ttl: Column) -> Column:
     """Date on which an article runs out; `stable`, absent or odd TTLs never do. Only the
     first word of the value counts."""
-    ttl = first_word(ttl)
-    n = F.regexp_extract(ttl, r"\A(\d{1,4})(?:w|mo|y)\z", 1).try_cast("int")
-    return (F.when(F.endswith(ttl, F.lit("w")), F.date_add(updated, n * 7))
-            .when(F.endswith(ttl, F.lit("mo")), F.add_months(updated, n))
-            .when(F.endswith(ttl, F.lit("y")), F.add_months(updated, n * 12)))
+    span = ttl
+    for unit, word in (("w", "weeks"), ("mo", "months"), ("y", "years")):
+        span = F.regexp_replace(span, rf"\A(\d{{1,4}}){unit}(?:\s.*)?\z", f"$1 {word}")
+    return updated + span.try_cast("interval")
 
 
 def display_path(path: Column, root: str = LIBRARY_ROOT) -> Column:
@@ -87,7 +90,7 @@ def slug_valid(stem: Column) -> Column:
 def wiki_links(text: Column) -> Column:
     """Targets of `[[slug]]` links, each once; alias and anchor parts dropped."""
     raw = F.regexp_extract_all(text, F.lit(r"\[\[([^\]\[|#\n]+)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(raw, F.trim), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def is_generated(rel: Column) -> Column:

@@ -22,13 +22,14 @@ def changelog_order(entries: DataFrame) -> DataFrame:
 def changelog(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """Changelog documents as lines (brain, section_date, run_id, rank, seq, line).
 
-    entries: brain, kind, section_date, run_id, seq, action, path, note (see `applied_log`);
+    entries: brain, kind, run_id, seq, action, path, note (see `applied_log`);
     runs: brain, kind, section_date, run_id, hm, summary, one row per run. Sorted by date
     descending, then run_id, rank, seq, the lines are the document. Synthesis lists edits,
     skips, then the summary; a review without edits is one line with its first skip reason.
     """
     keys = ["brain", "section_date", "run_id"]
-    timed = entries.join(runs.select("brain", "run_id", "hm"), ["brain", "run_id"])
+    timed = (entries.select("brain", "kind", "run_id", "seq", "action", "path", "note")
+             .join(runs.select("brain", "run_id", "section_date", "hm"), ["brain", "run_id"]))
     compiling, skip = F.col("kind") == "compile", F.col("action") == "skip"
     tick = F.concat(F.lit("- `"), F.col("hm"), F.lit(f"` {DASH} "))
     verb = F.when(compiling, F.col("action")).otherwise(F.concat(F.lit("supervisor "), F.col("action")))

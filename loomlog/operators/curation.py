@@ -130,11 +130,12 @@ def missing_backlinks(catalog: DataFrame) -> DataFrame:
         .select("brain", "title", "n_articles", "target_path", (F.size("_t") > GRAM).alias("_long"),
                 F.array_join(F.slice("_t", 1, GRAM), " ").alias("_key")))
     words = catalog.select("brain", "path", _tokens(fm.article_body(F.col("content"))).alias("_w"))
-    runs = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.size("_w") >= n,
-               F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1),
-                           lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")))
-        .otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)])))
+
+    def runs_of(n):
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")))
+
+    runs = F.array_distinct(F.flatten(F.array_compact(F.array(*[runs_of(n) for n in range(1, GRAM + 1)]))))
     found = (words.select("brain", "path", F.explode(runs).alias("_key"))
              .join(titles, ["brain", "_key"]).drop("_key"))
     short, long = found.filter("not _long"), found.filter("_long")

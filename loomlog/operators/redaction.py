@@ -42,10 +42,13 @@ def redaction_audit(df: DataFrame, col: str, by: Sequence[str], rules: tuple[Rul
 def findings(df: DataFrame, col: str, keys: Sequence[str], rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Every match of every rule on the raw text (keys.., label, value)."""
     x = F.col(col)
-    rows = F.flatten(F.array(*[
-        F.when(may_match(x, (r,)), F.transform(F.regexp_extract_all(x, F.lit(r.java), F.lit(0)),
-                                               lambda v, r=r: F.struct(F.lit(r.label).alias("label"), v.alias("value"))))
-        .otherwise(F.array().cast("array<struct<label:string,value:string>>")) for r in rules]))
+
+    def hits(rule):
+        all_hits = F.regexp_extract_all(x, F.lit(rule.java), F.lit(0))
+        labelled = F.transform(all_hits, lambda v: F.struct(F.lit(rule.label).alias("label"), v.alias("value")))
+        return F.when(may_match(x, (rule,)), labelled)
+
+    rows = F.flatten(F.array_compact(F.array(*[hits(r) for r in rules])))
     return (df.filter(may_match(x, rules)).select(*keys, F.explode(rows).alias("_f"))
             .select(*keys, "_f.label", "_f.value"))
 

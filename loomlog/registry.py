@@ -1097,7 +1097,10 @@ def _once_per_session_stream(spark, d):
     return spark.read.parquet(folder).select("session_id")
 
 
-@register("reclassify_stream")
+@register("reclassify_stream", """
+SELECT session_id, event_id, was, scope, CASE scope WHEN 'nolog' THEN 'purge' ELSE 'migrate' END AS action
+FROM (SELECT *, lag(scope) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS was FROM {event_scopes}) q
+WHERE scope <> was AND (scope = 'nolog' OR was = 'unset')""")
 def _reclassify_stream(spark, d):
     return streams.reclassified(spark, lambda s: CONFIG.route(_stream_events(streams.stream_table(s, f"{d}/events.parquet"))))
 

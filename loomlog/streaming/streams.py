@@ -17,10 +17,16 @@ from loomlog.session import ROCKSDB, fresh_folder
 # Tasks get the classes of this module by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BATCH_BYTES = "1g"
+
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table or file as a stream with the schema it has."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """Parquet table or file as a stream with the schema it has. The last character is given
+    as a pattern, because Spark streams a single file only through one. A trigger takes at
+    most `BATCH_BYTES`, also when a long backlog is run at once."""
+    path = path.rstrip("/")
+    return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", BATCH_BYTES)
+            .parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def run_once(df: DataFrame, spark: SparkSession, name: str, by: Sequence[str] = ()) -> str:
@@ -60,7 +66,12 @@ def closed_days(events: DataFrame) -> DataFrame:
 
 class ScopeChange(StatefulProcessor):
     """Keeps a session's scope; a change out of `unset` asks for a migration, one to `nolog`
-    for a purge. State is one string per session, so a busy session costs no memory."""
+    for a purge.
+
+    State is one string per session. The rows of a session within one trigger are put in
+    time order, so they are held at once: three narrow columns of at most `BATCH_BYTES` of
+    events.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._scope = handle.getValueState("scope", "scope string")
@@ -68,20 +79,17 @@ class ScopeChange(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self._scope.get() if self._scope.exists() else None
         before = stored[0] if stored else None
-        for batch in rows:
-            batch = batch.sort_values(["ts", "event_id"])
-            out = []
-            for event_id, scope in zip(batch["event_id"], batch["scope"]):
-                if before is not None and scope != before:
-                    if scope == "nolog":
-                        out.append((key[0], event_id, before, scope, "purge"))
-                    elif before == "unset":
-                        out.append((key[0], event_id, before, scope, "migrate"))
-                before = scope
-            if out:
-                yield pd.DataFrame(out, columns=["session_id", "event_id", "was", "scope", "action"])
-        if before is not None:
-            self._scope.update((before,))
+        seen = pd.concat([r[["event_id", "ts", "scope"]] for r in rows]).sort_values(["ts", "event_id"])
+        was = seen["scope"].shift()
+        was.iloc[0] = before
+        purge = (seen["scope"] == "nolog") & was.notna() & (was != "nolog")
+        migrate = (was == "unset") & ~seen["scope"].isin(["unset", "nolog"])
+        self._scope.update((seen["scope"].iloc[-1],))
+        hit = purge | migrate
+        if hit.any():
+            yield pd.DataFrame({"session_id": key[0], "event_id": seen["event_id"][hit], "was": was[hit],
+                                "scope": seen["scope"][hit],
+                                "action": purge[hit].map({True: "purge", False: "migrate"})})
 
     def close(self) -> None:
         pass
