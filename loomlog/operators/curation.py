@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import front_matter as fm
+from loomlog.functions.arrays import explode_rows
 from loomlog.functions.titles import normalize_cwd
 
 # Accepted front matter.
@@ -47,15 +48,17 @@ def thin_articles(catalog: DataFrame, limits: dict[str, int] = THIN_WORDS) -> Da
 
 def person_data_hits(catalog: DataFrame) -> DataFrame:
     """E-mail and phone spans per article; articles without any are left out."""
-    return (catalog.withColumn("emails", fm.email_hits(F.col("content")))
-            .withColumn("phones", fm.phone_hits(F.col("content")))
+    return (catalog.withColumn("_body", fm.article_body(F.col("content")))
+            .withColumn("emails", fm.email_hits(F.col("_body")))
+            .withColumn("phones", fm.phone_hits(F.col("_body")))
             .filter("emails + phones > 0").select("brain", "path", "emails", "phones"))
 
 
 def share_review(catalog: DataFrame) -> DataFrame:
     """Proposed share decision: strip, confirm, candidate or keep."""
     hits = F.col("_hits") > 0
-    counted = catalog.withColumn("_hits", fm.email_hits(F.col("content")) + fm.phone_hits(F.col("content")))
+    counted = (catalog.withColumn("_body", fm.article_body(F.col("content")))
+               .withColumn("_hits", fm.email_hits(F.col("_body")) + fm.phone_hits(F.col("_body"))))
     private = F.col("brain") == "private"
     decision = (F.when(F.col("share") & (hits | private), "strip").when(F.col("share"), "confirm")
                 .when(F.col("category").isin(*SHARE_CATEGORIES) & ~hits & ~private, "candidate").otherwise("keep"))
@@ -80,7 +83,7 @@ def front_matter_lint(catalog: DataFrame) -> DataFrame:
         F.when(F.col("created") > F.col("updated"), F.lit("created_after_updated")),
         F.when(~fm.slug_valid(F.col("stem")), F.lit("bad_slug")),
     ]
-    return catalog.select("brain", "path", F.explode(F.array_compact(F.array(*checks))).alias("violation"))
+    return explode_rows(catalog, ["brain", "path"], F.array_compact(F.array(*checks)), "violation")
 
 
 # ---- links ----
@@ -91,7 +94,7 @@ def link_edges(catalog: DataFrame) -> DataFrame:
                        lambda s: F.struct(s.alias("target"), F.lit("wiki").alias("kind")))
     related = F.transform(F.array_distinct("related"),
                           lambda s: F.struct(s.alias("target"), F.lit("related").alias("kind")))
-    return (catalog.select("brain", "path", F.explode(F.concat(wiki, related)).alias("_e"))
+    return (explode_rows(catalog, ["brain", "path"], F.concat(wiki, related), "_e")
             .select("brain", "path", "_e.target", "_e.kind"))
 
 
@@ -131,18 +134,20 @@ def missing_backlinks(catalog: DataFrame) -> DataFrame:
                 F.array_join(F.slice("_t", 1, GRAM), " ").alias("_key")))
     words = catalog.select("brain", "path", _tokens(fm.article_body(F.col("content"))).alias("_w"))
 
-    def runs_of(n):
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")))
+    def longer(runs, n):
+        """Runs of n words from those of n - 1: each is joined with the word that follows."""
+        return F.filter(F.zip_with(runs, F.slice("_w", n, F.greatest(F.size("_w"), F.lit(1))),
+                                   lambda a, b: F.concat(a, F.lit(" "), b)), lambda r: r.isNotNull())
 
-    runs = F.array_distinct(F.flatten(F.array_compact(F.array(*[runs_of(n) for n in range(1, GRAM + 1)]))))
-    found = (words.select("brain", "path", F.explode(runs).alias("_key"))
+    words = (words.withColumn("_r2", longer(F.col("_w"), 2)).withColumn("_r3", longer(F.col("_r2"), 3)))
+    runs = F.concat("_w", "_r2", "_r3")
+    found = (explode_rows(words, ["brain", "path"], runs, "_key")
              .join(titles, ["brain", "_key"]).drop("_key"))
     short, long = found.filter("not _long"), found.filter("_long")
     spaced = words.select("brain", "path", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_s"))
     checked = (long.join(spaced, ["brain", "path"])
                .filter(F.contains(F.col("_s"), F.concat(F.lit(" "), F.col("title"), F.lit(" ")))).drop("_s"))
-    mentions = short.unionByName(checked).drop("_long")
+    mentions = short.unionByName(checked).drop("_long").distinct()
     # A link means one article, so it names one title.
     named_by_stem = (named.groupBy("brain", F.col("stem").alias("target"))
                      .agg(F.min(F.struct("path", "title")).alias("_m")).select("brain", "target", "_m.title"))
@@ -156,7 +161,7 @@ def missing_backlinks(catalog: DataFrame) -> DataFrame:
 
 def source_uses(catalog: DataFrame) -> DataFrame:
     """Distinct (brain, path, session_id) from the `sources` lists."""
-    return catalog.select("brain", "path", F.explode(F.array_distinct("sources")).alias("session_id"))
+    return explode_rows(catalog, ["brain", "path"], F.array_distinct("sources"), "session_id")
 
 
 def article_provenance(catalog: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.functions.arrays import explode_rows
 from loomlog.functions.front_matter import LIBRARY_ROOT, article_stem, display_path, escapes_root, is_generated
 from loomlog.functions.titles import strip_blanks, truncate_text
 from loomlog.plans.ordered import first_per_key, latest_per_key, previous_value
@@ -59,8 +60,8 @@ def parse_edits(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Edit rows (keys.., kind, seq, action, path, reason, content); content is NULL without
     a body. A review that holds a summary only is one `skip`."""
     block = F.col("_block")
-    rows = (parsed.filter(F.col("status") == "parsed")
-            .select(*keys, "kind", F.posexplode("edit_blocks").alias("seq", "_block"))
+    # Only parsed responses have edit blocks.
+    rows = (explode_rows(parsed, [*keys, "kind"], "edit_blocks", "_block", pos="seq")
             .withColumn("_head", F.split(F.regexp_extract(
                 block, r"(?md)\A@@@\w+[^\S\n]*\n([\s\S]*?)(?:^@@@(?:BODY|END)[^\S\n]*$|\z)", 1), "\n"))
             .withColumn("_body", F.regexp_extract(
@@ -208,5 +209,5 @@ def edit_invariants(versions: DataFrame) -> DataFrame:
         F.when(~missing & ~F.col("created").eqNullSafe(old["created"]), F.lit("created_changed")),
         F.when(~missing & (F.col("updated") < old["updated"]), F.lit("updated_went_back")),
         F.when(~missing & (F.size(F.array_except(old["sources"], "sources")) > 0), F.lit("sources_lost")))
-    return (seen.filter(F.col("action") == "update")
-            .select("brain", "path", "run_id", "seq", F.explode(F.array_compact(checks)).alias("violation")))
+    return explode_rows(seen.filter(F.col("action") == "update"), ["brain", "path", "run_id", "seq"],
+                        F.array_compact(checks), "violation")

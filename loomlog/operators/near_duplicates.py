@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from loomlog.functions.arrays import explode_rows
 from loomlog.functions.front_matter import article_body
 from loomlog.plans.ordered import latest_per_key
 from loomlog.session import fresh_folder
@@ -50,9 +51,11 @@ def _words(text: Column) -> Column:
 
 def _shingles(words: Column) -> Column:
     """Distinct hashes of word triples; shorter texts are one shingle."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))),
-                       lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
-    return F.array_distinct(runs)
+    rest = F.greatest(F.size(words), F.lit(1))
+    pairs = F.zip_with(words, F.slice(words, 2, rest), lambda a, b: F.xxhash64(a, b))
+    triples = F.zip_with(pairs, F.slice(words, 3, rest), lambda h, c: F.when(c.isNotNull(), F.xxhash64(h, c)))
+    return F.coalesce(F.nullif(F.array_compact(F.array_distinct(triples)), F.array().cast("array<bigint>")),
+                      F.array(F.xxhash64(words)))
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -77,20 +80,20 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
     round), until every member has a partner or has led. So a bucket of near-copies takes
     one pass, none is cut short, and who is reported does not depend on bucket size.
     """
-    worded = (catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
-              .filter(F.size("words") > 0))
-    keyed = worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"))
+    worded = catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
+    # The one pass over the texts; every later step reads columns of this table.
+    signed = _saved(worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"),
+                                  _shingles(F.col("words")).alias("shingles"))
+                    .withColumn("keys", band_keys("shingles")), "signatures")
+    keyed = signed.select("brain", "path", "word_key").filter(F.col("word_key") != F.md5(F.lit("")))
     groups = (keyed.groupBy("brain", "word_key")
               .agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count(F.lit(1)).alias("n")))
     copies = (keyed.join(groups.filter("n > 1"), ["brain", "word_key"])
               .select("brain", "path", F.when(F.col("path") == F.col("first"), F.col("last"))
                       .otherwise(F.col("first")).alias("partner"), F.lit(1.0).alias("jaccard")))
     single = groups.select("brain", F.col("first").alias("path"))
-    sets = (worded.join(single, ["brain", "path"], "left_semi")
-            .select("brain", "path", _shingles(F.col("words")).alias("shingles")))
-    # Read by every later step, so it is computed once.
-    signed = _saved(sets.withColumn("keys", band_keys("shingles")), "signatures")
-    members = signed.select("brain", "path", F.posexplode("keys").alias("band", "key"))
+    members = explode_rows(signed.select("brain", "path", "keys").join(single, ["brain", "path"], "left_semi"),
+                           ["brain", "path"], "keys", "key", pos="band")
     sizes = members.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # One more pass over narrow rows instead of a window over whole buckets.
     sized = _saved(members.join(sizes, _BUCKET), "buckets")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.functions.arrays import explode_rows
 from loomlog.functions.redaction import DEFAULT_RULES, Rule, apply_rule, may_match, redact
 
 # Findings that are no secrets.
@@ -35,7 +36,7 @@ def redaction_audit(df: DataFrame, col: str, by: Sequence[str], rules: tuple[Rul
         *[F.sum(f"hits_{n}").alias(f"hits_{n}") for n in range(1, len(rules) + 1)])
     rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(r.label).alias("label"), F.col(f"hits_{n}").alias("hits"))
                      for n, r in enumerate(rules, 1)])
-    return (sums.select(*by, F.explode(F.filter(rows, lambda x: x["hits"] > 0)).alias("_r"))
+    return (explode_rows(sums, list(by), F.filter(rows, lambda x: x["hits"] > 0), "_r")
             .select(*by, "_r.ord", "_r.label", "_r.hits"))
 
 
@@ -49,7 +50,7 @@ def findings(df: DataFrame, col: str, keys: Sequence[str], rules: tuple[Rule, ..
         return F.when(may_match(x, (rule,)), labelled)
 
     rows = F.flatten(F.array_compact(F.array(*[hits(r) for r in rules])))
-    return (df.filter(may_match(x, rules)).select(*keys, F.explode(rows).alias("_f"))
+    return (explode_rows(df.filter(may_match(x, rules)), list(keys), rows, "_f")
             .select(*keys, "_f.label", "_f.value"))
 
 

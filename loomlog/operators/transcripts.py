@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.functions.arrays import explode_rows
 from loomlog.plans.ordered import CHUNK_WIDTH, latest_per_key, running_sum
 
 PLAN_TOOL = "ExitPlanMode"
@@ -161,23 +162,22 @@ def filter_block_rows(blocks: DataFrame, mode: str = "none") -> DataFrame:
 def explode_blocks(entries: DataFrame, keys: list[str]) -> DataFrame:
     """One row per content block (keys.., block_no, type, name, id, body). String content is
     one text block; members that are not objects have no type and their JSON as body."""
-    kept = entries.select(*keys, content_string(F.col("content")).alias("_text"),
-                          content_blocks(F.col("content")).alias("_blocks"))
-    b = F.col("_block")
-    kind = block_field(b, "type")
-    rows = kept.filter("_text is null").select(*keys, F.posexplode("_blocks").alias("block_no", "_block"))
-    body = (F.when(kind == "text", block_field(b, "text"))
-            .when((kind == "tool_use") & (block_field(b, "name") == PLAN_TOOL),
+    kept = entries.select(*keys, content_string(F.col("content")).alias("_text"), "content")
+    blocks = (F.when(F.col("_text").isNotNull(), F.array(F.lit(None).cast("variant")))
+              .otherwise(content_blocks(F.col("content"))))
+    rows = (explode_rows(kept, [*keys, "_text"], blocks, "_block", pos="block_no")
+            .withColumn("type", F.when(F.col("_text").isNotNull(), "text").otherwise(block_field(F.col("_block"), "type")))
+            .withColumn("name", block_field(F.col("_block"), "name")))
+    b, kind = F.col("_block"), F.col("type")
+    body = (F.when(F.col("_text").isNotNull(), F.col("_text"))
+            .when(kind == "text", block_field(b, "text"))
+            .when((kind == "tool_use") & (F.col("name") == PLAN_TOOL),
                   F.coalesce(F.try_variant_get(b, "$.input.plan", "string"), F.lit("")))
             .when(kind == "tool_use", F.to_json(F.try_variant_get(b, "$.input", "variant")))
             .when(kind == "tool_result", F.to_json(F.try_variant_get(b, "$.content", "variant")))
             .otherwise(F.to_json(b)))
-    texts = kept.filter("_text is not null").select(
-        *keys, F.lit(0).alias("block_no"), F.lit("text").alias("type"), F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("string").alias("id"), F.col("_text").alias("body"))
-    return rows.select(*keys, "block_no", kind.alias("type"), block_field(b, "name").alias("name"),
-                       F.coalesce(block_field(b, "id"), block_field(b, "tool_use_id")).alias("id"),
-                       body.alias("body")).unionByName(texts)
+    return rows.select(*keys, "block_no", "type", "name",
+                       F.coalesce(block_field(b, "id"), block_field(b, "tool_use_id")).alias("id"), body.alias("body"))
 
 
 def plan_text(kind: Column, name: Column, body: Column) -> Column:

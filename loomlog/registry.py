@@ -75,7 +75,7 @@ def _list(name: str) -> str:
 
 
 _FM = r"'(?s)\A---\s*\n(.*?)\n---\s*\n'"
-_EMAIL = _q(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}")
+_EMAIL = _q(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}")
 _PHONE = _q(r"\+?[0-9][0-9 ().-]{7,18}[0-9]")
 
 CTES: dict[str, str] = {
@@ -405,7 +405,7 @@ def _filter_tool_blocks(spark, d):
     out = None
     for mode in tr.MODES:
         kept = tr.filter_tool_blocks(entries, mode).select("session_id", "line_no", F.col("sanitized").alias("raw"))
-        back = tr.parse_entries(kept.filter("raw is not null")).filter("is_entry")
+        back = tr.parse_entries(kept)
         rows = tr.explode_blocks(back, ["session_id", "line_no"]).select(
             F.lit(mode).alias("mode"), "session_id", "line_no", "block_no", "type", "name", "body")
         out = rows if out is None else out.unionByName(rows)
@@ -983,7 +983,7 @@ def _implicit_skip(spark, d):
     return ed.parse_edits(parsed, ["run_id", "attempt"]).select("run_id", "attempt", "reason")
 
 
-@register("person_data_hits", f"SELECT * FROM (SELECT brain, path, len(regexp_extract_all(content, {_EMAIL})) AS emails, len(regexp_extract_all(content, {_PHONE})) AS phones FROM {{cat}}) q WHERE emails + phones > 0")
+@register("person_data_hits", f"SELECT * FROM (SELECT brain, path, len(regexp_extract_all(body, {_EMAIL})) AS emails, len(regexp_extract_all(body, {_PHONE})) AS phones FROM {{cat}}) q WHERE emails + phones > 0")
 def _person_data_hits(spark, d):
     return cu.person_data_hits(_catalog(spark, d))
 
@@ -1006,7 +1006,7 @@ def _thin_articles(spark, d):
 @register("share_review", f"""
 SELECT brain, path, CASE WHEN share AND (hits > 0 OR brain = 'private') THEN 'strip' WHEN share THEN 'confirm'
   WHEN category IN ('patterns', 'decisions') AND hits = 0 AND brain <> 'private' THEN 'candidate' ELSE 'keep' END AS decision
-FROM (SELECT *, len(regexp_extract_all(content, {_EMAIL})) + len(regexp_extract_all(content, {_PHONE})) AS hits FROM {{cat}}) q""")
+FROM (SELECT *, len(regexp_extract_all(body, {_EMAIL})) + len(regexp_extract_all(body, {_PHONE})) AS hits FROM {{cat}}) q""")
 def _share_review(spark, d):
     return cu.share_review(_catalog(spark, d))
 

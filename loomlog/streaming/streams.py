@@ -17,7 +17,7 @@ from loomlog.session import ROCKSDB, fresh_folder
 # Tasks get the classes of this module by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
