@@ -8,6 +8,7 @@ stored here.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -182,16 +183,36 @@ def _fill(sql: str, given) -> str:
     return _HOLE.sub(lambda m: given(m.group(1)), marked).replace("\x01", "{").replace("\x02", "}")
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
+# Text tables whose rows cost much more to work on than to move, and the key to spread them by.
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+TEXT_FIXTURES = ("articles", "turns", "transcript_lines")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A given table. With `spread`, a text table stored as fewer splits than there are cores is spread over
+    all of them; larger tables have more splits than cores and are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *SPREAD_KEYS[name])
+    return df
+
+
+def spark_sql(name: str, view) -> str:
+    """Fixture text for Spark; `view` gives the name of a given table."""
     def given(ref: str) -> str:
-        if ref in TABLES:
-            return f"parquet.`{sf_dir}/{ref}.parquet`"
-        return f"({spark_sql(ref, sf_dir)})"
+        return view(ref) if ref in TABLES else f"({spark_sql(ref, view)})"
     return _fill(FIXTURES[name], given)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(name, sf_dir))
+    spread = name in TEXT_FIXTURES
+
+    def view(ref: str) -> str:
+        alias = f"given_{ref}_{int(spread)}_{zlib.crc32(sf_dir.encode()):08x}"
+        table(spark, sf_dir, ref, spread).createOrReplaceTempView(alias)
+        return alias
+    return spark.sql(spark_sql(name, view))
 
 
 def _needed(sql: str, ctes: dict[str, str], out: dict[str, None]) -> None:

@@ -118,43 +118,45 @@ def _tokens(text: Column) -> Column:
 GRAM = 3
 
 
+def _run_hashes(words: Column) -> list[Column]:
+    """Hashes of all word runs of one, two and three words, as arrays by start; positions too
+    near the end hold NULL."""
+    rest = F.greatest(F.size(words), F.lit(1))
+    ones = F.transform(words, lambda a: F.xxhash64(a))
+    twos = F.zip_with(words, F.slice(words, 2, rest), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    threes = F.zip_with(twos, F.slice(words, 3, rest), lambda h, c: F.when(c.isNotNull(), F.xxhash64(h, c)))
+    return [ones, twos, threes]
+
+
 def missing_backlinks(catalog: DataFrame) -> DataFrame:
     """Articles that hold another article's title as a run of words but do not link to it.
 
-    Titles are grouped by their words; a title is looked up by its first words (up to
-    three) among the word runs of every body, which is an equi-join. Longer titles are then
-    checked in full. One row per (article, title): brain, path, title, n_articles, target_path.
+    Titles are grouped by their words; a title is looked up by the hash of its first words
+    (up to three) among the word runs of every body: an equi-join on a number. What it finds
+    is then checked in the text itself. One row per (article, title): brain, path, title,
+    n_articles, target_path.
     """
     named = (catalog.filter(F.col("title").isNotNull())
              .select("brain", "path", "stem", _tokens(F.col("title")).alias("_t"))
              .withColumn("title", F.array_join("_t", " ")).filter("title <> ''"))
-    titles = (named.groupBy("brain", "title").agg(
-        F.count(F.lit(1)).alias("n_articles"), F.min("path").alias("target_path"), F.first("_t").alias("_t"))
-        .select("brain", "title", "n_articles", "target_path", (F.size("_t") > GRAM).alias("_long"),
-                F.array_join(F.slice("_t", 1, GRAM), " ").alias("_key")))
+    ones, twos, threes = (F.get(h, F.lit(0)) for h in _run_hashes(F.split(F.col("title"), " ")))
+    titles = (named.groupBy("brain", "title")
+              .agg(F.count(F.lit(1)).alias("n_articles"), F.min("path").alias("target_path"))
+              .withColumn("_key", F.coalesce(threes, twos, ones)))
     words = catalog.select("brain", "path", _tokens(fm.article_body(F.col("content"))).alias("_w"))
-
-    def longer(runs, n):
-        """Runs of n words from those of n - 1: each is joined with the word that follows."""
-        return F.filter(F.zip_with(runs, F.slice("_w", n, F.greatest(F.size("_w"), F.lit(1))),
-                                   lambda a, b: F.concat(a, F.lit(" "), b)), lambda r: r.isNotNull())
-
-    words = (words.withColumn("_r2", longer(F.col("_w"), 2)).withColumn("_r3", longer(F.col("_r2"), 3)))
-    runs = F.concat("_w", "_r2", "_r3")
+    runs = F.array_distinct(F.concat(*_run_hashes(F.col("_w"))))
     found = (explode_rows(words, ["brain", "path"], runs, "_key")
              .join(titles, ["brain", "_key"]).drop("_key"))
-    short, long = found.filter("not _long"), found.filter("_long")
-    spaced = words.select("brain", "path", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_s"))
-    checked = (long.join(spaced, ["brain", "path"])
-               .filter(F.contains(F.col("_s"), F.concat(F.lit(" "), F.col("title"), F.lit(" ")))).drop("_s"))
-    mentions = short.unionByName(checked).drop("_long").distinct()
     # A link means one article, so it names one title.
     named_by_stem = (named.groupBy("brain", F.col("stem").alias("target"))
                      .agg(F.min(F.struct("path", "title")).alias("_m")).select("brain", "target", "_m.title"))
     linked = (link_edges(catalog).select("brain", "path", "target").distinct()
               .join(named_by_stem, ["brain", "target"]).select("brain", "path", "title"))
     own = named.select("brain", "path", "title")
-    return mentions.join(linked.unionByName(own), ["brain", "path", "title"], "left_anti")
+    unlinked = found.join(linked.unionByName(own), ["brain", "path", "title"], "left_anti")
+    spaced = words.select("brain", "path", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_s"))
+    return (unlinked.join(spaced, ["brain", "path"])
+            .filter(F.contains(F.col("_s"), F.concat(F.lit(" "), F.col("title"), F.lit(" ")))).drop("_s"))
 
 
 # ---- provenance ----

@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.fixtures import SCOPE_RULES, STORES, duckdb_sql, fixture
+from loomlog.fixtures import SCOPE_RULES, STORES, duckdb_sql, fixture, table
 from loomlog.functions import front_matter as fm
 from loomlog.functions import titles as tt
 from loomlog.functions.redaction import DEFAULT_RULES, redact
@@ -883,7 +883,7 @@ def _inline_cap(spark, d):
 
 @register("truncate_text", "SELECT doc_id, substr(text, 1, 500) AS message, substr(text, 1, 160) AS short FROM documents")
 def _truncate_text(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", tt.truncate_text(F.col("text")).alias("message"), tt.truncate_text(F.col("text"), 160).alias("short"))
 
 
