@@ -48,7 +48,7 @@ def test_scope_and_store_need_no_join_or_shuffle(spark, sf_dir):
     assert "Join" not in p
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in ("inline_cap",)])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_no_cross_join(spark, sf_dir, name):
     p = plan(entry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in p
