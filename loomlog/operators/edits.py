@@ -59,23 +59,21 @@ def with_blocks(responses: DataFrame) -> DataFrame:
 def parse_edits(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Edit rows (keys.., kind, seq, action, path, reason, content); content is NULL without
     a body. A review that holds a summary only is one `skip`."""
-    block = F.col("_block")
-    # Only parsed responses have edit blocks.
-    rows = (explode_rows(parsed, [*keys, "kind"], "edit_blocks", "_block", pos="seq")
+    block, implied = F.col("_block"), F.col("status") == "implicit_skip"
+    blocks = F.when(implied, F.array(F.lit(""))).otherwise(F.col("edit_blocks"))
+    rows = (explode_rows(parsed, [*keys, "kind", "status", "summary"], blocks, "_block", pos="seq")
             .withColumn("_head", F.split(F.regexp_extract(
                 block, r"(?md)\A@@@\w+[^\S\n]*\n([\s\S]*?)(?:^@@@(?:BODY|END)[^\S\n]*$|\z)", 1), "\n"))
             .withColumn("_body", F.regexp_extract(
                 block, rf"(?md)\A[\s\S]*?^@@@BODY[^\S\n]*$\n?([\s\S]*?){_END}", 1)))
-    edits = rows.select(
+    said = F.concat(F.lit("implicit skip (summary-only response): "), truncate_text(F.col("summary"), 200))
+    return rows.select(
         *keys, "kind", "seq",
-        *[_header_value(F.col("_head"), k).alias(k) for k in ("action", "path", "reason")],
+        F.when(implied, "skip").otherwise(_header_value(F.col("_head"), "action")).alias("action"),
+        _header_value(F.col("_head"), "path").alias("path"),
+        F.when(implied, said).otherwise(_header_value(F.col("_head"), "reason")).alias("reason"),
         F.when(block.rlike(r"(?md)^@@@BODY[^\S\n]*$"),
                F.concat(F.regexp_replace("_body", r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit("\n"))).alias("content"))
-    implied = parsed.filter(F.col("status") == "implicit_skip").select(
-        *keys, "kind", F.lit(0).alias("seq"), F.lit("skip").alias("action"), F.lit("").alias("path"),
-        F.concat(F.lit("implicit skip (summary-only response): "), truncate_text(F.col("summary"), 200)).alias("reason"),
-        F.lit(None).cast("string").alias("content"))
-    return edits.unionByName(implied)
 
 
 def parse_errors(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,13 +121,11 @@ def edit_sequence(edits: DataFrame, library: DataFrame) -> DataFrame:
     """
     keys = ["brain", "path"]
     valid = classify_edits(edits).filter((F.col("verdict") == "ok") & (F.col("action") != "skip"))
+    known = library.select(*keys).distinct().withColumn("action", F.lit("create"))
     seen = previous_value(valid, keys, ["run_id", "seq"], "action", "_previous",
-                          F.floor(F.col("run_id") / RUNS_PER_CHUNK))
-    known = library.select(*keys).distinct().withColumn("_in_library", F.lit(True))
-    return (seen.join(known, keys, "left")
-            .withColumn("exists_before", F.coalesce(F.col("_previous") != "delete", F.col("_in_library"),
-                                                    F.lit(False)))
-            .drop("_previous", "_in_library", "verdict"))
+                          F.floor(F.col("run_id") / RUNS_PER_CHUNK), known)
+    return (seen.withColumn("exists_before", F.coalesce(F.col("_previous") != "delete", F.lit(False)))
+            .drop("_previous", "verdict"))
 
 
 def edit_target_state(edits: DataFrame, library: DataFrame) -> DataFrame:

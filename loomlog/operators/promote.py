@@ -12,19 +12,21 @@ PRECEDENCE = ("work", "both")
 
 
 def union_sources(catalog: DataFrame) -> DataFrame:
-    """Flagged articles of the work and both libraries, one per relative path."""
+    """Flagged articles of the work and both libraries, one per relative path. `digest` is made
+    before the choice, so a comparison does not move the texts."""
     rank = F.array_position(F.array(*[F.lit(b) for b in reversed(PRECEDENCE)]), F.col("brain"))
-    picked = catalog.filter(F.col("share") & F.col("brain").isin(*PRECEDENCE)).withColumn("_rank", rank)
+    picked = catalog.filter(F.col("share") & F.col("brain").isin(*PRECEDENCE))
+    picked = picked.withColumn("_rank", rank).withColumn("digest", F.md5("content"))
     return first_per_key(picked, ["rel"], ["_rank"]).drop("_rank")
 
 
 def promote_diff(flagged: DataFrame, shared: DataFrame, contributor: str | None = None) -> DataFrame:
     """One row per path: copy, same or delete, by content hash (rel, action).
 
-    flagged: rel, content; shared: rel, content (and contributor, where several people
+    flagged: rel, digest (see `union_sources`); shared: rel, content (and contributor, where several people
     share a store: then only a contributor's own rows are deleted, others' show as keep).
     """
-    left = flagged.select("rel", F.md5("content").alias("_new"))
+    left = flagged.select("rel", F.col("digest").alias("_new"))
     owner: Column = F.col("contributor") if "contributor" in shared.columns else F.lit(contributor).cast("string")
     right = shared.select("rel", F.md5("content").alias("_old"), owner.alias("_owner"))
     gone = F.when(F.lit(contributor).isNull() | F.col("_owner").eqNullSafe(F.lit(contributor)), "delete").otherwise("keep")

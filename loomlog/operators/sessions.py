@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.titles import log_file_name, log_summary_line
-from loomlog.plans.ordered import latest_per_key
+from loomlog.plans.ordered import CHUNK_WIDTH, join_group_value, latest_per_key
 
 ASSISTANT = "Claude"
 
@@ -65,7 +65,8 @@ def session_narrative(turns: DataFrame, sessions: DataFrame, assistant: str = AS
              .select(*keys, F.lit(-1).cast("bigint").alias("line_no"),
                      header_text(F.col("title"), F.col("session_id"), F.col("scope"), F.col("ts"),
                                  assistant).alias("text")))
-    body = (spoken.join(info.select("session_id", "store"), "session_id")
+    body = (join_group_value(spoken, info.select("session_id", "store"), ["session_id"],
+                             F.floor(F.col("line_no") / CHUNK_WIDTH))
             .select(*keys, F.col("line_no").cast("bigint").alias("line_no"),
                     section_text(F.col("role"), F.col("ts"), F.col("text"), assistant).alias("text")))
     return heads.unionByName(body)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.arrays import explode_rows
-from loomlog.plans.ordered import CHUNK_WIDTH, latest_per_key, running_sum
+from loomlog.plans.ordered import CHUNK_WIDTH, join_group_value, latest_per_key, running_sum
 
 PLAN_TOOL = "ExitPlanMode"
 STRIPPED = "[STRIPPED]"
@@ -239,12 +239,12 @@ def last_assistant_turn(entries: DataFrame, pieces: DataFrame, part_lines: int =
     `entries`: session_id, line_no, entry_type, is_sidechain, is_real_user. `pieces`:
     session_id, line_no, block_no, entry_type, is_sidechain, text. Result: session_id, part,
     text; parts joined in order by a blank line are the whole text. No window over a
-    session: one aggregate finds the cut, a join drops everything before it.
+    session: one aggregate finds the cut, and a join by chunks drops everything before it.
     """
     said = (main_session_only(entry_type_filter(pieces, "assistant"))
             .filter(F.coalesce(F.col("text"), F.lit("")) != "")
             .select("session_id", "line_no", "block_no", "text"))
-    after = (said.join(last_user_line(entries), "session_id")
+    after = (join_group_value(said, last_user_line(entries), ["session_id"], F.floor(F.col("line_no") / CHUNK_WIDTH))
              .filter(F.col("line_no") > F.col("last_user_line"))
              .withColumn("part", F.floor((F.col("line_no") - F.col("last_user_line") - 1) / part_lines)))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "block_no", "text")))

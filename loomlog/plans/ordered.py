@@ -37,9 +37,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             .drop("_chunk", "_value", "_before"))
 
 
+def join_group_value(rows: DataFrame, values: DataFrame, keys: Sequence[str], chunk: Column,
+                     how: str = "inner") -> DataFrame:
+    """Join one row per group onto the rows of groups of any size. `values` is first copied to
+    the chunks each group has, then joined by (group, chunk)."""
+    rows = rows.withColumn("_chunk", chunk.cast("bigint"))
+    spread = rows.select(*keys, "_chunk").distinct().join(values, list(keys), how)
+    return rows.join(spread, [*keys, "_chunk"], how).drop("_chunk")
+
+
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                   chunk: Column | None = None) -> DataFrame:
-    """`value` of the row before in the group, NULL on the first row. `value` is not NULL."""
+                   chunk: Column | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """`value` of the row before in the group; on the first row that of `initial` (keys..,
+    value), else NULL. `value` is not NULL."""
     if chunk is None:
         chunk = F.floor(F.col(order[0]) / CHUNK_WIDTH)
     rows = df.withColumn("_chunk", chunk.cast("bigint"))
@@ -47,6 +57,10 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     carried = (rows.groupBy(*keys, "_chunk")
                .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
                .select(*keys, "_chunk", F.lag("_last").over(by_chunk).alias("_carried")))
+    if initial is not None:
+        start = initial.select(*keys, F.struct(F.col(value).alias("v")).alias("_start"))
+        carried = (carried.join(start, list(keys), "left")
+                   .select(*keys, "_chunk", F.coalesce("_carried", "_start").alias("_carried")))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (rows.join(carried, [*keys, "_chunk"])
             .withColumn(out, F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(inside),

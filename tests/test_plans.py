@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomlog.fixtures import fixture
 from loomlog.operators import routing as ro
-from loomlog.plans.ordered import latest_per_key, previous_value, running_sum
+from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, running_sum
 from loomlog.registry import SCOPE_RULES
 
 
@@ -33,6 +33,15 @@ def test_previous_value(hot, width):
     assert got.count() == 3000 and got.filter("not (got <=> want)").count() == 0
 
 
+def test_initial_value_and_group_join(spark, hot):
+    start = spark.createDataFrame([("hot", "s0"), ("other", "x")], "k string, s string")
+    got = previous_value(hot, ["k"], ["pos"], "s", "got", F.floor(F.col("pos") / 10), start)
+    firsts = {r["k"]: r["got"] for r in got.filter("got is null or got in ('s0', 'x')").collect()}
+    assert firsts.pop("hot") == "s0" and set(firsts.values()) == {None}
+    joined = join_group_value(hot, start.withColumnRenamed("s", "w"), ["k"], F.floor(F.col("pos") / 10))
+    assert joined.count() == hot.filter("k = 'hot'").count() and {r["w"] for r in joined.collect()} == {"s0"}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
