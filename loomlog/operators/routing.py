@@ -85,6 +85,14 @@ def migrate_unclassified(staged: DataFrame, sessions: DataFrame, target: DataFra
             .drop("_taken"))
 
 
+def move_to_current_store(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """All rows in the store their session belongs to now, not only staged ones; rows of
+    unknown sessions stay where they are."""
+    now = sessions.select("session_id", F.col("store").alias("_now"))
+    return (rows.join(now, "session_id", "left").withColumn("store", F.coalesce("_now", "store")).drop("_now")
+            .select(*rows.columns))
+
+
 def once_per_session(events: DataFrame) -> DataFrame:
     """First event of each session: the one that sets the mark."""
     return first_per_key(events, ["session_id"], ["ts", "event_id"])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators.edits import (append_versions, latest_version, parse_edits, retry_choice, with_blocks)
+from loomlog.functions.redaction import JSON_RULES, redact
+from loomlog.operators.edits import append_versions, latest_version, parse_edits, retry_choice, with_blocks
 from loomlog.operators.library import parse_articles
 from loomlog.operators.promote import apply_promotion, union_sources
 from loomlog.operators.redaction import redact_table
-from loomlog.operators.transcripts import last_assistant_turn
+from loomlog.operators.transcripts import filter_tool_blocks, last_assistant_turn
 
 
 def logged_turns(sessions: DataFrame, turns: DataFrame, config) -> DataFrame:
@@ -24,6 +25,23 @@ def logged_turns(sessions: DataFrame, turns: DataFrame, config) -> DataFrame:
         "session_id", "store", "scope", "title", "part", "text")
 
 
+def sanitized_snapshot(entries: DataFrame, mode: str = "none") -> DataFrame:
+    """Transcript lines fit to be stored (session_id, line_no, line): tool blocks filtered
+    first, then the JSON text redacted. Lines that are no entry have no safe form and are
+    left out unless the mode is `full`; `malformed_lines` reports them."""
+    kept = filter_tool_blocks(entries, mode).select("session_id", "line_no", F.col("sanitized").alias("_line"))
+    redacted = kept.withColumn("line", redact(F.col("_line"), JSON_RULES))
+    return redacted.select("session_id", "line_no", "line").filter("line is not null")
+
+
+def malformed_lines(entries: DataFrame) -> DataFrame:
+    """Error rows of lines that are no JSON object. Only their length is told: what they hold
+    could not be filtered."""
+    return (entries.filter("not is_entry")
+            .select(F.lit("transcript").alias("stage"), F.concat_ws("/", "session_id", "line_no").alias("key"),
+                    F.format_string("malformed line of %d characters", F.length("raw")).alias("message")))
+
+
 def response_edits(responses: DataFrame) -> DataFrame:
     """Edits of the accepted attempt of each run (run_id, brain, kind, seq, ..)."""
     return parse_edits(retry_choice(with_blocks(responses)), ["run_id", "brain"])

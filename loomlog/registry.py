@@ -27,7 +27,7 @@ from loomlog.operators import redaction as rd
 from loomlog.operators import routing as ro
 from loomlog.operators import sessions as se
 from loomlog.operators import transcripts as tr
-from loomlog.plans.jobs import compile_library, logged_turns
+from loomlog.plans.jobs import compile_library, logged_turns, malformed_lines, sanitized_snapshot
 from loomlog.session import fresh_folder
 from loomlog.sources import readers, sinks
 from loomlog.sources.config import RoutingConfig
@@ -1127,6 +1127,32 @@ def _logged_turns(spark, d):
     return logged_turns(_fx(spark, d, "sessions"), _typed_turns(spark, d), CONFIG).drop("part")
 
 
+@register("sanitized_snapshot", f"SELECT session_id, line_no, {duck_redact('text')} AS text FROM {{turns}}")
+def _sanitized_snapshot(spark, d):
+    """Turns as JSON lines with a tool call each, sanitised, and their text read back."""
+    raw = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name")),
+        F.struct(F.lit("tool_use").alias("type"), F.col("text").alias("text"), F.lit("Read").alias("name"))).alias("content"))
+        .alias("message")))
+    entries = tr.parse_entries(_fx(spark, d, "turns").select("session_id", "line_no", raw.alias("raw")))
+    back = tr.parse_entries(sanitized_snapshot(entries).withColumnRenamed("line", "raw"))
+    return tr.explode_blocks(back, ["session_id", "line_no"]).select("session_id", "line_no", F.col("body").alias("text"))
+
+
+@register("malformed_lines", """
+SELECT 'transcript' AS stage, concat(session_id, '/', CAST(line_no AS STRING)) AS key, concat('malformed line of ', CAST(length(raw) AS STRING), ' characters') AS message
+FROM {transcript_lines} WHERE raw = '{{bad'""")
+def _malformed_lines(spark, d):
+    return malformed_lines(tr.parse_entries(_fx(spark, d, "transcript_lines")))
+
+
+@register("move_to_current_store", """
+SELECT coalesce(r.store, z.store) AS store, log_date, session_id, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM (""" + _ROOTS + """) z
+LEFT JOIN {routed} r USING (session_id) GROUP BY 1, 2, 3""")
+def _move_to_current_store(spark, d):
+    return _per_log(ro.move_to_current_store(_roots(spark, d), _routed(spark, d)))
+
+
 @register("compile_library", """
 SELECT brain, path, run_id, seq, content FROM (
   SELECT *, row_number() OVER (PARTITION BY brain, path ORDER BY run_id DESC, seq DESC) AS rn FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -79,17 +80,18 @@ class ScopeChange(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self._scope.get() if self._scope.exists() else None
         before = stored[0] if stored else None
-        seen = pd.concat([r[["event_id", "ts", "scope"]] for r in rows]).sort_values(["ts", "event_id"])
-        was = seen["scope"].shift()
-        was.iloc[0] = before
-        purge = (seen["scope"] == "nolog") & was.notna() & (was != "nolog")
-        migrate = (was == "unset") & ~seen["scope"].isin(["unset", "nolog"])
-        self._scope.update((seen["scope"].iloc[-1],))
+        parts = [[r[c].to_numpy() for c in ("ts", "event_id", "scope")] for r in rows]
+        ts, ids, scopes = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((ids, ts))
+        ids, scopes = ids[order], scopes[order].astype(object)
+        was = np.concatenate((np.array([before], dtype=object), scopes[:-1]))
+        purge = (scopes == "nolog") & (was != "nolog") & np.not_equal(was, None)
+        migrate = (was == "unset") & (scopes != "unset") & (scopes != "nolog")
+        self._scope.update((scopes[-1],))
         hit = purge | migrate
         if hit.any():
-            yield pd.DataFrame({"session_id": key[0], "event_id": seen["event_id"][hit], "was": was[hit],
-                                "scope": seen["scope"][hit],
-                                "action": purge[hit].map({True: "purge", False: "migrate"})})
+            yield pd.DataFrame({"session_id": key[0], "event_id": ids[hit], "was": was[hit], "scope": scopes[hit],
+                                "action": np.where(purge[hit], "purge", "migrate")})
 
     def close(self) -> None:
         pass
@@ -109,7 +111,9 @@ def reclassified(spark: SparkSession, events: Callable[[SparkSession], DataFrame
     setting, so the caller's stays as it is."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every partition keeps a state store open; more of them than cores only cost time.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(parts))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folder = run_once(scope_changes(events(own)), own, "scope-changes")
     return spark.read.schema(CHANGE_SCHEMA).parquet(folder)

@@ -76,6 +76,12 @@ def test_json_rules_stay_inside_strings(spark):
     assert "zz" not in out and "REDACTED:CLIENT_SECRET" in out
 
 
+def test_json_words_after_an_escape(spark):
+    line = '{"a":"x\\nBearer ' + "t" * 20 + '\\nredis' + '://u:p@h"}'
+    out = spark.createDataFrame([(line,)], "t string").select(redact(F.col("t"), JSON_RULES)).first()[0]
+    assert out == '{"a":"x\\nbearer [REDACTED:TOKEN]\\n[REDACTED:URL_WITH_CREDS]"}'
+
+
 def test_audit_counts_on_remaining_text(spark):
     df = spark.createDataFrame([("a", "sk-" + "ant-" + "b" * 40 + " and " + "gh" + "p_" + "c" * 30), ("b", "none")],
                                "g string, t string")
