@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.redaction import JSON_RULES, redact
-from loomlog.operators.edits import append_versions, latest_version, parse_edits, retry_choice, with_blocks
-from loomlog.operators.library import parse_articles
+from loomlog.operators.edits import (append_versions, latest_version, parse_edits, parse_errors, rejected_edits,
+                                     retry_choice, with_blocks)
+from loomlog.operators.compile_window import Cursor, pending_sessions
+from loomlog.operators.library import compile_context, parse_articles, review_context
 from loomlog.operators.promote import apply_promotion, union_sources
 from loomlog.operators.redaction import redact_table
-from loomlog.operators.transcripts import filter_tool_blocks, last_assistant_turn
+from loomlog.operators.transcripts import effective_mode, filter_tool_blocks, last_assistant_turn
 
 
 def logged_turns(sessions: DataFrame, turns: DataFrame, config) -> DataFrame:
@@ -29,9 +34,11 @@ def sanitized_snapshot(entries: DataFrame, mode: str = "none") -> DataFrame:
     """Transcript lines fit to be stored (session_id, line_no, line): tool blocks filtered
     first, then the JSON text redacted. Lines that are no entry have no safe form and are
     left out unless the mode is `full`; `malformed_lines` reports them."""
+    if effective_mode(mode) != "full":
+        # Tested on the parsed entry: a test of the finished line would repeat all of its work.
+        entries = entries.filter("is_entry")
     kept = filter_tool_blocks(entries, mode).select("session_id", "line_no", F.col("sanitized").alias("_line"))
-    redacted = kept.withColumn("line", redact(F.col("_line"), JSON_RULES))
-    return redacted.select("session_id", "line_no", "line").filter("line is not null")
+    return kept.select("session_id", "line_no", redact(F.col("_line"), JSON_RULES).alias("line"))
 
 
 def malformed_lines(entries: DataFrame) -> DataFrame:
@@ -47,6 +54,36 @@ def response_edits(responses: DataFrame) -> DataFrame:
     return parse_edits(retry_choice(with_blocks(responses)), ["run_id", "brain"])
 
 
+def compile_inputs(lines: DataFrame, articles: DataFrame, cursors: Mapping[str, Cursor], today: date) -> DataFrame:
+    """Prompt sections of all closed sessions after the resume points (see `compile_context`).
+
+    lines: brain, log_date, hhmmss, session_id, file_name, line_no, line, the log lines of a
+    library's sessions.
+    """
+    logs = pending_sessions(lines, cursors, today).select(
+        "brain", F.col("file_name").alias("session_file"), F.col("line_no").alias("seq"), F.col("line").alias("text"))
+    return compile_context(parse_articles(articles), logs)
+
+
+def review_inputs(articles: DataFrame, today: str) -> DataFrame:
+    """Review sections of every library (see `review_context`)."""
+    return review_context(parse_articles(articles), today)
+
+
+def apply_responses(versions: DataFrame, responses: DataFrame) -> DataFrame:
+    """History after the accepted responses; running it again adds nothing."""
+    return append_versions(versions, response_edits(responses))
+
+
+def response_errors(responses: DataFrame) -> DataFrame:
+    """What went wrong with responses: unusable texts and edits that may not be applied
+    (run_id, stage, message)."""
+    parsed = with_blocks(responses)
+    unusable = parse_errors(parsed, ["run_id"])
+    rejected = rejected_edits(response_edits(responses)).select("run_id", "stage", "message")
+    return unusable.unionByName(rejected)
+
+
 def compile_library(versions: DataFrame, edits: DataFrame) -> DataFrame:
     """Library after the edits: history extended, then the latest version of each path."""
     return latest_version(append_versions(versions, edits))

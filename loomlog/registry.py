@@ -6,6 +6,7 @@ the same result in SQL. Dates, timestamps and arrays are cast to text on both si
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import date
 
@@ -30,7 +31,7 @@ from loomlog.operators import transcripts as tr
 from loomlog.plans.jobs import compile_library, logged_turns, malformed_lines, sanitized_snapshot
 from loomlog.session import fresh_folder
 from loomlog.sources import readers, sinks
-from loomlog.sources.config import RoutingConfig
+from loomlog.sources.config import RoutingConfig, load_routing_config
 from loomlog.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,6 +364,16 @@ def _retry_choice(spark, d):
     return ed.retry_choice(ed.with_blocks(_fx(spark, d, "responses"))).select("run_id", "attempt", "status")
 
 
+EXAMPLE_CONFIG = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "config", "routing.example.toml")
+
+
+@register("load_routing_config", "SELECT session_id, scope, title, store FROM {routed}")
+def _load_routing_config(spark, d):
+    """All sessions routed by the config file that ships with the repository."""
+    routed = load_routing_config(EXAMPLE_CONFIG).route(_fx(spark, d, "sessions"))
+    return routed.select("session_id", "scope", "title", "store")
+
+
 # ---- 2.2 filters ----
 
 @register("real_user_message", """

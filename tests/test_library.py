@@ -9,7 +9,9 @@ from loomlog.operators import curation as cu
 from loomlog.operators import edits as ed
 from loomlog.operators import library as lb
 from loomlog.operators import promote as pr
-from loomlog.plans.jobs import compile_library, promote, response_edits
+from loomlog.operators.compile_window import Cursor
+from loomlog.plans.jobs import (apply_responses, compile_inputs, compile_library, promote, response_edits, response_errors,
+                                review_inputs)
 from loomlog.sources import readers, sinks
 
 
@@ -292,3 +294,21 @@ def test_response_edits(spark):
     df = spark.createDataFrame([(1, "w", "compile", 1, "bad"), (1, "w", "compile", 2, BLOCK)],
                                "run_id long, brain string, kind string, attempt int, text string")
     assert [(r["run_id"], r["path"]) for r in response_edits(df).collect()] == [(1, "library/a.md")]
+
+
+def test_whole_compile(spark):
+    """Closed sessions to prompt sections; responses to history, twice; errors kept apart."""
+    arts = spark.createDataFrame([art(path="library/old.md", fmt="title: Old")], "brain string, path string, content string")
+    lines = spark.createDataFrame([("work", date(2026, 4, d), "080000", f"s{d}", f"080000_s{d}.md", n, f"l{n}") for d in (1, 2, 3) for n in (0, 1)],
+                                  "brain string, log_date date, hhmmss string, session_id string, file_name string, line_no long, line string")
+    got = compile_inputs(lines, arts, {"work": Cursor(date(2026, 4, 1))}, date(2026, 4, 3))
+    assert [(r["session_file"], r["text"]) for r in got.filter("section = 3").orderBy("item").collect()] == [("080000_s2.md", "l0"), ("080000_s2.md", "l1")]
+    assert got.filter("section < 3").count() == 2
+    assert review_inputs(arts, "2026-04-03").count() == 3
+    responses = spark.createDataFrame([(5, "work", "compile", 1, BLOCK + BLOCK.replace("library/a.md", "library/old.md") + BLOCK.replace("library/a.md", "x.md")),
+                                       (6, "work", "compile", 1, "nothing")], "run_id long, brain string, kind string, attempt int, text string")
+    versions = arts.selectExpr("brain", "path", "-1L as run_id", "0 as seq", "'create' as action", "content")
+    once = apply_responses(versions, responses)
+    assert {(r["path"], r["action"]) for r in once.filter("run_id = 5").collect()} == {("library/a.md", "create"), ("library/old.md", "update")}
+    assert apply_responses(once, responses).count() == once.count() == 3
+    assert sorted((r["run_id"], r["stage"]) for r in response_errors(responses).collect()) == [(5, "apply"), (6, "parse")]
