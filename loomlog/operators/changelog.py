@@ -10,6 +10,7 @@ from loomlog.operators.library import LINK_MARK as DASH
 from loomlog.operators.edits import RUNS_PER_CHUNK
 from loomlog.plans.ordered import running_sum
 
+HEAD = "# Library changelog\n\n_Machine-maintained. One section per compile date._\n"
 COUNTED = ["create", "update", "rewrite", "delete", "skip"]
 
 
@@ -23,9 +24,10 @@ def changelog(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """Changelog documents as lines (brain, section_date, run_id, rank, seq, line).
 
     entries: brain, kind, run_id, seq, action, path, note (see `applied_log`);
-    runs: brain, kind, section_date, run_id, hm, summary, one row per run. Sorted by date
-    descending, then run_id, rank, seq, the lines are the document. Synthesis lists edits,
-    skips, then the summary; a review without edits is one line with its first skip reason.
+    runs: brain, kind, section_date, run_id, hm, summary, one row per run. Sorted by
+    `changelog_sort()` the lines of a library are its document: a head without a date, then
+    one section per date, newest first. Synthesis lists edits, skips, then the summary; a
+    review without edits is one line with its first skip reason.
     """
     keys = ["brain", "section_date", "run_id"]
     timed = (entries.select("brain", "kind", "run_id", "seq", "action", "path", "note")
@@ -55,10 +57,19 @@ def changelog(entries: DataFrame, runs: DataFrame) -> DataFrame:
     idle = (run.filter(compiling & (n == 0))
             .select(*keys, F.lit(2).alias("rank"), seq0,
                     F.concat(tick, F.lit("_no sessions in range; compile ran no-op._")).alias("line")))
-    heads = (runs.groupBy("brain", "section_date").agg(F.min("run_id").alias("run_id"))
-             .select(*keys, F.lit(0).alias("rank"), seq0,
-                     F.concat(F.lit("## "), F.date_format("section_date", "yyyy-MM-dd")).alias("line")))
-    return heads.unionByName(items).unionByName(passed).unionByName(told).unionByName(idle)
+    day = F.concat(F.lit("## "), F.date_format("section_date", "yyyy-MM-dd"), F.lit("\n"))
+    frame = F.array(F.struct(F.col("lo").alias("run_id"), F.lit(0).alias("rank"), day.alias("line")),
+                    F.struct(F.col("hi").alias("run_id"), F.lit(9).alias("rank"), F.lit("").alias("line")))
+    days = (runs.groupBy("brain", "section_date").agg(F.min("run_id").alias("lo"), F.max("run_id").alias("hi"))
+            .select("brain", "section_date", F.inline(frame)).select(*keys, "rank", seq0, "line"))
+    head = (runs.select("brain").distinct()
+            .select("brain", F.lit(None).cast("date").alias("section_date"), F.lit(0).cast("bigint").alias("run_id"),
+                    F.lit(-1).alias("rank"), seq0, F.lit(HEAD).alias("line")))
+    return (head.unionByName(days).unionByName(items).unionByName(passed).unionByName(told).unionByName(idle))
+
+
+def changelog_sort() -> list:
+    return [F.desc_nulls_first("section_date"), "run_id", "rank", "seq"]
 
 
 def run_report(entries: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from loomlog.functions import front_matter as fm
 from loomlog.functions.titles import token_estimate
 
 INLINE_CAP = 25
+# Headings above the sections of the two prompt inputs.
+COMPILE_HEADINGS = {1: "# Current library index", 2: "# Existing articles (full text)", 3: "# Session to compile"}
+REVIEW_HEADINGS = {1: "## Index (TOC)", 2: "## Articles (full text)"}
 LINK_MARK = "—"
 
 TITLE = "# Library — curated knowledge index"
@@ -70,10 +73,10 @@ def library_index(catalog: DataFrame, regenerated: str, first_token: bool = Fals
                   empty: str = "_Empty — no articles yet._", brains: DataFrame | None = None) -> DataFrame:
     """Index documents as ordered lines (brain, part, category, stem, path, line).
 
-    Part 0 is the head, 1 the category headings, 2 the articles below them; sorted by
-    (part > 0, category, part, stem, path) the lines are the document. One line per article,
-    so a library of any size is written by a distributed sort. `brains` lists libraries that
-    may be empty and still need an index.
+    Part 0 is the head, 1 the category headings, 2 the articles below them, 3 the blank line
+    after a category; sorted by `INDEX_ORDER` the lines are the document. One line per
+    article, so a library of any size is written by a distributed sort. `brains` lists
+    libraries that may be empty and still need an index.
     """
     filled = field_defaults(catalog)
     ttl, updated = F.col("ttl"), F.col("updated_text")
@@ -83,9 +86,10 @@ def library_index(catalog: DataFrame, regenerated: str, first_token: bool = Fals
     items = filled.select("brain", F.lit(2).alias("part"), "category", "stem", "path",
                           _entry(link, ttl, updated).alias("line"))
     none = F.lit("")
-    headings = (catalog.groupBy("brain", "category").agg(F.count(F.lit(1)).alias("n"))
-                .select("brain", F.lit(1).alias("part"), "category", none.alias("stem"), none.alias("path"),
-                        F.concat(F.lit("## "), F.col("category")).alias("line")))
+    frame = F.array(F.struct(F.lit(1).alias("part"), F.concat(F.lit("## "), F.col("category"), F.lit("\n")).alias("line")),
+                    F.struct(F.lit(3).alias("part"), none.alias("line")))
+    headings = (catalog.select("brain", "category").distinct().select("brain", "category", F.inline(frame))
+                .select("brain", "part", "category", none.alias("stem"), none.alias("path"), "line"))
     counts = catalog.groupBy("brain").agg(F.count(F.lit(1)).alias("n"))
     if brains is not None:
         counts = (brains.select("brain").distinct().join(counts, "brain", "left")
@@ -98,6 +102,7 @@ def library_index(catalog: DataFrame, regenerated: str, first_token: bool = Fals
     return heads.unionByName(headings).unionByName(items)
 
 
+# The head has no category and comes first by itself.
 INDEX_ORDER = ("category", "part", "stem", "path")
 
 

@@ -24,9 +24,9 @@ def redaction_hits(df: DataFrame, col: str, rules: tuple[Rule, ...] = DEFAULT_RU
     """Adds one count column per rule (hits_1..n), each on the text left by earlier rules.
     Texts without any rule's literal are dropped: they cannot count."""
     out = df.filter(may_match(F.col(col), rules)).withColumn("_text", F.col(col))
+    text = F.col("_text")
     for n, rule in enumerate(rules, 1):
-        out = (out.withColumn(f"hits_{n}", F.regexp_count("_text", F.lit(rule.java)))
-               .withColumn("_text", apply_rule(F.col("_text"), rule)))
+        out = out.withColumns({f"hits_{n}": F.regexp_count(text, F.lit(rule.java)), "_text": apply_rule(text, rule)})
     return out.drop("_text")
 
 

@@ -717,7 +717,8 @@ def _last_assistant_turn(spark, d):
 
 _INDEX = """
 SELECT brain, 2 AS part, category, stem, path, concat('- [', coalesce(title, stem), '](', rel, ') — ttl:', {0}, ', updated:', {1}) AS line FROM {{cat}}
-UNION ALL SELECT DISTINCT brain, 1, category, '', '', concat('## ', category) FROM {{cat}}
+UNION ALL SELECT DISTINCT brain, 1, category, '', '', concat('## ', category, chr(10)) FROM {{cat}}
+UNION ALL SELECT DISTINCT brain, 3, category, '', '', '' FROM {{cat}}
 UNION ALL SELECT brain, 0, '', '', '', concat({2}, chr(10), chr(10), '_Last regenerated: 2026-06-20 00:00:00_', chr(10), '_Article count: ',
   CAST(count(*) AS STRING), '_', chr(10), chr(10), '*Machine-maintained. Edit articles, not this file.*', chr(10)) FROM {{cat}} GROUP BY brain"""
 
@@ -801,7 +802,11 @@ SELECT brain, CAST(section_date AS VARCHAR) AS section_date, run_id, rank, seq,
   SELECT brain, section_date, run_id, 2, 0, concat('- `', hm, '` — _no sessions in range; compile ran no-op._') FROM {runs} r
   WHERE kind = 'compile' AND NOT EXISTS (SELECT 1 FROM {log_entries} e WHERE e.brain = r.brain AND e.run_id = r.run_id)
   UNION ALL
-  SELECT brain, section_date, min(run_id), 0, 0, concat('## ', CAST(section_date AS VARCHAR)) FROM {runs} GROUP BY 1, 2) q""")
+  SELECT brain, section_date, min(run_id), 0, 0, concat('## ', CAST(section_date AS VARCHAR), chr(10)) FROM {runs} GROUP BY 1, 2
+  UNION ALL
+  SELECT brain, section_date, max(run_id), 9, 0, '' FROM {runs} GROUP BY 1, 2
+  UNION ALL
+  SELECT DISTINCT brain, CAST(NULL AS DATE), 0, -1, 0, concat('# Library changelog', chr(10), chr(10), '_Machine-maintained. One section per compile date._', chr(10)) FROM {runs}) q""")
 def _changelog(spark, d):
     return _text(ch.changelog(_log_entries(spark, d), _fx(spark, d, "runs")), "section_date")
 

@@ -193,10 +193,10 @@ def test_index_document(spark, tmp_path):
                 art(path="library/z.md", fmt="title: Z"))
     brains = spark.createDataFrame([("work",), ("both",)], "brain string")
     lines = lb.library_index(c, "2026-01-02 03:04:05", brains=brains)
-    order = [(F.col("part") > 0).cast("int"), "category", "part", "stem", "path"]
     path = str(tmp_path / "index")
-    sinks.write_document(lines.filter("brain = 'work'"), order, path)
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).orderBy("_metadata.file_path").collect())
+    sinks.write_document(lines.filter("brain = 'work'"), lb.INDEX_ORDER, path)
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).orderBy("_metadata.file_path").collect())
+    assert text.endswith("updated:2026-01-01\n\n## uncategorized\n\n- [Z](z.md) — ttl:?, updated:?\n\n")
     flat = [s for s in text.split("\n") if s]
     assert flat[0].startswith("# Library") and "_Article count: 3_" in flat
     assert flat[-5:] == ["## p", "- [a](p/a.md) — ttl:?, updated:?", "- [B](p/b.md) — ttl:1y # x, updated:2026-01-01",
@@ -263,11 +263,13 @@ def test_changelog(spark):
     runs = spark.createDataFrame([("w", "compile", 1, date(2026, 1, 1), "03:00", "sum"), ("w", "compile", 2, date(2026, 1, 2), "03:00", ""),
                                   ("w", "supervise", 3, date(2026, 1, 2), "04:00", "seen"), ("w", "supervise", 4, date(2026, 1, 2), "05:00", "cut")],
                                  "brain string, kind string, run_id long, section_date date, hm string, summary string")
-    out = ch.changelog(entries, runs).orderBy(F.desc("section_date"), "run_id", "rank", "seq")
-    assert [r["line"] for r in out.collect()] == [
-        "## 2026-01-02", "- `03:00` — _no sessions in range; compile ran no-op._", "- `04:00` — _supervisor pass_: coherent lib",
-        "- `05:00` — **supervisor delete** `b.md`", "  - supervisor summary: cut",
-        "## 2026-01-01", "- `03:00` — **create** `a.md`", "- `03:00` — _skip_: thin", "  - session summary: sum"]
+    out = ch.changelog(entries, runs).orderBy(*ch.changelog_sort())
+    text = "\n".join(r["line"] for r in out.collect())
+    head, _, rest = text.partition("_\n\n")
+    assert head.startswith("# Library changelog\n\n_") and rest.split("\n") == [
+        "## 2026-01-02", "", "- `03:00` — _no sessions in range; compile ran no-op._", "- `04:00` — _supervisor pass_: coherent lib",
+        "- `05:00` — **supervisor delete** `b.md`", "  - supervisor summary: cut", "",
+        "## 2026-01-01", "", "- `03:00` — **create** `a.md`", "- `03:00` — _skip_: thin", "  - session summary: sum", ""]
 
 
 def test_moves_and_invariants(spark):
