@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import front_matter as fm
 from loomlog.functions.arrays import explode_rows
 from loomlog.functions.titles import normalize_cwd
+from loomlog.session import saved
 
 # Accepted front matter.
 TTLS = ("2w", "3mo", "1y", "stable")
@@ -115,9 +116,6 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-GRAM = 3
-
-
 def _run_hashes(words: Column) -> list[Column]:
     """Hashes of all word runs of one, two and three words, as arrays by start; positions too
     near the end hold NULL."""
@@ -128,21 +126,34 @@ def _run_hashes(words: Column) -> list[Column]:
     return [ones, twos, threes]
 
 
+def _title_keys(titles: DataFrame) -> DataFrame:
+    """Adds _key: the hash of a title's words, or of its rarest three-word run when it has
+    three or more, so that titles with a common beginning do not share a key."""
+    ones, twos, threes = _run_hashes(F.split(F.col("title"), " "))
+    runs = explode_rows(titles, ["brain", "title"], F.array_distinct(F.array_compact(threes)), "_key")
+    shared = runs.groupBy("brain", "_key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (runs.join(shared, ["brain", "_key"]).groupBy("brain", "title")
+              .agg(F.min(F.struct("n", "_key")).alias("_r")).select("brain", "title", "_r._key"))
+    short = F.coalesce(F.get(twos, F.lit(0)), F.get(ones, F.lit(0)))
+    return (titles.withColumn("_short", short).join(rarest, ["brain", "title"], "left")
+            .withColumn("_key", F.coalesce("_key", "_short")).drop("_short"))
+
+
 def missing_backlinks(catalog: DataFrame) -> DataFrame:
     """Articles that hold another article's title as a run of words but do not link to it.
 
-    Titles are grouped by their words; a title is looked up by the hash of its first words
-    (up to three) among the word runs of every body: an equi-join on a number. What it finds
-    is then checked in the text itself. One row per (article, title): brain, path, title,
+    Titles are grouped by their words; a title is looked up by a hash of up to three of its
+    words among the word runs of every body: an equi-join on a number. What it finds is then
+    checked in the text itself. One row per (article, title): brain, path, title,
     n_articles, target_path.
     """
-    named = (catalog.filter(F.col("title").isNotNull())
-             .select("brain", "path", "stem", _tokens(F.col("title")).alias("_t"))
-             .withColumn("title", F.array_join("_t", " ")).filter("title <> ''"))
-    ones, twos, threes = (F.get(h, F.lit(0)) for h in _run_hashes(F.split(F.col("title"), " ")))
-    titles = (named.groupBy("brain", "title")
-              .agg(F.count(F.lit(1)).alias("n_articles"), F.min("path").alias("target_path"))
-              .withColumn("_key", F.coalesce(threes, twos, ones)))
+    # Titles and links are read several times, so they are taken out of the texts once.
+    narrow = saved(catalog.select(
+        "brain", "path", "stem", F.array_join(_tokens(F.col("title")), " ").alias("title"),
+        F.concat(fm.wiki_links(fm.article_body(F.col("content"))), "related").alias("targets")), "titles-links")
+    named = narrow.filter("title <> ''").select("brain", "path", "stem", "title")
+    titles = _title_keys(named.groupBy("brain", "title").agg(F.count(F.lit(1)).alias("n_articles"),
+                                                             F.min("path").alias("target_path")))
     words = catalog.select("brain", "path", _tokens(fm.article_body(F.col("content"))).alias("_w"))
     runs = F.array_distinct(F.concat(*_run_hashes(F.col("_w"))))
     found = (explode_rows(words, ["brain", "path"], runs, "_key")
@@ -150,8 +161,8 @@ def missing_backlinks(catalog: DataFrame) -> DataFrame:
     # A link means one article, so it names one title.
     named_by_stem = (named.groupBy("brain", F.col("stem").alias("target"))
                      .agg(F.min(F.struct("path", "title")).alias("_m")).select("brain", "target", "_m.title"))
-    linked = (link_edges(catalog).select("brain", "path", "target").distinct()
-              .join(named_by_stem, ["brain", "target"]).select("brain", "path", "title"))
+    links = explode_rows(narrow, ["brain", "path"], F.array_distinct("targets"), "target")
+    linked = links.join(named_by_stem, ["brain", "target"]).select("brain", "path", "title")
     own = named.select("brain", "path", "title")
     unlinked = found.join(linked.unionByName(own), ["brain", "path", "title"], "left_anti")
     spaced = words.select("brain", "path", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_s"))

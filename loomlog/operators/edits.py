@@ -112,7 +112,7 @@ def classify_edits(edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     return edits.withColumn("verdict", verdict)
 
 
-def edit_sequence(edits: DataFrame, library: DataFrame) -> DataFrame:
+def edit_sequence(edits: DataFrame, library: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """Existence of each valid edit's path right before it, as if edits ran one by one.
 
     After an edit a path exists unless the edit deleted it, so the state before an edit is
@@ -120,7 +120,7 @@ def edit_sequence(edits: DataFrame, library: DataFrame) -> DataFrame:
     cut into chunks of runs.
     """
     keys = ["brain", "path"]
-    valid = classify_edits(edits).filter((F.col("verdict") == "ok") & (F.col("action") != "skip"))
+    valid = classify_edits(edits, root).filter((F.col("verdict") == "ok") & (F.col("action") != "skip"))
     known = library.select(*keys).distinct().withColumn("action", F.lit("create"))
     seen = previous_value(valid, keys, ["run_id", "seq"], "action", "_previous",
                           F.floor(F.col("run_id") / RUNS_PER_CHUNK), known)
@@ -128,28 +128,28 @@ def edit_sequence(edits: DataFrame, library: DataFrame) -> DataFrame:
             .drop("_previous", "verdict"))
 
 
-def edit_target_state(edits: DataFrame, library: DataFrame) -> DataFrame:
+def edit_target_state(edits: DataFrame, library: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """Adds the action that really happens: synthesis turns create/update into what the
     target's state allows; a review's delete of a missing path is `ignored`."""
     effective = (F.when(F.col("kind") == "compile", F.when(F.col("exists_before"), "update").otherwise("create"))
                  .when((F.col("action") == "delete") & ~F.col("exists_before"), "ignored")
                  .otherwise(F.col("action")))
-    return edit_sequence(edits, library).withColumn("effective", effective)
+    return edit_sequence(edits, library, root).withColumn("effective", effective)
 
 
-def new_versions(edits: DataFrame, library: DataFrame) -> DataFrame:
+def new_versions(edits: DataFrame, library: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """Version rows of applied edits; (run_id, seq) orders the history of a path, so no
     counter has to be handed out."""
-    return (edit_target_state(edits, library).filter(F.col("effective") != "ignored")
+    return (edit_target_state(edits, library, root).filter(F.col("effective") != "ignored")
             .select("brain", "path", "run_id", "seq", F.col("effective").alias("action"),
                     F.when(F.col("effective") != "delete", F.col("content")).alias("content")))
 
 
-def append_versions(versions: DataFrame, edits: DataFrame) -> DataFrame:
+def append_versions(versions: DataFrame, edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """History with the edits applied on top. Runs already in the history add nothing."""
     done = versions.select("brain", "run_id").distinct()
     fresh = edits.join(done, ["brain", "run_id"], "left_anti")
-    return versions.unionByName(new_versions(fresh, latest_version(versions)))
+    return versions.unionByName(new_versions(fresh, latest_version(versions), root))
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
@@ -158,10 +158,10 @@ def latest_version(versions: DataFrame) -> DataFrame:
             .filter(F.col("action") != "delete"))
 
 
-def applied_log(edits: DataFrame, library: DataFrame) -> DataFrame:
+def applied_log(edits: DataFrame, library: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """What a run reports: applied edits with their effective action, and skips."""
     cols = ["brain", "kind", "run_id", "seq"]
-    done = (edit_target_state(edits, library).filter(F.col("effective") != "ignored")
+    done = (edit_target_state(edits, library, root).filter(F.col("effective") != "ignored")
             .select(*cols, F.col("effective").alias("action"), "path", F.lit(None).cast("string").alias("note")))
     skips = (edits.filter(F.col("action") == "skip")
              .select(*cols, "action", F.lit(None).cast("string").alias("path"),
@@ -169,17 +169,17 @@ def applied_log(edits: DataFrame, library: DataFrame) -> DataFrame:
     return done.unionByName(skips)
 
 
-def rejected_edits(edits: DataFrame) -> DataFrame:
+def rejected_edits(edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """Error rows of edits that may not be applied."""
-    return (classify_edits(edits).filter(F.col("verdict") != "ok")
+    return (classify_edits(edits, root).filter(F.col("verdict") != "ok")
             .select("brain", "run_id", "seq", F.lit("apply").alias("stage"),
                     truncate_text(F.concat_ws(": ", "verdict", "action", "path"), 500).alias("message")))
 
 
-def move_pairs(edits: DataFrame) -> DataFrame:
+def move_pairs(edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """A delete and a create/rewrite of the same stem at another path in one run are a move.
     Targets are summarised per (run, stem) first, so output stays linear in the deletes."""
-    keyed = classify_edits(edits).filter(F.col("verdict") == "ok").withColumn("stem", article_stem(F.col("path")))
+    keyed = classify_edits(edits, root).filter(F.col("verdict") == "ok").withColumn("stem", article_stem(F.col("path")))
     keys = ["brain", "run_id", "stem"]
     gone = keyed.filter(F.col("action") == "delete").select(*keys, F.col("path").alias("from_path")).distinct()
     # The two least target paths are enough to find one that is not the deleted path itself.

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, LongType
 from loomlog.functions.arrays import explode_rows
 from loomlog.functions.front_matter import article_body
 from loomlog.plans.ordered import latest_per_key
-from loomlog.session import fresh_folder
+from loomlog.session import saved
 
 # Tasks get the functions of this module by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,13 +63,6 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    folder = fresh_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
 def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(brain, path, partner, jaccard): each article with a near-duplicate, and its best one.
 
@@ -82,7 +75,7 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
     """
     worded = catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
     # The one pass over the texts; every later step reads columns of this table.
-    signed = _saved(worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"),
+    signed = saved(worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"),
                                   _shingles(F.col("words")).alias("shingles"))
                     .withColumn("keys", band_keys("shingles")), "signatures")
     keyed = signed.select("brain", "path", "word_key").filter(F.col("word_key") != F.md5(F.lit("")))
@@ -96,7 +89,7 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
                            ["brain", "path"], "keys", "key", pos="band")
     sizes = members.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # One more pass over narrow rows instead of a window over whole buckets.
-    sized = _saved(members.join(sizes, _BUCKET), "buckets")
+    sized = saved(members.join(sizes, _BUCKET), "buckets")
     edges = _small_bucket_edges(sized.filter(F.col("n") <= SMALL_BUCKET), signed, threshold)
     hot = sized.filter(F.col("n") > SMALL_BUCKET)
     if not hot.isEmpty():
@@ -119,21 +112,21 @@ def _small_bucket_edges(members: DataFrame, signed: DataFrame, threshold: float)
 
 
 def _large_bucket_edges(hot: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    members = _saved(hot.select(*_BUCKET, "path").join(signed.select("brain", "path", "shingles"), ["brain", "path"]),
+    members = saved(hot.select(*_BUCKET, "path").join(signed.select("brain", "path", "shingles"), ["brain", "path"]),
                      "hot-members")
     waiting, edges, leaders = members.select(*_BUCKET, "path"), None, 1
     while True:
         # Keeps at most `leaders` rows per bucket and map task before the shuffle.
         rank = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("path"))
-        lead = _saved(waiting.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).drop("_rank"), "leaders")
+        lead = saved(waiting.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).drop("_rank"), "leaders")
         lead_sets = (lead.join(signed.select("brain", "path", "shingles"), ["brain", "path"])
                      .select(*_BUCKET, F.col("path").alias("partner"), F.col("shingles").alias("_b")))
-        hits = _saved(members.join(lead_sets, _BUCKET).filter(F.col("path") != F.col("partner"))
+        hits = saved(members.join(lead_sets, _BUCKET).filter(F.col("path") != F.col("partner"))
                       .select(*_BUCKET, "path", "partner", _jaccard(F.col("shingles"), F.col("_b")).alias("jaccard"))
                       .filter(F.col("jaccard") >= threshold), "hits")
         edges = hits if edges is None else edges.unionByName(hits)
         done = hits.select(*_BUCKET, "path").unionByName(lead.select(*_BUCKET, "path")).distinct()
-        waiting = _saved(waiting.join(done, [*_BUCKET, "path"], "left_anti"), "waiting")
+        waiting = saved(waiting.join(done, [*_BUCKET, "path"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return edges.select("brain", "path", "partner", "jaccard").distinct()
         leaders = min(leaders * 2, MAX_LEADERS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,12 @@ def work_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """New folder name below the shared work folder."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a table in the work folder and read back: computed once, its lineage
+    cut, and safe when executors are lost."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

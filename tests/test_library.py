@@ -292,6 +292,15 @@ def test_backlinks_links_and_provenance(spark):
     assert [(r["project"], r["n_articles"]) for r in cu.project_clusters(c, sessions, least=2).collect()] == [("billing", 2)]
 
 
+def test_titles_with_a_common_beginning_have_keys_of_their_own(spark):
+    titles = spark.createDataFrame([("w", f"how to fix case {i}") for i in range(40)] + [("w", "how to"), ("w", "fix")], "brain string, title string")
+    keyed = cu._title_keys(titles)
+    assert keyed.count() == 42 and keyed.select("_key").distinct().count() == 42
+    c = catalog(spark, *[art(path=f"library/{i}.md", fmt=f"title: How to fix case {i}", body=f"how to fix case {(i + 1) % 30} today") for i in range(30)])
+    got = {(r["path"], r["title"]) for r in cu.missing_backlinks(c).collect()}
+    assert got == {(f"library/{i}.md", f"how to fix case {(i + 1) % 30}") for i in range(30)}
+
+
 def test_response_edits(spark):
     df = spark.createDataFrame([(1, "w", "compile", 1, "bad"), (1, "w", "compile", 2, BLOCK)],
                                "run_id long, brain string, kind string, attempt int, text string")
