@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import front_matter as fm
-from loomlog.functions.arrays import explode_rows
+from loomlog.functions.arrays import explode_rows, keep_computed
 from loomlog.functions.titles import normalize_cwd
 from loomlog.session import saved
 
@@ -44,15 +44,15 @@ def thin_articles(catalog: DataFrame, limits: dict[str, int] = THIN_WORDS) -> Da
                 .withColumn("_limit", _by_brain(limits)))
     thin = (F.col("words") < F.col("_limit")) | (F.col("bullets").between(1, FEW_BULLETS)
                                                  & (F.col("words") < 2 * F.col("_limit")))
-    return measured.filter(thin).select("brain", "path", "words", "bullets")
+    return keep_computed(measured, thin, ["brain", "path"], ["words", "bullets"])
 
 
 def person_data_hits(catalog: DataFrame) -> DataFrame:
     """E-mail and phone spans per article; articles without any are left out."""
-    return (catalog.withColumn("_body", fm.article_body(F.col("content")))
-            .withColumn("emails", fm.email_hits(F.col("_body")))
-            .withColumn("phones", fm.phone_hits(F.col("_body")))
-            .filter("emails + phones > 0").select("brain", "path", "emails", "phones"))
+    counted = (catalog.withColumn("_body", fm.article_body(F.col("content")))
+               .withColumn("emails", fm.email_hits(F.col("_body")))
+               .withColumn("phones", fm.phone_hits(F.col("_body"))))
+    return keep_computed(counted, F.col("emails") + F.col("phones") > 0, ["brain", "path"], ["emails", "phones"])
 
 
 def share_review(catalog: DataFrame) -> DataFrame:

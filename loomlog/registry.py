@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomlog.fixtures import SCOPE_RULES, STORES, duckdb_sql, fixture, table
 from loomlog.functions import front_matter as fm
 from loomlog.functions import titles as tt
-from loomlog.functions.redaction import DEFAULT_RULES, redact
+from loomlog.functions.redaction import DEFAULT_RULES, Rule, redact
 from loomlog.operators import changelog as ch
 from loomlog.operators import compile_window as cw
 from loomlog.operators import curation as cu
@@ -29,6 +29,7 @@ from loomlog.operators import routing as ro
 from loomlog.operators import sessions as se
 from loomlog.operators import transcripts as tr
 from loomlog.plans.jobs import compile_library, logged_turns, malformed_lines, sanitized_snapshot
+from loomlog.plans.ordered import running_sum
 from loomlog.session import fresh_folder
 from loomlog.sources import readers, sinks
 from loomlog.sources.config import RoutingConfig, load_routing_config
@@ -244,15 +245,9 @@ def _read_session_logs(spark, d):
                      "line_no", F.col("line_no").cast("string").alias("line")))
     (lines.repartition("day", "name").sortWithinPartitions("day", "name", "line_no")
      .select("day", "name", "line").write.partitionBy("day", "name").text(folder))
-    names = F.regexp_extract("_metadata.file_path", r"/name=([^/]+)/", 1)
-    back = (spark.read.option("recursiveFileLookup", "true").text(folder)
-            .select(F.regexp_extract("_metadata.file_path", r"/day=([^/]+)/", 1).alias("log_date"), names.alias("name"),
-                    readers.line_order().alias("line_no"), F.col("value").alias("line")))
-    keyed = (back.withColumn("hhmmss", tt.log_name_time(F.col("name")))
-             .withColumn("session_id", tt.log_name_session(F.col("name"))))
-    from loomlog.plans.ordered import running_sum
-    return (running_sum(keyed, ["session_id", "log_date"], ["line_no"], F.lit(1), "position")
-            .select("log_date", "hhmmss", "session_id", "position", "line"))
+    back = readers.read_session_logs(spark, folder, r"/day=([^/]+)/", r"/name=([^/]+)/", "*")
+    placed = running_sum(back, ["session_id", "log_date"], ["line_no"], F.lit(1), "position")
+    return _text(placed.select("log_date", "hhmmss", "session_id", "position", "line"), "log_date")
 
 
 @register("write_snapshot", "SELECT session_id, store, CAST(log_date AS VARCHAR) AS log_date, body FROM "
@@ -523,7 +518,6 @@ SELECT session_id, line_no, label, value FROM (
 WHERE NOT regexp_matches(value, 'SHA256:[A-Za-z0-9+/]{{43}}')
   AND NOT regexp_matches(concat('raw/logs/', session_id, CASE line_no % 2 WHEN 0 THEN '.jsonl' ELSE '.md' END), 'raw/logs/.*\\.jsonl$')""")
 def _allowlist_filter(spark, d):
-    from loomlog.functions.redaction import Rule
     rules = (DEFAULT_RULES[4], Rule("FINGERPRINT", r"SHA256:[0-9a-zA-Z]{43}|Bearer t+", "x"))
     found = rd.findings(_fx(spark, d, "turns"), "text", ["session_id", "line_no"], rules)
     path = F.concat(F.lit("raw/logs/"), "session_id", F.when(F.col("line_no") % 2 == 0, ".jsonl").otherwise(".md"))

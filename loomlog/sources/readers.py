@@ -57,14 +57,15 @@ def read_hook_events(spark: SparkSession, path: str, streaming: bool = False) ->
     return parse_hook_events(reader.text(path))
 
 
-def read_session_logs(spark: SparkSession, root: str) -> DataFrame:
+def read_session_logs(spark: SparkSession, root: str, day_pattern: str = r"/(\d{4}-\d{2}-\d{2})/[^/]*\z",
+                      name_pattern: str = r"([^/]*)\z", glob: str = "*.md") -> DataFrame:
     """Narrative files `<root>/<date>/<name>.md` line by line: log_date, file_name, hhmmss,
-    session_id, line_no, line. A log of any size is read in splits."""
+    session_id, line_no, line. A log of any size is read in splits. The patterns take date
+    and name from the file path."""
     name = F.col("file_name")
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
-            .select(F.try_to_date(F.regexp_extract(_path(), r"/(\d{4}-\d{2}-\d{2})/[^/]*\z", 1),
-                                  "yyyy-MM-dd").alias("log_date"),
-                    F.regexp_extract(_path(), r"([^/]*)\z", 1).alias("file_name"),
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+            .select(F.try_to_date(F.regexp_extract(_path(), day_pattern, 1), "yyyy-MM-dd").alias("log_date"),
+                    F.regexp_extract(_path(), name_pattern, 1).alias("file_name"),
                     line_order().alias("line_no"), F.col("value").alias("line"))
             .filter("log_date is not null")
             .withColumn("hhmmss", log_name_time(name)).withColumn("session_id", log_name_session(name)))

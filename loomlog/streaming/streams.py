@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.utils import AnalysisException
 
 from loomlog.operators.redaction import redact_table
 from loomlog.session import ROCKSDB, fresh_folder
@@ -131,9 +132,9 @@ def compile_new_sessions(spark: SparkSession, source: str, done: str, state: str
     def add(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        held = own.read.schema(batch.schema).option("ignoreMissingFiles", "true")
         if _exists(own, done):
-            fresh = fresh.join(held.parquet(done).select(*keys), keys, "left_anti")
+            held = own.read.schema(batch.schema).parquet(done).select(*keys)
+            fresh = fresh.join(held, keys, "left_anti")
         fresh.write.mode("append").parquet(done)
 
     (stream_table(spark, source).writeStream.foreachBatch(add)
@@ -142,7 +143,6 @@ def compile_new_sessions(spark: SparkSession, source: str, done: str, state: str
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.sql.utils import AnalysisException
     try:
         spark.read.parquet(path).schema
         return True
