@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Work folders of applications whose session names none.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,16 +39,14 @@ def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
     A cluster names it in `spark.checkpoint.dir`. Only where that is unset (tests, a
-    laptop) a local folder is made and stored in the same setting.
+    laptop) a local folder is made, once per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="loomlog-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="loomlog-")
+        root = _LOCAL_ROOTS[app]
     return root.rstrip("/")
 
 
