@@ -38,11 +38,13 @@ def build_session(app: str = "loomlog", master: str | None = None,
 def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where that is unset (tests, a
-    laptop) a local folder is made, once per application.
+    A cluster names it in `spark.checkpoint.dir`, and must: executors cannot see each other's
+    local folders. Only a session with a local master gets a local folder, once per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="loomlog-")
@@ -55,10 +57,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """`df` written to a table in the work folder and read back: computed once, its lineage
     cut, and safe when executors are lost."""
     spark = df.sparkSession
     folder = fresh_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
