@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomlog.llm.bpe import op5_bpe
+from loomlog.llm.simhash import op9_simhash
 from loomlog.llm.token_file import op1_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op5_bpe": op5_bpe,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
