@@ -12,13 +12,17 @@ id and the text are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
@@ -29,54 +33,116 @@ from loomlog.session import fresh_folder, saved
 #: A block is closed at this many ids; it is larger only if its last document is.
 BLOCK_IDS = 1 << 18
 #: Entries of a worker's memory of encoded pieces; it is emptied when full.
-MEMORY = 400_000
-#: White space other than a space or a line feed.
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+MEMORY = 1_000_000
+#: Characters that are encoded at a time, about.
+STEP = 1 << 22
+#: White space next to white space, or other than a space or a line feed; and the piece mark.
+_UNSAFE = "\x00|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUT = re.compile(r"(?<=\S)(?=\x20\S)")
 
 RAW = "part int, block long, at long, doc_ids array<long>, counts array<long>, width int, ids binary"
 FILE = "part int, block long, first_id long, doc_ids array<long>, counts array<long>, frame binary"
 
 
 class _Pieces(dict):
-    """Ids, as little-endian bytes of numpy type `kind`, of pieces of text that the tokenizer never joins."""
+    """Ids, as little-endian bytes of numpy type `kind`, of pieces of text that the tokenizer never
+    joins."""
 
     def __init__(self, tokenizer, kind: str) -> None:
-        self.encode, self.kind = tokenizer.encode, kind
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+        self.tokenizer, self.kind = tokenizer, kind
 
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-@lru_cache(maxsize=2)
-def _encoder(tokenizer_json: str, kind: str):
-    """Function from a text to its ids as bytes.
+    def all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, the unknown ones encoded together. A letter and a comma or full stop
+        behind it never share a token, so such a piece needs its word only."""
+        found = list(map(self.get, pieces))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if len(self) + len(unknown) > MEMORY:
+            self.clear()
+        marked = {i: pieces[i][-1] for i in unknown if pieces[i][-1:] in (",", ".") and pieces[i][-2:-1].isalpha()}
+        words = [pieces[i][:-1] if i in marked else pieces[i] for i in unknown]
+        new = list({*filterfalse(self.__contains__, words), ",", "."})
+        code = "H" if self.kind == "<u2" else "I"
+        for word, one in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = one.ids
+            self[word] = struct.pack(f"<{len(ids)}{code}", *ids)
+        for i, word in zip(unknown, words, strict=True):
+            found[i] = self[word] + self[marked[i]] if i in marked else self[word]
+            if i in marked and len(word) < 64:
+                self[pieces[i]] = found[i]
+        for word in new:
+            if len(word) > 64:
+                del self[word]
+        return found
+
+
+class Encoder:
+    """Encodes texts with a tokenizer, repeated pieces once a batch.
 
     A byte-level tokenizer whose pattern lets a word take one space before it always parts a text
     between two characters that are not white space with one space or line feed between them: before
     a space, and on both sides of a line feed. Texts with other white space are encoded in one go.
     """
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
-    pieces = _Pieces(tokenizer, kind)
-    by_parts = '"use_regex":true' in tokenizer.to_str().replace(" ", "") and tokenizer.normalizer is None
-    get = pieces.__getitem__
 
-    def encode(text: str) -> bytes:
-        if not by_parts or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _OTHER_SPACE.search(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=kind).tobytes()
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append((get(first) if first else b"") + b"".join([get(" " + word) for word in rest]))
-        return get("\n").join(lines)
+    def __init__(self, tokenizer_json: str, kind: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        self.kind, self.pieces = kind, _Pieces(tokenizer, kind)
+        self.by_parts = '"use_regex":true' in tokenizer.to_str().replace(" ", "") and tokenizer.normalizer is None
+
+    def encode(self, some: list[str]) -> Iterator[bytes]:
+        """Ids of each text. Long texts are cut where a word with a space before it begins."""
+        rows, owner, size = [], [], 0
+        for i, text in enumerate(some):
+            for segment in self._segments(text):
+                rows.append(segment)
+                owner.append(i)
+        out: list[list[bytes]] = [[] for _ in some]
+        first = 0
+        for at, segment in enumerate(rows, 1):
+            size += len(segment)
+            if size >= STEP or at == len(rows):
+                for i, ids in zip(owner[first:at], self._batch(rows[first:at]), strict=True):
+                    out[i].append(ids)
+                first, size = at, 0
+        return (b"".join(ids) for ids in out)
+
+    def _segments(self, text: str) -> Iterator[str]:
+        at = 0
+        while self.by_parts and len(text) - at > 2 * STEP and (cut := _CUT.search(text, at + STEP)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def _batch(self, some: list[str]) -> list[bytes]:
+        column = pa.array(some, pa.large_string())
+        unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False) if self.by_parts else np.ones(len(some), bool)
+        safe = column.filter(pa.array(~unsafe))
+        marked = pc.replace_substring(pc.replace_substring(safe, " ", "\x00 "), "\n", "\x00\n\x00")
+        split = pc.split_pattern(marked, "\x00")
+        coded = split.flatten().dictionary_encode()
+        found = self.pieces.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        taken = sizes[codes]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = np.frombuffer(b"".join(found), self.kind)
+        ids = flat[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(total)] if total else flat[:0]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()] * width
+        raw = ids.tobytes()
+        made = (raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        return [self.pieces.ids(text) if odd else next(made) for text, odd in zip(some, unsafe.tolist(), strict=True)]
+
 
-    return encode
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_json: str, kind: str) -> Encoder:
+    return Encoder(tokenizer_json, kind)
 
 
 def raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -87,7 +153,7 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shipped.value, kind)
+        encode = _encoder(shipped.value, kind).encode
         end = np.array([end_id], dtype=kind).tobytes()
         part, block, at, total, docs_, counts, ids, width = 0, 0, 0, 0, [], [], [], len(end)
 
@@ -98,8 +164,8 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         for batch in batches:
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
-            for doc, text in zip(batch.column("id").to_pylist(), texts(batch, "text"), strict=True):
-                found = encode(text) + end
+            for doc, found in zip(batch.column("id").to_pylist(), encode(texts(batch, "text")), strict=True):
+                found += end
                 docs_.append(doc)
                 counts.append(len(found) // width)
                 ids.append(found)
