@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomlog.llm import exact_dedup, secrets
 from loomlog.llm.bpe import op5_bpe
 from loomlog.llm.simhash import op9_simhash
 from loomlog.llm.token_file import op1_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secrets": secrets.SQL,
+    "op4_exact_dedup": exact_dedup.SQL,
+}
