@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import exact_dedup, secrets
+from loomlog.llm import exact_dedup, secrets, warc
 from loomlog.llm.bpe import op5_bpe
 from loomlog.llm.simhash import op9_simhash
 from loomlog.llm.token_file import op1_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op2_warc": warc.op2_warc,
     "op3_secrets": secrets.op3_secrets,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": op5_bpe,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op3_secrets": secrets.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
