@@ -235,12 +235,12 @@ def word_tokenizer(tokenizer_json: str) -> WordTokenizer:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     with_ids: bool = True, piece: int = 4096) -> DataFrame:
+                     with_ids: bool = True, with_text: bool = False, piece: int = 4096) -> DataFrame:
     """Whole texts encoded, then decoded from the ids: (id, n_tokens, ids_sha256, decoded_sha256[,
-    ids, decoded]). Ids go through the decoder `piece` at a time."""
+    ids][, decoded]). Ids go through the decoder `piece` at a time."""
     shipped = shipped_tokenizer(docs.sparkSession, tokenizer_path)
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(shipped.value)
@@ -255,19 +255,23 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 for at in range(0, len(ids), piece):
                     out = machine.feed(ids[at : at + piece].tolist())
                     digest.update(out.encode())
-                    if with_ids:
+                    if with_text:
                         parts.append(out)
                 out = machine.finish()
                 digest.update(out.encode())
                 decoded.append(digest.hexdigest())
                 if with_ids:
                     ids_out.append(ids.astype(np.int32))
+                if with_text:
                     texts_out.append("".join([*parts, out]))
             columns = [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts_out, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(ids_out, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                columns.append(pa.array(texts_out, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return pick(docs, id_col, text_col).mapInArrow(run, schema)

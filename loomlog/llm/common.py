@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,3 +44,39 @@ def shipped_tokenizer(spark: SparkSession, path: str):
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """Texts of a batch, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+def filtered(df: DataFrame, good: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """Rows that `good` marks, with all their columns, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most `most` labelled ids, those of the smallest hash, that `learn`
+    allows. The ids are broadcast: their number is bounded by `most`. Rows without an id or a label
+    are no examples; of several labels of an id the largest counts."""
+    known = (pick(labels, id_col, label).toDF("doc_id", "label").filter(learn & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+             .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", text_of("text"))
+    return rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression, the constant first, by Newton's method."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomlog.llm.common import pick, table, text_of, texts
+from loomlog.llm.common import filtered, pick, table, text_of, texts
 
 LEAST, THRESHOLD = 5, 0.5
 #: Characters of a block of items, and words of a window.
@@ -203,10 +203,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without contaminated rows; ids name rows."""
-    gone = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+                      least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without contaminated rows, in one pass per block of items."""
+    for block in blocks_of(items, item_id, item_text):
+        docs = filtered(docs, _clean(docs.sparkSession.sparkContext.broadcast(block), text_col, least, threshold))
+    return docs
+
+
+def _clean(shared, text_col: str, least: int, threshold: float):
+    held: list[Items] = []
+
+    def clean(batch: pa.RecordBatch) -> np.ndarray:
+        if not held:
+            held.append(Items(shared.value, least))
+        known = held[0]
+        return np.array([not any(c >= threshold * len(known.words[i]) for i, (c, _) in known.of(text).items()) for text in texts(batch, text_col)], dtype=bool)
+
+    return clean
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontamination, exact_dedup, html_text, secrets, warc
+from loomlog.llm import decontamination, exact_dedup, html_text, quality, secrets, toxicity, warc
 from loomlog.llm.bpe import op5_bpe
 from loomlog.llm.simhash import op9_simhash
 from loomlog.llm.token_file import op1_token_file
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_html_text": html_text.op6_html_text,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {
