@@ -40,7 +40,7 @@ FROM (SELECT DISTINCT conv_id FROM {{conversations}}) q""",
     "turns": f"""
 SELECT {_SESSION.format("conv_id")} AS session_id, turn AS line_no, role,
   (conv_id * 7 + turn) % 11 = 0 AS is_sidechain, {_START} + INTERVAL '7' HOUR * turn AS ts,
-  concat(text, CASE (conv_id + turn) % 8
+  concat(text, CASE (conv_id * 5 + turn) % 26
     WHEN 0 THEN concat(' ', 'ghp', '_', repeat('a1', 18))
     WHEN 1 THEN concat(' ', 'AK', 'IA', repeat('Z', 16))
     WHEN 2 THEN concat(' Bearer ', repeat('t', 24))
@@ -48,6 +48,22 @@ SELECT {_SESSION.format("conv_id")} AS session_id, turn AS line_no, role,
     WHEN 4 THEN concat(' ', 'AI', 'za', repeat('k', 35))
     WHEN 5 THEN concat(chr(10), '-----BEGIN ', 'PRIVATE KEY-----', chr(10), repeat('Q', 40), chr(10), '-----END ', 'PRIVATE KEY-----')
     WHEN 6 THEN concat(' "client', 'Secret" : "', repeat('s', 9), '" ab~', repeat('x', 34))
+    WHEN 7 THEN concat(' sk-', 'proj-', repeat('p', 24))
+    WHEN 8 THEN concat(' sk-', repeat('a1', 18))
+    WHEN 9 THEN concat(' gho', '_', repeat('o', 32), ' ghs', '_', repeat('s', 32))
+    WHEN 10 THEN concat(' github', '_pat_', repeat('g_', 26))
+    WHEN 11 THEN concat(' xox', 'b-', repeat('1-a', 8))
+    WHEN 12 THEN concat(' ey', 'Ja.', 'ey', 'Jb.', 'c-d')
+    WHEN 13 THEN concat(' DefaultEndpoints', 'Protocol=https;AccountName=n;Account', 'Key=ab+/==')
+    WHEN 14 THEN concat(' pk', '_live_', repeat('v', 25))
+    WHEN 15 THEN concat(' S', 'K', repeat('0f', 16))
+    WHEN 16 THEN concat(' S', 'G.', repeat('a', 18), '.', repeat('b', 33))
+    WHEN 17 THEN concat(' hooks.slack', '.com/services/T0A/B0B/xyz')
+    WHEN 18 THEN concat(' dop', '_v1_', repeat('0f', 32))
+    WHEN 19 THEN concat(' da', 'pi', repeat('0f', 16))
+    WHEN 20 THEN concat(' [{{{{"value": "', repeat('u', 7), '", "key": "client', 'Secret"}}}}]')
+    WHEN 21 THEN concat(' mongodb+srv', '://u:p%40@h.example and https://plain.example/a:b')
+    WHEN 22 THEN concat(' -----BEGIN ', 'RSA PRIVATE KEY-----', chr(10), 'ab', chr(10), '-----END ', 'RSA PRIVATE KEY-----')
     ELSE concat(' sk-', 'ant-', repeat('b', 31), ' SHA256:', repeat('h', 43)) END) AS text
 FROM {{conversations}}""",
 

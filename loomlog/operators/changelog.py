@@ -26,7 +26,7 @@ def changelog(entries: DataFrame, runs: DataFrame) -> DataFrame:
     entries: brain, kind, run_id, seq, action, path, note (see `applied_log`);
     runs: brain, kind, section_date, run_id, hm, summary, one row per run. Sorted by
     `changelog_sort()` the lines of a library are its document: a head without a date, then
-    one section per date, newest first. Synthesis lists edits, skips, then the summary; a
+    one section per date, newest first. Synthesis lists edits, skips, the summary, then that nothing ran; a
     review without edits is one line with its first skip reason.
     """
     keys = ["brain", "section_date", "run_id"]
@@ -55,7 +55,7 @@ def changelog(entries: DataFrame, runs: DataFrame) -> DataFrame:
                     F.concat(F.when(compiling, "  - session summary: ").otherwise("  - supervisor summary: "),
                              F.col("summary")).alias("line")))
     idle = (run.filter(compiling & (n == 0))
-            .select(*keys, F.lit(2).alias("rank"), seq0,
+            .select(*keys, F.lit(4).alias("rank"), seq0,
                     F.concat(tick, F.lit("_no sessions in range; compile ran no-op._")).alias("line")))
     day = F.concat(F.lit("## "), F.date_format("section_date", "yyyy-MM-dd"), F.lit("\n"))
     frame = F.array(F.struct(F.col("lo").alias("run_id"), F.lit(0).alias("rank"), day.alias("line")),

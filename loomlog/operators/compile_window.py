@@ -51,9 +51,11 @@ def pending_sessions(logs: DataFrame, cursors: Mapping[str, Cursor], today: date
 
     The bounds are literals, so they prune `brain` and `log_date` partitions. On the
     cursor's own date only logs after its session are left; comparing time key and id, not
-    names, survives a title change. `day` picks one date and sets the resume point aside.
+    names, survives a title change. `day` picks one date and sets the resume point aside. A
+    library without a cursor starts at its first day.
     """
-    parts = []
+    fresh = ~F.col("brain").isin(*cursors) if cursors else F.lit(True)
+    parts = [fresh & ((F.col("log_date") == F.lit(day)) if day is not None else (F.col("log_date") < F.lit(today)))]
     for brain, cursor in cursors.items():
         mine = F.col("brain") == brain
         if day is not None:

@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from loomlog.functions.arrays import explode_rows
 from loomlog.functions.front_matter import article_body
 from loomlog.plans.ordered import latest_per_key
 from loomlog.session import saved
 
-# Tasks get the functions of this module by value, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-BANDS, ROWS = 16, 4
-SHINGLE = 3
 THRESHOLD = 0.7
-# Buckets up to this size compare all members; larger ones go by leaders, see below.
-SMALL_BUCKET = 32
-MAX_LEADERS = 64
-
-_SEEDS = np.random.default_rng(20240229).integers(-2**63, 2**63 - 1, size=BANDS * ROWS, dtype=np.int64)
-_BUCKET = ["brain", "band", "key"]
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def band_keys(shingles: pd.Series) -> pd.Series:
-    """One key per band from the minimum hashes of each shingle set (sets are not empty)."""
-    if not len(shingles):
-        return pd.Series([], dtype=object)
-    sizes = np.fromiter((len(s) for s in shingles), dtype=np.int64, count=len(shingles))
-    flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in shingles])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mins = np.stack([np.minimum.reduceat(flat ^ seed, starts) for seed in _SEEDS], axis=1)
-    mixed = np.zeros((len(sizes), BANDS), dtype=np.uint64)
-    for row in mins.view(np.uint64).reshape(len(sizes), BANDS, ROWS).transpose(2, 0, 1):
-        mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
-    return pd.Series(list(mixed.view(np.int64)))
+_BUCKET = ["brain", "shingle"]
 
 
 def _words(text: Column) -> Column:
@@ -58,75 +27,74 @@ def _shingles(words: Column) -> Column:
                       F.array(F.xxhash64(words)))
 
 
+def shingle_set(content: Column) -> Column:
+    """Distinct shingles of an article's body."""
+    return _shingles(_words(article_body(content)))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
 def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(brain, path, partner, jaccard): each article with a near-duplicate, and its best one.
+    """(brain, path, partner, jaccard): every article that has a near-duplicate, with one of them.
 
     Copies with the same words are grouped first and linked to one member, so any number of
-    them costs one row each. What is left is banded by MinHash. Members of a small bucket
-    are compared with each other. In a large bucket a few leaders are compared with all
-    members; members without a partner so far supply the next leaders (twice as many each
-    round), until every member has a partner or has led. So a bucket of near-copies takes
-    one pass, none is cut short, and who is reported does not depend on bucket size.
+    them costs one row each. The rest is an exact set join: two articles that are alike share
+    a shingle among the rarest of each (as many as they may differ in, plus one), so those
+    shingles are the buckets, and boilerplate never is one. In a bucket the first waiting
+    member leads and is compared with all others; whoever has a partner waits no more, and
+    each round takes twice as many leaders. A bucket of near-copies takes one pass, no bucket
+    is cut short, and which articles are reported depends on nothing but their texts.
     """
     worded = catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
     # The one pass over the texts; every later step reads columns of this table.
     signed = saved(worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"),
-                                  _shingles(F.col("words")).alias("shingles"))
-                    .withColumn("keys", band_keys("shingles")), "signatures")
+                                 _shingles(F.col("words")).alias("shingles")), "signatures")
     keyed = signed.select("brain", "path", "word_key").filter(F.col("word_key") != F.md5(F.lit("")))
     groups = (keyed.groupBy("brain", "word_key")
               .agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count(F.lit(1)).alias("n")))
     copies = (keyed.join(groups.filter("n > 1"), ["brain", "word_key"])
               .select("brain", "path", F.when(F.col("path") == F.col("first"), F.col("last"))
                       .otherwise(F.col("first")).alias("partner"), F.lit(1.0).alias("jaccard")))
-    single = groups.select("brain", F.col("first").alias("path"))
-    members = explode_rows(signed.select("brain", "path", "keys").join(single, ["brain", "path"], "left_semi"),
-                           ["brain", "path"], "keys", "key", pos="band")
-    sizes = members.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # One more pass over narrow rows instead of a window over whole buckets.
-    sized = saved(members.join(sizes, _BUCKET), "buckets")
-    edges = _small_bucket_edges(sized.filter(F.col("n") <= SMALL_BUCKET), signed, threshold)
-    hot = sized.filter(F.col("n") > SMALL_BUCKET)
-    if not hot.isEmpty():
-        edges = edges.unionByName(_large_bucket_edges(hot, signed, threshold))
+    single = signed.join(groups.select("brain", F.col("first").alias("path")), ["brain", "path"], "left_semi")
+    edges = _led(saved(_rare(single, threshold), "buckets"), single, threshold)
     found = edges.unionByName(edges.select("brain", F.col("partner").alias("path"), F.col("path").alias("partner"),
                                            "jaccard"))
     all_found = found.unionByName(copies).withColumn("_closeness", F.col("jaccard"))
     return latest_per_key(all_found, ["brain", "path"], ["_closeness", "partner"]).drop("_closeness")
 
 
-def _small_bucket_edges(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    a = members.select(*_BUCKET, "path")
-    b = members.select(*_BUCKET, F.col("path").alias("partner"))
-    pairs = a.join(b, _BUCKET).filter(F.col("path") < F.col("partner")).select("brain", "path", "partner").distinct()
-    left = signed.select("brain", "path", F.col("shingles").alias("_a"))
-    right = signed.select("brain", F.col("path").alias("partner"), F.col("shingles").alias("_b"))
-    return (pairs.join(left, ["brain", "path"]).join(right, ["brain", "partner"])
-            .select("brain", "path", "partner", _jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
-            .filter(F.col("jaccard") >= threshold))
+def _rare(articles: DataFrame, threshold: float) -> DataFrame:
+    """(brain, shingle, path): the rarest shingles of each article, of which any article alike
+    shares one. A shingle that only one article holds counts as rare and is left out."""
+    rows = explode_rows(articles.withColumn("_size", F.size("shingles")), ["brain", "path", "_size"], "shingles", "shingle")
+    often = rows.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("brain", "path")
+    may_differ = F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9) + 1
+    shared = (rows.join(often, _BUCKET).withColumn("_shared", F.count(F.lit(1)).over(own))
+              .withColumn("_rank", F.row_number().over(own.orderBy("n", "shingle"))))
+    return shared.filter(F.col("_rank") <= may_differ - (F.col("_size") - F.col("_shared"))).select(*_BUCKET, "path")
 
 
-def _large_bucket_edges(hot: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    members = saved(hot.select(*_BUCKET, "path").join(signed.select("brain", "path", "shingles"), ["brain", "path"]),
-                     "hot-members")
-    waiting, edges, leaders = members.select(*_BUCKET, "path"), None, 1
+def _led(members: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that leaders find (brain, path, partner, jaccard)."""
+    sets = articles.select("brain", "path", "shingles")
+    waiting, edges, leaders = members, None, 1
     while True:
         # Keeps at most `leaders` rows per bucket and map task before the shuffle.
         rank = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("path"))
         lead = saved(waiting.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).drop("_rank"), "leaders")
-        lead_sets = (lead.join(signed.select("brain", "path", "shingles"), ["brain", "path"])
-                     .select(*_BUCKET, F.col("path").alias("partner"), F.col("shingles").alias("_b")))
-        hits = saved(members.join(lead_sets, _BUCKET).filter(F.col("path") != F.col("partner"))
-                      .select(*_BUCKET, "path", "partner", _jaccard(F.col("shingles"), F.col("_b")).alias("jaccard"))
-                      .filter(F.col("jaccard") >= threshold), "hits")
+        pairs = (members.join(lead.withColumnRenamed("path", "partner"), _BUCKET).filter(F.col("path") != F.col("partner"))
+                 .select("brain", "path", "partner").distinct())
+        hits = saved(pairs.join(sets, ["brain", "path"])
+                     .join(sets.select("brain", F.col("path").alias("partner"), F.col("shingles").alias("_other")), ["brain", "partner"])
+                     .select("brain", "path", "partner", _jaccard(F.col("shingles"), F.col("_other")).alias("jaccard"))
+                     .filter(F.col("jaccard") >= threshold), "hits")
         edges = hits if edges is None else edges.unionByName(hits)
-        done = hits.select(*_BUCKET, "path").unionByName(lead.select(*_BUCKET, "path")).distinct()
-        waiting = saved(waiting.join(done, [*_BUCKET, "path"], "left_anti"), "waiting")
+        settled = hits.select("brain", "path").unionByName(hits.select("brain", F.col("partner").alias("path"))).distinct()
+        waiting = saved(waiting.join(settled, ["brain", "path"], "left_anti").join(lead, [*_BUCKET, "path"], "left_anti"), "waiting")
         if waiting.isEmpty():
-            return edges.select("brain", "path", "partner", "jaccard").distinct()
-        leaders = min(leaders * 2, MAX_LEADERS)
+            return edges
+        leaders *= 2

@@ -24,8 +24,11 @@ def promote_diff(flagged: DataFrame, shared: DataFrame, contributor: str | None
     """One row per path: copy, same or delete, by content hash (rel, action).
 
     flagged: rel, digest (see `union_sources`); shared: rel, content (and contributor, where several people
-    share a store: then only a contributor's own rows are deleted, others' show as keep).
+    share a store: then only a contributor's own rows are deleted, others' show as keep). A
+    contributor needs a store that tells its rows' contributors.
     """
+    if contributor is not None and "contributor" not in shared.columns:
+        raise ValueError("the shared store has no contributor column")
     left = flagged.select("rel", F.col("digest").alias("_new"))
     owner: Column = F.col("contributor") if "contributor" in shared.columns else F.lit(contributor).cast("string")
     right = shared.select("rel", F.md5("content").alias("_old"), owner.alias("_owner"))
@@ -48,8 +51,9 @@ def promote_counts(diff: DataFrame) -> DataFrame:
 
 
 def apply_promotion(flagged: DataFrame, shared: DataFrame, contributor: str | None = None) -> DataFrame:
-    """Shared store after the sync (rel, content)."""
+    """Shared store after the sync (rel, content[, contributor]); who copies a path owns it."""
     diff = promote_diff(flagged, shared, contributor)
-    kept = shared.select("rel", "content").join(diff.filter(F.col("action").isin("same", "keep")).select("rel"), "rel", "left_semi")
-    new = flagged.select("rel", "content").join(diff.filter(F.col("action") == "copy").select("rel"), "rel", "left_semi")
+    columns = ["rel", "content", *(["contributor"] if "contributor" in shared.columns else [])]
+    kept = shared.select(*columns).join(diff.filter(F.col("action").isin("same", "keep")).select("rel"), "rel", "left_semi")
+    new = flagged.withColumn("contributor", F.lit(contributor).cast("string")).select(*columns).join(diff.filter(F.col("action") == "copy").select("rel"), "rel", "left_semi")
     return kept.unionByName(new)

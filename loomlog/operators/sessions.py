@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.titles import log_file_name, log_summary_line
+from loomlog.operators.redaction import redact_table
 from loomlog.plans.ordered import CHUNK_WIDTH, join_group_value, latest_per_key
 
 ASSISTANT = "Claude"
@@ -19,11 +20,12 @@ def session_first_entry(events: DataFrame) -> DataFrame:
 
 
 def session_catalog(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per (store, date, session): time key, clean title, file name, log line.
+    """One row per (store, date, session): time key, clean title, file name, log line. Sessions
+    that opted out are not listed.
 
     sessions: session_id, scope, store, title; events: session_id, ts.
     """
-    return (session_first_entry(events).join(sessions.select("session_id", "scope", "store", "title"), "session_id")
+    return (session_first_entry(events).join(sessions.filter("scope <> 'nolog'").select("session_id", "scope", "store", "title"), "session_id")
             .withColumn("file_name", F.concat(log_file_name(F.col("hhmmss"), F.col("title"), F.col("session_id")),
                                               F.lit(".md")))
             .withColumn("log_line", log_summary_line(F.col("title"), F.col("session_id"), F.col("scope"))))
@@ -53,13 +55,17 @@ def session_narrative(turns: DataFrame, sessions: DataFrame, assistant: str = AS
 
     A header row (line_no -1) opens each (store, date, session), then one row per user or
     assistant turn; the texts in line order are the document. Rows stay rows: a session of
-    any size is never gathered into one value.
+    any size is never gathered into one value. Sessions that opted out, side chains and blank
+    texts write nothing, and texts are redacted.
 
-    turns: session_id, line_no, role, ts, text; sessions: session_id, scope, store, title.
+    turns: session_id, line_no, role, ts, text[, is_sidechain]; sessions: session_id, scope,
+    store, title.
     """
-    spoken = turns.filter(F.col("role").isin("user", "assistant")).withColumn("log_date", F.to_date("ts"))
+    main = turns.filter(~F.coalesce("is_sidechain", F.lit(False))) if "is_sidechain" in turns.columns else turns
+    spoken = main.filter(F.col("role").isin("user", "assistant") & (F.trim("text") != "")).withColumn("log_date", F.to_date("ts"))
+    spoken = redact_table(spoken, ["text"])
     keys = ["store", "log_date", "session_id"]
-    info = sessions.select("session_id", "scope", "store", "title")
+    info = sessions.filter("scope <> 'nolog'").select("session_id", "scope", "store", "title")
     heads = (spoken.groupBy("session_id", "log_date").agg(F.min("ts").alias("ts"))
              .join(info, "session_id")
              .select(*keys, F.lit(-1).cast("bigint").alias("line_no"),

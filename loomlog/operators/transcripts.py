@@ -11,9 +11,6 @@ from loomlog.plans.ordered import CHUNK_WIDTH, join_group_value, latest_per_key,
 PLAN_TOOL = "ExitPlanMode"
 STRIPPED = "[STRIPPED]"
 MODES = ("none", "minimal", "full")
-# Lines of a turn that go into one text part. A turn of usual length is one part; a turn
-# that holds a large share of the table becomes many rows instead of one huge string.
-PART_LINES = 10_000
 
 _FALSY_JSON = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
@@ -233,22 +230,26 @@ def last_user_line(entries: DataFrame) -> DataFrame:
             .groupBy("session_id").agg(F.max("line_no").alias("last_user_line")))
 
 
-def last_assistant_turn(entries: DataFrame, pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """Main-session assistant texts and plans after the last real user message.
+def last_turn_pieces(entries: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Main-session assistant texts and plans after the last real user message, as ordered rows
+    (session_id, line_no, block_no, text).
 
     `entries`: session_id, line_no, entry_type, is_sidechain, is_real_user. `pieces`:
-    session_id, line_no, block_no, entry_type, is_sidechain, text. Result: session_id, part,
-    text; parts joined in order by a blank line are the whole text. No window over a
-    session: one aggregate finds the cut, and a join by chunks drops everything before it.
+    session_id, line_no, block_no, entry_type, is_sidechain, text. No window over a session:
+    one aggregate finds the cut, and a join by chunks drops everything before it.
     """
     said = (main_session_only(entry_type_filter(pieces, "assistant"))
             .filter(F.coalesce(F.col("text"), F.lit("")) != "")
             .select("session_id", "line_no", "block_no", "text"))
-    after = (join_group_value(said, last_user_line(entries), ["session_id"], F.floor(F.col("line_no") / CHUNK_WIDTH))
-             .filter(F.col("line_no") > F.col("last_user_line"))
-             .withColumn("part", F.floor((F.col("line_no") - F.col("last_user_line") - 1) / part_lines)))
+    return (join_group_value(said, last_user_line(entries), ["session_id"], F.floor(F.col("line_no") / CHUNK_WIDTH))
+            .filter(F.col("line_no") > F.col("last_user_line")).select("session_id", "line_no", "block_no", "text"))
+
+
+def last_assistant_turn(entries: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The last turn of each session as one text (session_id, text), its pieces parted by a blank
+    line. A turn is one document, so it is one value, however the files were split."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "block_no", "text")))
-    return (after.groupBy("session_id", "part")
+    return (last_turn_pieces(entries, pieces).groupBy("session_id")
             .agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("text")))
 
 

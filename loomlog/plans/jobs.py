@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.redaction import JSON_RULES, redact
+from loomlog.functions.redaction import redact_json
 from loomlog.operators.edits import (append_versions, latest_version, parse_edits, parse_errors, rejected_edits,
                                      retry_choice, with_blocks)
 from loomlog.operators.compile_window import Cursor, pending_sessions
@@ -20,25 +20,25 @@ from loomlog.operators.transcripts import effective_mode, filter_tool_blocks, la
 
 def logged_turns(sessions: DataFrame, turns: DataFrame, config) -> DataFrame:
     """What a stop writes: the last assistant turn of each session that keeps a log, routed
-    and redacted (session_id, store, scope, title, part, text).
+    and redacted (session_id, store, scope, title, text).
 
     turns: session_id, line_no, entry_type, is_sidechain, is_real_user, text.
     """
     kept = config.route(sessions).filter("scope <> 'nolog'").select("session_id", "store", "scope", "title")
     last = last_assistant_turn(turns, turns.withColumn("block_no", F.lit(0)))
     return redact_table(last.join(kept, "session_id"), ["text"]).select(
-        "session_id", "store", "scope", "title", "part", "text")
+        "session_id", "store", "scope", "title", "text")
 
 
 def sanitized_snapshot(entries: DataFrame, mode: str = "none") -> DataFrame:
     """Transcript lines fit to be stored (session_id, line_no, line): tool blocks filtered
-    first, then the JSON text redacted. Lines that are no entry have no safe form and are
+    first, then every string of the JSON redacted. Lines that are no entry have no safe form and are
     left out unless the mode is `full`; `malformed_lines` reports them."""
     if effective_mode(mode) != "full":
         # Tested on the parsed entry: a test of the finished line would repeat all of its work.
         entries = entries.filter("is_entry")
     kept = filter_tool_blocks(entries, mode).select("session_id", "line_no", F.col("sanitized").alias("_line"))
-    return kept.select("session_id", "line_no", redact(F.col("_line"), JSON_RULES).alias("line"))
+    return kept.select("session_id", "line_no", redact_json(F.col("_line")).alias("line"))
 
 
 def malformed_lines(entries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from loomlog.functions.titles import truncate_text
@@ -21,8 +22,25 @@ def append_partitioned(df: DataFrame, root: str, by: Sequence[str]) -> None:
     df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(root)
 
 
+def stored(spark: SparkSession, root: str, schema: str | StructType | None = None) -> DataFrame | None:
+    """A written table, or None where there is none yet. Any other trouble is an error."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_session_log(narrative: DataFrame, root: str) -> None:
-    """Append narrative lines (see `session_narrative`)."""
+    """Append the narrative lines (see `session_narrative`) that the log does not hold yet, so a
+    session has one header a day and a repeated run adds nothing. Only the keys of the days
+    concerned are read."""
+    keys = ["store", "log_date", "session_id", "line_no"]
+    old = stored(narrative.sparkSession, root)
+    if old is not None:
+        days = F.broadcast(narrative.select("log_date").distinct())
+        narrative = narrative.join(old.select(*keys).join(days, "log_date", "left_semi"), keys, "left_anti")
     append_partitioned(narrative, root, ["store", "log_date"])
 
 
@@ -48,17 +66,14 @@ def write_cursor(rows: DataFrame, root: str) -> None:
 
 def read_cursor(spark: SparkSession, root: str) -> DataFrame:
     """Latest resume point per library; no table yet gives no rows."""
-    try:
-        stored = spark.read.schema(CURSOR_SCHEMA).parquet(root)
-    except AnalysisException:
-        stored = spark.createDataFrame([], CURSOR_SCHEMA)
-    return latest_cursor(stored)
+    rows = stored(spark, root, CURSOR_SCHEMA)
+    return latest_cursor(spark.createDataFrame([], CURSOR_SCHEMA) if rows is None else rows)
 
 
 def errors(rows: DataFrame, ts: Column | str, stage: str, key: Column, message: Column) -> DataFrame:
-    """Failures as rows (ts, stage, key, message); messages are cut, runs go on."""
+    """Failures as rows (ts, stage, key, message, shown); `shown` is the message cut for a report."""
     return rows.select(F.col(ts).alias("ts") if isinstance(ts, str) else ts.alias("ts"), F.lit(stage).alias("stage"),
-                       key.cast("string").alias("key"), truncate_text(message, ERROR_LIMIT).alias("message"))
+                       key.cast("string").alias("key"), message.alias("message"), truncate_text(message, ERROR_LIMIT).alias("shown"))
 
 
 def write_errors(rows: DataFrame, root: str) -> None:

@@ -11,10 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.utils import AnalysisException
 
 from loomlog.operators.redaction import redact_table
 from loomlog.session import ROCKSDB, fresh_folder
+from loomlog.sources.sinks import stored
 
 # Tasks get the classes of this module by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,19 +132,12 @@ def compile_new_sessions(spark: SparkSession, source: str, done: str, state: str
     def add(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        if _exists(own, done):
-            held = own.read.schema(batch.schema).parquet(done).select(*keys)
-            fresh = fresh.join(held, keys, "left_anti")
+        held = stored(own, done, batch.schema)
+        if held is not None:
+            fresh = fresh.join(held.select(*keys), keys, "left_anti")
         fresh.write.mode("append").parquet(done)
 
     (stream_table(spark, source).writeStream.foreachBatch(add)
      .option("checkpointLocation", state or fresh_folder(spark, "compile-state"))
      .trigger(availableNow=True).start().awaitTermination())
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False

@@ -1,5 +1,7 @@
 from datetime import date
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,49 +47,40 @@ def test_block_edges(spark, text, want):
     assert edits == want and status == ("parsed" if want else "unparseable")
 
 
-def reference_walk(text, marker):
-    """Line-by-line reading of the block format, for comparison."""
-    lines, i, edits, summary = text.splitlines(), 0, [], ""
-    def until(*stops):
-        nonlocal i
-        out = []
-        while i < len(lines) and lines[i].rstrip() not in stops:
-            out.append(lines[i])
-            i += 1
-        return out
-    while i < len(lines):
-        here = lines[i].rstrip()
-        i += 1
-        if here == f"@@@{marker}":
-            head, body = until("@@@BODY", "@@@END"), None
-            if i < len(lines) and lines[i].rstrip() == "@@@BODY":
-                i += 1
-                body = "\n".join(until("@@@END")).rstrip() + "\n"
-            i += 1
-            kv = {h.partition(":")[0].strip(): h.partition(":")[2].strip() for h in head if ":" in h}
-            edits.append((len(edits), kv.get("action", ""), kv.get("path", ""), kv.get("reason", ""), body))
-        elif here == "@@@SUMMARY":
-            summary = "\n".join(until("@@@END")).strip()
-            i += 1
-    return edits, summary
-
-
-def test_blocks_against_a_line_walk(spark):
-    import random
+WORDS = ["text", "a: b", "# T", "@@", "@@@ENDS", " @@@END", "", "x  y"]
+
+
+def test_parsing_undoes_writing(spark):
+    """Any list of edits, written as blocks with noise between them, is read back as it was."""
     rng = random.Random(7)
-    pieces = ["@@@EDIT", "@@@EDIT ", "@@@BODY", "@@@END", "@@@END\t", "@@@SUMMARY", "action: create", "path: p", "reason: x: y",
-              "text", "", "  ", "@@@SUPERVISE", "a:b", " @@@END", "@@@ENDS", "# T"]
-    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(600)]
-    df = spark.createDataFrame([(i, "w", "compile", 1, t) for i, t in enumerate(texts)], "run_id long, brain string, kind string, attempt int, text string")
-    p = ed.with_blocks(df)
-    got = {i: [] for i in range(len(texts))}
-    for r in ed.parse_edits(p, ["run_id", "brain"]).orderBy("run_id", "seq").collect():
-        got[r["run_id"]].append((r["seq"], r["action"], r["path"], r["reason"], r["content"]))
-    sums = {r["run_id"]: r["summary"] for r in p.collect()}
-    for i, t in enumerate(texts):
-        edits, summary = reference_walk(t, "EDIT")
-        assert got[i] == edits, t
-        assert sums[i] == summary, t
+
+    def edit(n):
+        body = [rng.choice(WORDS) for _ in range(rng.randint(1, 6))] + ["end"] if rng.random() < 0.7 else None
+        return (n, rng.choice(["create", "update", "skip"]), rng.choice(["library/a.md", "p q", ""]), rng.choice(["r", "r: s: t", ""]), body)
+
+    def block(e):
+        head = [f"{k}: {v}" for k, v in zip(("action", "path", "reason"), e[1:4])]
+        rng.shuffle(head)
+        return ["@@@EDIT" + rng.choice(["", " ", "\t"]), *head, *(["@@@BODY", *e[4]] if e[4] else []), "@@@END"]
+
+    cases = []
+    for i in range(300):
+        edits, lines = [edit(n) for n in range(rng.randint(0, 4))], []
+        for e in edits:
+            lines += [rng.choice(["", "talk", "@@@", "action: x"]) for _ in range(rng.randint(0, 2))] + block(e)
+        summary = rng.choice(["", "all well", "two\n\nlines"])
+        lines += ["@@@SUMMARY", summary, "@@@END"] if summary else []
+        cases.append(("\n".join(lines), [(*e[:4], "\n".join(e[4]) + "\n" if e[4] else None) for e in edits], summary))
+    df = spark.createDataFrame([(i, "w", "compile", 1, t) for i, (t, _, _) in enumerate(cases)],
+                               "run_id long, brain string, kind string, attempt int, text string")
+    parsed = ed.with_blocks(df)
+    found = {i: [] for i in range(len(cases))}
+    for r in ed.parse_edits(parsed, ["run_id", "brain"]).orderBy("run_id", "seq").collect():
+        found[r["run_id"]].append((r["seq"], r["action"], r["path"], r["reason"], r["content"]))
+    summaries = {r["run_id"]: r["summary"] for r in parsed.collect()}
+    for i, (text, edits, summary) in enumerate(cases):
+        assert found[i] == edits, text
+        assert summaries[i] == summary, text
 
 
 def test_summary_only(spark):
@@ -252,6 +245,11 @@ def test_promotion(spark):
     after = promote(arts, alone)
     again = pr.promote_diff(flagged, after)
     assert {r["action"] for r in again.collect()} == {"same"}
+    with pytest.raises(ValueError, match="contributor"):
+        pr.promote_diff(flagged, alone, "me")
+    for who in ("me", "me", "you", "you"):
+        shared = pr.apply_promotion(flagged, shared, who)
+    assert {(r["rel"], r["contributor"]) for r in shared.collect()} == {("p/a.md", "me"), ("p/b.md", "me")}
     counts = pr.promote_counts(pr.promote_diff(flagged, alone)).first()
     assert counts["line"] == "promote: 2 added/updated, 2 removed"
 

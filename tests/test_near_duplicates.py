@@ -43,9 +43,7 @@ def corpus(n, seed, copies, variants):
     return texts
 
 
-@pytest.mark.parametrize("small", [nd.SMALL_BUCKET, 2])
-def test_same_articles_as_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(nd, "SMALL_BUCKET", small)
+def test_same_articles_as_brute_force(spark):
     texts = corpus(60, 3, 40, 50)
     texts["library/none.md"] = ""
     texts["library/short.md"] = "two words"
@@ -56,17 +54,30 @@ def test_same_articles_as_brute_force(spark, monkeypatch, small):
         assert r["jaccard"] == pytest.approx(exact) and exact >= nd.THRESHOLD
 
 
-def test_mixed_large_bucket_needs_several_leaders(spark, monkeypatch):
-    """Families that share a long passage meet in one bucket, though only members of a family
-    are near-duplicates; every family must be found."""
-    monkeypatch.setattr(nd, "SMALL_BUCKET", 2)
+@pytest.mark.parametrize("families", [6, 40])
+def test_families_that_share_a_passage(spark, families):
+    """All share a long passage, though only members of a family are alike; every family must be
+    found, however many there are."""
     rng = random.Random(5)
     shared = [f"s{i}" for i in range(60)]
     texts = {}
-    for fam in range(6):
+    for fam in range(families):
         own = [f"f{fam}x{i}" for i in range(40)]
         for k in range(4):
             v = list(own)
             v[rng.randrange(40)] = f"v{fam}{k}"
             texts[f"library/{fam}-{k}.md"] = " ".join(shared + v)
     assert set(run(spark, texts)) == set(brute(texts))
+
+
+def test_nearly_alike_at_the_threshold(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(40):
+        base = [f"b{i}w{j}" for j in range(60)]
+        texts[f"library/{i}-a.md"] = " ".join(base)
+        changed = list(base)
+        for j in rng.sample(range(60), rng.randint(1, 5)):
+            changed[j] = f"c{i}x{j}"
+        texts[f"library/{i}-b.md"] = " ".join(changed)
+    assert set(run(spark, texts)) == set(brute(texts))

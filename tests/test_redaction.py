@@ -1,9 +1,10 @@
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.functions.redaction import DEFAULT_RULES, JSON_RULES, Rule, redact
+from loomlog.functions.redaction import DEFAULT_RULES, Rule, redact, redact_json
 from loomlog.operators.redaction import allowlist_filter, findings, redact_table, redaction_audit
 
 # One text per rule, put together here so that no secret-shaped literal is stored.
@@ -69,17 +70,36 @@ def test_extra_rule(spark):
     assert redact_table(df, ["t"], rules).first()["t"] == "[REDACTED:EMP] [REDACTED:URL_WITH_CREDS]"
 
 
-def test_json_rules_stay_inside_strings(spark):
-    line = '{"a":"https://u:x","b":"y@h.example","c":"{\\"client' + 'Secret\\":\\"zz\\"}"}'
-    out = spark.createDataFrame([(line,)], "t string").select(redact(F.col("t"), JSON_RULES)).first()[0]
-    assert '"a":"https://u:x","b":"y@h.example"' in out
-    assert "zz" not in out and "REDACTED:CLIENT_SECRET" in out
+def _json(spark, value):
+    line = json.dumps(value)
+    out = spark.createDataFrame([(line,)], "t string").select(redact_json(F.col("t"))).first()[0]
+    return json.loads(out)
 
 
-def test_json_words_after_an_escape(spark):
-    line = '{"a":"x\\nBearer ' + "t" * 20 + '\\nredis' + '://u:p@h"}'
-    out = spark.createDataFrame([(line,)], "t string").select(redact(F.col("t"), JSON_RULES)).first()[0]
-    assert out == '{"a":"x\\nbearer [REDACTED:TOKEN]\\n[REDACTED:URL_WITH_CREDS]"}'
+NAME = "client" + "Secret"
+
+
+def test_json_strings_are_redacted_on_their_own(spark):
+    assert _json(spark, {"a": "https://u:x", "b": "y@h.example"}) == {"a": "https://u:x", "b": "y@h.example"}
+    assert _json(spark, {"a": "x\nBearer " + "t" * 20 + "\nredis" + "://u:p@h"}) == {"a": "x\nbearer [REDACTED:TOKEN]\n[REDACTED:URL_WITH_CREDS]"}
+    key = "-----BEGIN " + "PRIVATE KEY-----\nab\n"
+    assert _json(spark, {"a": key, "b": "-----END " + "PRIVATE KEY-----"}) == {"a": key, "b": "-----END " + "PRIVATE KEY-----"}
+    assert _json(spark, {"a": [key + "-----END " + "PRIVATE KEY-----", 1, None, "é\\\"\t"]}) == {"a": ["[REDACTED:PRIVATE_KEY]", 1, None, "é\\\"\t"]}
+
+
+@pytest.mark.parametrize("secret", ["zz", 'z"z', "z\\", 'a\\"zz', "z\nz", "zé" * 4000])
+def test_json_members(spark, secret):
+    hidden = "[REDACTED:CLIENT_SECRET]"
+    assert _json(spark, {NAME: secret, "x": 1}) == {NAME: hidden, "x": 1}
+    assert _json(spark, {"value": secret, "key": NAME, "z": "k"}) == {"value": hidden, "key": NAME, "z": "k"}
+    inner = json.loads(_json(spark, {"out": json.dumps({NAME: secret, "y": 2})})["out"])
+    assert inner == {NAME: hidden, "y": 2}
+
+
+def test_json_escapes_hide_nothing(spark):
+    line = '{"a":"\\u0041KIA' + "Z" * 16 + '","b":"redis:\\/\\/u:p@h"}'
+    out = spark.createDataFrame([(line,)], "t string").select(redact_json(F.col("t"))).first()[0]
+    assert json.loads(out) == {"a": "[REDACTED:AWS_KEY_ID]", "b": "[REDACTED:URL_WITH_CREDS]"}
 
 
 def test_audit_counts_on_remaining_text(spark):

@@ -130,10 +130,10 @@ def test_narrative(spark):
                     "\n## [08:00:00] User\n\nhi\n\n### [08:00:05] Claude\n\nok\n\n---\n\n")
 
 
-def test_errors_are_cut(spark):
+def test_errors_are_whole_and_shown_cut(spark):
     df = spark.createDataFrame([("k", "x" * 900)], "k string, m string")
     row = sinks.errors(df, F.lit("2026-01-01").cast("timestamp"), "stage", F.col("k"), F.col("m")).first()
-    assert len(row["message"]) == 500 and row["stage"] == "stage"
+    assert len(row["shown"]) == 500 and row["message"] == "x" * 900 and row["stage"] == "stage"
 
 
 def test_current_scopes(spark):
