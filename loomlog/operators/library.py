@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import front_matter as fm
 from loomlog.functions.titles import token_estimate
 
 INLINE_CAP = 25
-# Headings above the sections of the two prompt inputs.
-COMPILE_HEADINGS = {1: "# Current library index", 2: "# Existing articles (full text)", 3: "# Session to compile"}
-REVIEW_HEADINGS = {1: "## Index (TOC)", 2: "## Articles (full text)"}
 LINK_MARK = "—"
 
 TITLE = "# Library — curated knowledge index"
@@ -108,10 +105,12 @@ INDEX_ORDER = ("category", "part", "stem", "path")
 
 def library_toc(catalog: DataFrame) -> DataFrame:
     """One line per article (brain, path, line); in path order they are the contents list."""
-    f = field_defaults(catalog)
+    return field_defaults(catalog).select("brain", "path", _toc_line().alias("line"))
+
+
+def _toc_line() -> Column:
     link = F.concat(F.lit("- `"), F.col("path"), F.lit(f"` {LINK_MARK} **"), F.col("title"), F.lit("** (ttl:"))
-    return f.select("brain", "path", F.concat(link, F.col("ttl"), F.lit(", updated:"), F.col("updated_text"),
-                                              F.lit(")")).alias("line"))
+    return F.concat(link, F.col("ttl"), F.lit(", updated:"), F.col("updated_text"), F.lit(")"))
 
 
 def article_counts(catalog: DataFrame) -> DataFrame:
@@ -125,50 +124,64 @@ def inline_cap(catalog: DataFrame, cap: int = INLINE_CAP) -> DataFrame:
 
 
 def compile_context(catalog: DataFrame, sessions: DataFrame, cap: int = INLINE_CAP) -> DataFrame:
-    """Prompt input as ordered sections (brain, session_file, section, item, text).
+    """Prompt input as ordered sections (brain, session_file, section, item, text, inlined).
 
-    What all sessions of a library share (contents list, article texts or the notice) is
-    stored once with session_file NULL; a session adds only its own section. A prompt is its
-    library's shared sections followed by its own: nothing is multiplied by the number of
-    sessions. Sections: 1 contents, 2 articles, 3 session.
+    What all sessions of a library share (contents list, article texts, the notice) is stored
+    once with session_file NULL; a session adds only its own section. A prompt is its library's
+    shared sections followed by its own: nothing is multiplied by the number of sessions.
+    Sections: 1 contents, 2 articles, 3 session. All articles are there; `inlined` is false for
+    the texts of libraries over `cap` articles, which a prompt leaves out for the notice.
 
     sessions: brain, session_file, seq, text (the narrative lines of pending sessions).
     """
     shared_key = F.lit(None).cast("string").alias("session_file")
-    brains = sessions.select("brain").distinct()
-    # Libraries are the stores named in the config, so the count table has a handful of rows.
-    counts = F.broadcast(inline_cap(catalog, cap))
-    toc = library_toc(catalog).select("brain", shared_key, F.lit(1).alias("section"), F.col("path").alias("item"),
-                                      F.col("line").alias("text"))
-    inline = (catalog.join(counts.filter("inlined"), "brain")
-              .select("brain", shared_key, F.lit(2).alias("section"), F.col("path").alias("item"),
-                      F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), F.col("content")).alias("text")))
-    state = brains.join(counts, "brain", "left")
-    many = F.concat(F.lit("(There are "), F.col("n_articles").cast("string"),
-                    F.lit(" existing articles: too many to include inline. Refer to them by path.)"))
-    notice = state.filter(F.coalesce(~F.col("inlined"), F.lit(True))).select(
-        "brain", shared_key, F.lit(2).alias("section"), F.lit("").alias("item"),
-        F.when(F.col("n_articles").isNull(), "(no existing articles)").otherwise(many).alias("text"))
-    no_toc = state.filter("n_articles is null").select(
-        "brain", shared_key, F.lit(1).alias("section"), F.lit("").alias("item"),
-        F.lit("(no existing articles yet)").alias("text"))
+    counts = inline_cap(catalog, cap)
+    f = field_defaults(catalog)
+    full = F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), F.col("content"))
+    pair = F.array(F.struct(F.lit(1).alias("section"), F.col("path").alias("item"), _toc_line().alias("text"), F.lit(True).alias("inlined")),
+                   F.struct(F.lit(2).alias("section"), F.col("path").alias("item"), full.alias("text"), F.col("inlined")))
+    articles = f.join(counts, "brain").select("brain", shared_key, F.inline(pair))
+    state = sessions.select("brain").distinct().join(counts, "brain", "left")
+    many = F.concat(F.lit("(This library has "), F.col("n_articles").cast("string"), F.lit(" articles; see them by path.)"))
+    said = F.array_compact(F.array(
+        F.when(F.col("n_articles").isNull(), F.struct(F.lit(1).alias("section"), F.lit("(the library is empty)").alias("text"))),
+        F.when(F.coalesce(~F.col("inlined"), F.lit(True)), F.struct(
+            F.lit(2).alias("section"), F.when(F.col("n_articles").isNull(), "(the library is empty)").otherwise(many).alias("text")))))
+    notices = state.select("brain", F.inline(said)).select("brain", shared_key, "section", F.lit("").alias("item"), "text", F.lit(True).alias("inlined"))
     own = sessions.select("brain", "session_file", F.lit(3).alias("section"),
-                          F.lpad(F.col("seq").cast("string"), 20, "0").alias("item"), "text")
-    return toc.unionByName(inline).unionByName(notice).unionByName(no_toc).unionByName(own)
-
-
-def review_context(catalog: DataFrame, today: str) -> DataFrame:
-    """Review input as ordered sections (brain, section, item, text, tokens): 0 head,
-    1 contents lines, 2 one row per article in full."""
-    head = article_counts(catalog).select("brain", F.lit(0).alias("section"), F.lit("").alias("item"),
-                                          F.lit(f"# Library state {LINK_MARK} {today}").alias("text"))
-    toc = library_toc(catalog).select("brain", F.lit(1).alias("section"), F.col("path").alias("item"),
-                                      F.col("line").alias("text"))
-    full = catalog.select("brain", F.lit(2).alias("section"), F.col("path").alias("item"),
-                          F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"),
-                                   F.regexp_replace("content", r"(?U)\s+\z", "")).alias("text"))
-    return (head.unionByName(toc).unionByName(full)
+                          F.lpad(F.col("seq").cast("string"), 20, "0").alias("item"), "text", F.lit(True).alias("inlined"))
+    return articles.unionByName(notices).unionByName(own)
+
+
+#: Tokens of a chunk of a review.
+REVIEW_BUDGET = 60_000
+
+
+def review_context(catalog: DataFrame, today: str, brains: DataFrame | None = None, budget: int = REVIEW_BUDGET) -> DataFrame:
+    """Review input as ordered sections (brain, section, category, chunk, item, text, tokens): 0 head,
+    1 contents lines, 2 one row per article in full.
+
+    The texts of a category are cut into chunks of about `budget` tokens by a running sum in
+    path order. `brains` names libraries that may have no articles: their head says so.
+    """
+    none = F.lit("").alias("category")
+    heads = article_counts(catalog)
+    if brains is not None:
+        heads = brains.select("brain").distinct().join(heads, "brain", "left")
+    empty = F.when(F.col("n_articles").isNull(), "\n\n(the library is empty)").otherwise("")
+    head = heads.select("brain", F.lit(0).alias("section"), none, F.lit("").alias("item"),
+                        F.concat(F.lit(f"# Library state {LINK_MARK} {today}"), empty).alias("text"))
+    full = F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), F.regexp_replace("content", r"(?U)\s+\z", ""))
+    pair = F.array(F.struct(F.lit(1).alias("section"), F.lit("").alias("category"), F.col("path").alias("item"), _toc_line().alias("text")),
+                   F.struct(F.lit(2).alias("section"), F.col("category"), F.col("path").alias("item"), full.alias("text")))
+    rows = (head.unionByName(field_defaults(catalog).select("brain", F.inline(pair)))
             .withColumn("tokens", token_estimate(F.col("text"))))
+    # Only the sizes are put in order; a category is a folder of one library.
+    sizes = rows.filter("section = 2").select("brain", "category", "item", "tokens")
+    so_far = Window.partitionBy("brain", "category").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks = sizes.withColumn("chunk", F.floor((F.sum("tokens").over(so_far) - F.col("tokens")) / budget)).select("brain", "item", F.lit(2).alias("section"), "chunk")
+    return (rows.join(chunks, ["brain", "item", "section"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+            .select("brain", "section", "category", "chunk", "item", "text", "tokens"))
 
 
 def context_tokens(context: DataFrame) -> DataFrame:

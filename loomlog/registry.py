@@ -825,37 +825,45 @@ def _library_toc(spark, d):
 
 
 @register("compile_context", f"""
-SELECT brain, '' AS session_file, 1 AS section, path AS item, {_TOC} AS text FROM {{cat}}
-UNION ALL SELECT brain, '', 2, path, concat('### ', path, chr(10), chr(10), content) FROM {{cat}}
-  WHERE brain IN (SELECT brain FROM {{cat}} GROUP BY 1 HAVING count(*) <= 25)
-UNION ALL SELECT brain, '', 2, '', concat('(There are ', CAST(count(*) AS STRING), ' existing articles: too many to include inline. Refer to them by path.)')
+SELECT brain, '' AS session_file, 1 AS section, path AS item, {_TOC} AS text, 1 AS inlined FROM {{cat}}
+UNION ALL SELECT brain, '', 2, path, concat('### ', path, chr(10), chr(10), content), CAST(count(*) OVER (PARTITION BY brain) <= 25 AS INT) FROM {{cat}}
+UNION ALL SELECT brain, '', 2, '', concat('(This library has ', CAST(count(*) AS STRING), ' articles; see them by path.)'), 1
   FROM {{cat}} GROUP BY brain HAVING count(*) > 25
-UNION ALL SELECT 'empty', '', 1, '', '(no existing articles yet)' UNION ALL SELECT 'empty', '', 2, '', '(no existing articles)'
+UNION ALL SELECT 'empty', '', 1, '', '(the library is empty)', 1 UNION ALL SELECT 'empty', '', 2, '', '(the library is empty)', 1
 UNION ALL SELECT CASE r.store WHEN 'store_work' THEN 'work' WHEN 'store_private' THEN 'private' ELSE CASE r.scope WHEN 'both' THEN 'both' ELSE 'empty' END END,
-  session_id, 3, lpad(CAST(t.line_no AS STRING), 20, '0'), t.text FROM {{turns}} t JOIN {{routed}} r USING (session_id)""")
+  session_id, 3, lpad(CAST(t.line_no AS STRING), 20, '0'), t.text, 1 FROM {{turns}} t JOIN {{routed}} r USING (session_id)""")
 def _compile_context(spark, d):
     brain = (F.when(F.col("store") == "store_work", "work").when(F.col("store") == "store_private", "private")
              .when(F.col("scope") == "both", "both").otherwise("empty"))
     logs = (_fx(spark, d, "turns").join(_routed(spark, d), "session_id")
             .select(brain.alias("brain"), F.col("session_id").alias("session_file"), F.col("line_no").alias("seq"), "text"))
     out = lb.compile_context(_catalog(spark, d), logs)
-    return out.withColumn("session_file", F.coalesce("session_file", F.lit("")))
+    return out.withColumn("session_file", F.coalesce("session_file", F.lit(""))).withColumn("inlined", F.col("inlined").cast("int"))
 
 
 CTES["review"] = f"""
-SELECT brain, 0 AS section, '' AS item, '# Library state — 2026-06-20' AS text FROM {{cat}} GROUP BY brain
-UNION ALL SELECT brain, 1, path, {_TOC} FROM {{cat}}
-UNION ALL SELECT brain, 2, path, concat('### ', path, chr(10), chr(10), regexp_replace(content, '\\s+\\z', '')) FROM {{cat}}"""
+SELECT brain, 0 AS section, '' AS category, '' AS item, '# Library state — 2026-06-20' AS text FROM {{cat}} GROUP BY brain
+UNION ALL SELECT 'empty', 0, '', '', concat('# Library state — 2026-06-20', chr(10), chr(10), '(the library is empty)')
+UNION ALL SELECT brain, 1, '', path, {_TOC} FROM {{cat}}
+UNION ALL SELECT brain, 2, category, path, concat('### ', path, chr(10), chr(10), regexp_replace(content, '\\s+\\z', '')) FROM {{cat}}"""
 
 
-@register("review_context", "SELECT brain, section, item, text, CAST(length(text) // 4 AS BIGINT) AS tokens FROM {review}")
+@register("review_context", """
+SELECT brain, section, category, item, text, tokens, CASE section WHEN 2 THEN CAST((sum(tokens) OVER (PARTITION BY brain, section, category ORDER BY item) - tokens) // 2000 AS BIGINT) ELSE 0 END AS chunk
+FROM (SELECT *, CAST(length(text) // 4 AS BIGINT) AS tokens FROM {review}) r""")
 def _review_context(spark, d):
-    return lb.review_context(_catalog(spark, d), TODAY)
+    return lb.review_context(_catalog(spark, d), TODAY, _brains(spark, d), budget=2000)
+
+
+def _brains(spark, d):
+    """Libraries with articles, and one without any."""
+    named = _catalog(spark, d).select("brain")
+    return named.unionByName(named.limit(1).select(F.lit("empty").alias("brain"))).distinct()
 
 
 @register("token_estimate", "SELECT brain, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM {review} GROUP BY 1")
 def _token_estimate(spark, d):
-    return lb.context_tokens(lb.review_context(_catalog(spark, d), TODAY))
+    return lb.context_tokens(lb.review_context(_catalog(spark, d), TODAY, _brains(spark, d)))
 
 
 def _log_entries(spark, d):

@@ -39,7 +39,7 @@ def write_session_log(narrative: DataFrame, root: str) -> None:
     keys = ["store", "log_date", "session_id", "line_no"]
     old = stored(narrative.sparkSession, root)
     if old is not None:
-        days = F.broadcast(narrative.select("log_date").distinct())
+        days = narrative.select("log_date").distinct()
         narrative = narrative.join(old.select(*keys).join(days, "log_date", "left_semi"), keys, "left_anti")
     append_partitioned(narrative, root, ["store", "log_date"])
 

@@ -223,10 +223,16 @@ def test_contexts(spark):
     logs = spark.createDataFrame([(b, "f.md", 0, "log") for b in ("a", "b", "none")], "brain string, session_file string, seq long, text string")
     ctx = {(r["brain"], r["section"], r["item"]): r["text"] for r in lb.compile_context(small, logs, cap=2).collect()}
     assert ctx[("a", 2, "library/patterns/a.md")].startswith("### library/patterns/a.md\n\n---")
-    assert ctx[("b", 2, "")].startswith("(There are 3 existing articles")
-    assert ctx[("none", 1, "")] == "(no existing articles yet)" and ctx[("none", 2, "")] == "(no existing articles)"
+    assert ctx[("b", 2, "")].startswith("(This library has 3 articles")
+    assert ctx[("none", 1, "")] == ctx[("none", 2, "")] == "(the library is empty)"
+    kept = {(r["brain"], r["item"]): r["inlined"] for r in lb.compile_context(small, logs, cap=2).filter("section = 2 and item <> ''").collect()}
+    assert len(kept) == 4 and [b for (b, _), i in kept.items() if i] == ["a"]
     review = lb.review_context(small, "2026-01-01")
     assert review.filter("brain = 'b'").count() == 7
+    parts = lb.review_context(small, "2026-01-01", logs.select("brain"), budget=1)
+    assert sorted(r["chunk"] for r in parts.filter("brain = 'b' and section = 2").collect())[0] == 0
+    assert parts.filter("brain = 'b' and section = 2").select("chunk").distinct().count() == 3
+    assert parts.filter("brain = 'none'").first()["text"].endswith("(the library is empty)")
     assert review.filter("tokens <> floor(length(text) / 4)").count() == 0
 
 
