@@ -192,11 +192,13 @@ def tool_usage(blocks: DataFrame) -> DataFrame:
 
 def tool_call_pairs(blocks: DataFrame) -> DataFrame:
     """Each tool call with its result line; calls without one have NULL. The join key holds
-    the call id, so a huge session spreads over all tasks."""
+    the call id, so a huge session spreads over all tasks; calls without an id have no result
+    and are not joined."""
     calls = blocks.filter(F.col("type") == "tool_use").select("session_id", "id", "name", "line_no")
     results = (blocks.filter((F.col("type") == "tool_result") & F.col("id").isNotNull())
                .groupBy("session_id", "id").agg(F.min("line_no").alias("result_line")))
-    return calls.join(results, ["session_id", "id"], "left")
+    named = calls.filter("id is not null").join(results, ["session_id", "id"], "left")
+    return named.unionByName(calls.filter("id is null").withColumn("result_line", F.lit(None).cast("bigint")))
 
 
 # ---- turns and titles ----

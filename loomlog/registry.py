@@ -233,7 +233,9 @@ SELECT event_id, CASE event_type WHEN 'signup' THEN 'unknown' ELSE concat('s', l
   CASE event_type WHEN 'signup' THEN '' ELSE concat('k ', CAST(event_id % 9 AS STRING)) END AS prompt
 FROM events WHERE event_type <> 'error'""")
 def _read_hook_events(spark, d):
-    return readers.parse_hook_events(_fx(spark, d, "hook_lines")).select("event_id", "session_id", "mode", "cwd", "prompt")
+    folder = fresh_folder(spark, "hook-lines")
+    _fx(spark, d, "hook_lines").select("value").write.text(folder)
+    return readers.read_hook_events(spark, folder).select("event_id", "session_id", "mode", "cwd", "prompt")
 
 
 _NARRATIVE = """
@@ -267,9 +269,8 @@ def _write_session_log(spark, d):
 
 @register("read_session_logs", """
 SELECT CAST(CAST(t.ts AS DATE) AS VARCHAR) AS log_date, strftime(f.ts, '%H%M%S') AS hhmmss, session_id,
-  row_number() OVER (PARTITION BY session_id, CAST(t.ts AS DATE) ORDER BY t.line_no) AS position,
-  CAST(t.line_no AS VARCHAR) AS line
-FROM {turns} t JOIN (SELECT session_id, CAST(ts AS DATE) AS log_date, min(ts) AS ts FROM {turns} GROUP BY 1, 2) f
+  row_number() OVER (PARTITION BY session_id, CAST(t.ts AS DATE) ORDER BY t.line_no, t.n) AS position, line
+FROM (SELECT session_id, line_no, ts, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM {turns}) t JOIN (SELECT session_id, CAST(ts AS DATE) AS log_date, min(ts) AS ts FROM {turns} GROUP BY 1, 2) f
   USING (session_id) WHERE f.log_date = CAST(t.ts AS DATE)""")
 def _read_session_logs(spark, d):
     """Logs written in the dated file layout, one file per session and date, and read back."""
@@ -279,8 +280,8 @@ def _read_session_logs(spark, d):
     lines = (turns.withColumn("log_date", F.to_date("ts")).join(firsts, ["session_id", "log_date"])
              .select(F.date_format("log_date", "yyyy-MM-dd").alias("day"),
                      tt.log_file_name(F.col("hhmmss"), F.lit(None).cast("string"), F.col("session_id")).alias("name"),
-                     "line_no", F.col("line_no").cast("string").alias("line")))
-    (lines.repartition("day", "name").sortWithinPartitions("day", "name", "line_no")
+                     "line_no", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")))
+    (lines.repartition("day", "name").sortWithinPartitions("day", "name", "line_no", "n")
      .select("day", "name", "line").write.partitionBy("day", "name").text(folder))
     back = readers.read_session_logs(spark, folder, r"/day=([^/]+)/", r"/name=([^/]+)/", "*")
     placed = running_sum(back, ["session_id", "log_date"], ["line_no"], F.lit(1), "position")
@@ -325,10 +326,15 @@ def _generated_exclusion(spark, d):
                                      F.count_if(F.contains(F.substring("path", 9, 10_000), F.lit("/"))).alias("n_nested"))
 
 
-@register("read_articles", "SELECT brain, path, content FROM {articles}")
+@register("read_articles", "SELECT 'all' AS brain, path, content FROM {articles}")
 def _read_articles(spark, d):
-    return lb.exclude_generated(_fx(spark, d, "articles").unionByName(
-        _fx(spark, d, "articles").withColumn("path", F.lit("library/index.md")))).select("brain", "path", "content")
+    """Articles written as one file each, in a folder named by the path, and read back."""
+    folder = fresh_folder(spark, "library")
+    articles = _fx(spark, d, "articles").select("path", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    articles.repartition("path").write.partitionBy("path").option("lineSep", "\n").text(folder)
+    back = readers.read_articles(spark, folder, "all", prefix="", glob="*")
+    name = F.try_url_decode(F.regexp_extract("path", r"path=([^/]*)/[^/]*\z", 1))
+    return back.select("brain", name.alias("path"), "content")
 
 
 @register("article_versions", """
@@ -1166,13 +1172,42 @@ SELECT *, CASE event_type WHEN 'signup' THEN 'work' WHEN 'error' THEN 'nolog' WH
 @register("stream_log_turns", f"""
 SELECT event_id, session_id, mode, CAST(CAST(ts AS DATE) AS VARCHAR) AS log_date, scope,
   CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store,
-  {duck_redact('prompt')} AS prompt FROM {{event_scopes}} WHERE scope <> 'nolog'""")
+  {duck_redact('prompt')} AS prompt FROM {{event_scopes}} WHERE scope <> 'nolog' AND mode = 'prompt'""")
 def _stream_log_turns(spark, d):
     events = streams.stream_table(spark, f"{d}/events.parquet")
     folder = streams.run_once(streams.log_turns(_stream_events(events), CONFIG), spark, "logged", ["store", "log_date"])
     return _text(spark.read.parquet(folder).select("event_id", "session_id", "mode", "log_date", "scope", "store", "prompt"), "log_date")
 
 
+CTES["stops"] = """
+SELECT session_id, scope, CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store, CAST(CAST(ts AS DATE) AS VARCHAR) AS log_date
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rn FROM {event_scopes} WHERE scope <> 'nolog' AND mode = 'stop') q WHERE rn = 1"""
+
+
+@register("stream_log_stops", f"""
+SELECT s.session_id, s.store, s.scope, s.log_date, last_line, {duck_redact("text")} AS text FROM {{stops}} s JOIN (
+  SELECT session_id, max(line_no) AS last_line, string_agg(text, concat(chr(10), chr(10)) ORDER BY line_no) AS text FROM {{turns}}
+  JOIN (SELECT session_id, max(line_no) AS cut FROM {{turns}} WHERE role = 'user' AND NOT is_sidechain AND trim(text) <> '' GROUP BY 1) u USING (session_id)
+  WHERE role = 'assistant' AND NOT is_sidechain AND line_no > cut GROUP BY 1) q USING (session_id)""")
+def _stream_log_stops(spark, d):
+    """Two runs over the same events; the second must add nothing."""
+    folder = fresh_folder(spark, "stops")
+    for n in range(2):
+        events = _stream_events(streams.stream_table(spark, f"{d}/events.parquet"))
+        streams.log_stops(events, lambda s: _typed_turns(s, d), CONFIG, folder, fresh_folder(spark, f"stops-state-{n}"))
+    return _text(spark.read.parquet(folder).select("session_id", "store", "scope", "log_date", "last_line", "text"), "log_date")
+
+
+@register("closed_days", """
+SELECT store, CAST(log_date AS VARCHAR) AS log_date, n_events FROM (
+  SELECT CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store, CAST(ts AS DATE) AS log_date, count(*) AS n_events
+  FROM {event_scopes} GROUP BY 1, 2) q WHERE log_date + 2 <= (SELECT max(ts) FROM {event_scopes})""")
+def _closed_days(spark, d):
+    events = CONFIG.route(_stream_events(streams.stream_table(spark, f"{d}/events.parquet")))
+    folder = streams.run_once(streams.closed_days(events), spark, "closed-days")
+    return _text(spark.read.parquet(folder), "log_date")
+
+
 def _stream_events(events: DataFrame) -> DataFrame:
     """The `hook_events` fixture over a streaming events table."""
     kind = F.col("event_type")

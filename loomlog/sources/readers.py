@@ -28,14 +28,25 @@ def line_order() -> Column:
     return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
 
 
-def read_transcript_lines(spark: SparkSession, path: str, session_pattern: str = r"([^/_]+)\.jsonl$") -> DataFrame:
-    """(session_id, line_no, raw) of every non-blank line; the id is taken from the file path."""
+def read_transcript_lines(spark: SparkSession, path: str, session_pattern: str = r"([^/_]+)\.jsonl$",
+                          day_pattern: str = r"/(\d{4}-\d{2}-\d{2})/") -> DataFrame:
+    """(session_id, log_date, file, line_no, raw) of every non-blank line; id and date (null where
+    there is none) are taken from the file path. Lines are in order within their file: a store
+    with dated copies of one session holds its turns several times, see `latest_copies`."""
     return (spark.read.option("recursiveFileLookup", "true").text(path)
             .select(F.regexp_extract(_path(), session_pattern, 1).alias("session_id"),
-                    line_order().alias("line_no"), F.col("value").alias("raw"))
+                    F.try_to_date(F.regexp_extract(_path(), day_pattern, 1), "yyyy-MM-dd").alias("log_date"),
+                    _path().alias("file"), line_order().alias("line_no"), F.col("value").alias("raw"))
             .filter(F.trim("raw") != ""))
 
 
+def latest_copies(lines: DataFrame) -> DataFrame:
+    """Lines of the latest copy of each session (session_id, log_date, file, ..)."""
+    latest = (lines.groupBy("session_id").agg(F.max(F.struct("log_date", "file")).alias("_latest"))
+              .select("session_id", F.col("_latest.file").alias("file")))
+    return lines.join(latest, ["session_id", "file"], "left_semi")
+
+
 def read_transcripts(spark: SparkSession, path: str, session_pattern: str = r"([^/_]+)\.jsonl$") -> DataFrame:
     """Typed transcript lines; malformed ones stay as rows with is_entry = false."""
     return parse_entries(read_transcript_lines(spark, path, session_pattern))
@@ -71,12 +82,15 @@ def read_session_logs(spark: SparkSession, root: str, day_pattern: str = r"/(\d{
             .withColumn("hhmmss", log_name_time(name)).withColumn("session_id", log_name_session(name)))
 
 
-def read_articles(spark: SparkSession, root: str, brain: str, prefix: str = "library/") -> DataFrame:
+def read_articles(spark: SparkSession, root: str, brain: str, prefix: str = "library/", glob: str = "*.md") -> DataFrame:
     """Articles below `root` (brain, path, content), without the generated files at the root.
-    One article is one document written by one edit, so it is read as one value."""
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_extract(_path(), r"\Q" + base + r"\E(.*)\z", 1)
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
+    One article is one document written by one edit, so it is read as one value. `root` is one
+    folder in any file system; a file that does not lie below it by name is an error."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    below = r"\A(?:[^:/]+:(?://[^/]*)?)?\Q" + base + r"\E(.+)\z"
+    rel = F.when(_path().rlike(below), F.regexp_extract(_path(), below, 1)).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {base}: "), _path())))
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
             .text(root, wholetext=True)
             .select(F.lit(brain).alias("brain"), rel.alias("_rel"), unix_newlines(F.col("value")).alias("content"))
             .filter(~F.col("_rel").isin(*GENERATED_FILES))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomlog.operators.redaction import redact_table
+from loomlog.operators.transcripts import last_turn_pieces
+from loomlog.plans.ordered import latest_per_key
 from loomlog.session import ROCKSDB, fresh_folder
 from loomlog.sources.sinks import stored
 
@@ -44,11 +46,38 @@ def run_once(df: DataFrame, spark: SparkSession, name: str, by: Sequence[str] =
 
 
 def log_turns(events: DataFrame, config) -> DataFrame:
-    """Routed and redacted event rows; opted-out sessions write nothing. Stateless."""
-    routed = config.route(events).filter("scope <> 'nolog'").withColumn("log_date", F.to_date("ts"))
+    """What prompts write: routed and redacted rows; opted-out sessions write nothing.
+    Stateless."""
+    routed = config.route(events).filter("scope <> 'nolog' and mode = 'prompt'").withColumn("log_date", F.to_date("ts"))
     return redact_table(routed, ["prompt"])
 
 
+def log_stops(events: DataFrame, turns_of: Callable[[SparkSession], DataFrame], config, root: str, state: str) -> None:
+    """What stops write: for each stopped session of a batch the last assistant turn of its
+    transcript, routed and redacted, once per session and turn.
+
+    turns_of: session_id, line_no, entry_type, is_sidechain, is_real_user, text, read anew for
+    each batch. A batch that is run again adds nothing.
+    """
+    keys = ["session_id", "last_line"]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        stops = config.route(batch).filter("scope <> 'nolog' and mode = 'stop'")
+        stops = latest_per_key(stops, ["session_id"], ["ts", "event_id"]).select("session_id", "store", "scope", F.to_date("ts").alias("log_date"))
+        turns = turns_of(own).join(stops.select("session_id"), "session_id", "left_semi").withColumn("block_no", F.lit(0))
+        pieces = last_turn_pieces(turns, turns)
+        said = (pieces.groupBy("session_id").agg(F.max("line_no").alias("last_line"), F.array_sort(F.collect_list(F.struct("line_no", "block_no", "text"))).alias("_t"))
+                .withColumn("text", F.array_join(F.transform("_t", lambda r: r["text"]), "\n\n")).drop("_t"))
+        rows = redact_table(stops.join(said, "session_id"), ["text"])
+        held = stored(own, root)
+        if held is not None:
+            rows = rows.join(held.select(*keys), keys, "left_anti")
+        rows.write.mode("append").partitionBy("store", "log_date").parquet(root)
+
+    events.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def first_events(events: DataFrame) -> DataFrame:
     """First event of each session, exactly once for ever; state holds one id per session."""
     return events.dropDuplicates(["session_id"])
@@ -61,7 +90,7 @@ def first_events_within(events: DataFrame, delay: str = "7 days") -> DataFrame:
 
 def closed_days(events: DataFrame) -> DataFrame:
     """Events per store and day, sent out once the day can take no more (a day late)."""
-    return (events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "store")
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "store")
             .agg(F.count(F.lit(1)).alias("n_events"))
             .select("store", F.to_date("window.start").alias("log_date"), "n_events"))
 
@@ -70,25 +99,35 @@ class ScopeChange(StatefulProcessor):
     """Keeps a session's scope; a change out of `unset` asks for a migration, one to `nolog`
     for a purge.
 
-    State is one string per session. The rows of a session within one trigger are put in
-    time order, so they are held at once: three narrow columns of at most `BATCH_BYTES` of
-    events.
+    State is one scope per session and when it was seen; with `ttl_ms` a session that is silent
+    for longer is forgotten (for streams that stay up: a run of what is there now would wait for
+    its timers). Rows older than what is known are late and change nothing. The
+    rows of a session within one trigger are put in time order, so they are held at once: three
+    narrow columns of at most `BATCH_BYTES` of events.
     """
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self._ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._scope = handle.getValueState("scope", "scope string")
+        self._scope = handle.getValueState("scope", "scope string, ts long, event_id long", self._ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self._scope.get() if self._scope.exists() else None
-        before = stored[0] if stored else None
+        known = self._scope.get() if self._scope.exists() else None
+        before, last_ts, last_id = known if known else (None, None, None)
         parts = [[r[c].to_numpy() for c in ("ts", "event_id", "scope")] for r in rows]
         ts, ids, scopes = (np.concatenate(column) for column in zip(*parts))
         order = np.lexsort((ids, ts))
-        ids, scopes = ids[order], scopes[order].astype(object)
+        ts, ids, scopes = ts[order].astype("datetime64[us]").astype(np.int64), ids[order], scopes[order].astype(object)
+        if known:
+            new = (ts > last_ts) | ((ts == last_ts) & (ids > last_id))
+            ts, ids, scopes = ts[new], ids[new], scopes[new]
+        if not len(ids):
+            return
         was = np.concatenate((np.array([before], dtype=object), scopes[:-1]))
         purge = (scopes == "nolog") & (was != "nolog") & np.not_equal(was, None)
         migrate = (was == "unset") & (scopes != "unset") & (scopes != "nolog")
-        self._scope.update((scopes[-1],))
+        self._scope.update((scopes[-1], int(ts[-1]), int(ids[-1])))
         hit = purge | migrate
         if hit.any():
             yield pd.DataFrame({"session_id": key[0], "event_id": ids[hit], "was": was[hit], "scope": scopes[hit],
@@ -101,10 +140,10 @@ class ScopeChange(StatefulProcessor):
 CHANGE_SCHEMA = "session_id string, event_id long, was string, scope string, action string"
 
 
-def scope_changes(events: DataFrame) -> DataFrame:
+def scope_changes(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Scope changes per session from routed events (session_id, event_id, ts, scope)."""
     return (events.select("session_id", "event_id", "ts", "scope").groupBy("session_id")
-            .transformWithStateInPandas(ScopeChange(), CHANGE_SCHEMA, "append", "none"))
+            .transformWithStateInPandas(ScopeChange(ttl_ms), CHANGE_SCHEMA, "append", "processingTime" if ttl_ms else "none"))
 
 
 def reclassified(spark: SparkSession, events: Callable[[SparkSession], DataFrame]) -> DataFrame:

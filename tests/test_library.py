@@ -206,6 +206,9 @@ def test_read_articles(spark, tmp_path):
     rows = readers.read_articles(spark, str(tmp_path), "work").collect()
     assert sorted(r["path"] for r in rows) == ["library/a b.md", "library/x/index.md"]
     assert rows[0]["content"] == "---\ntitle: T\n---\n"
+    assert readers.read_articles(spark, f"file://{tmp_path}/", "work").count() == 2
+    with pytest.raises(Exception, match="not below"):
+        readers.read_articles(spark, f"{tmp_path}/[x]", "work").collect()
 
 
 def test_read_session_logs(spark, tmp_path):

@@ -32,6 +32,16 @@ def test_title_and_answer(spark, tmp_path):
     assert tr.session_titles(e).collect()[0]["title"] == "Sorting the attic"
 
 
+def test_dated_copies_of_a_session(spark, tmp_path):
+    for day, n in (("2026-04-01", 2), ("2026-04-02", 3)):
+        (tmp_path / day).mkdir()
+        write(tmp_path, f"{day}/080000_k7.jsonl", LINES[:n])
+    lines = readers.read_transcripts(spark, str(tmp_path))
+    assert lines.count() == 5 and lines.select("file", "line_no").distinct().count() == 5
+    assert sorted(str(r["log_date"]) for r in lines.select("log_date").distinct().collect()) == ["2026-04-01", "2026-04-02"]
+    assert last_turn(tr.real_user_message(readers.latest_copies(lines))) == {"k7": "on the left shelf"}
+
+
 def test_malformed_blank_and_non_object_lines(spark, tmp_path):
     e = load(spark, write(tmp_path, "a_s1.jsonl", [LINES[1], "", "{bad", "[1]", "7", "   ", LINES[2]]))
     assert e.count() == 5
@@ -131,10 +141,10 @@ def test_line_order_across_splits(spark, tmp_path):
 
 def test_tool_call_pairs_and_usage(spark):
     b = spark.createDataFrame([("s", 1, "tool_use", "Read", "a"), ("s", 2, "tool_result", None, "a"),
-                               ("s", 3, "tool_use", "Bash", "b"), ("z", 1, "tool_result", None, "b")],
+                               ("s", 3, "tool_use", "Bash", "b"), ("s", 4, "tool_use", "Read", None), ("z", 1, "tool_result", None, "b")],
                               "session_id string, line_no long, type string, name string, id string")
-    assert {(r["id"], r["result_line"]) for r in tr.tool_call_pairs(b).collect()} == {("a", 2), ("b", None)}
-    assert {(r["name"], r["n_calls"]) for r in tr.tool_usage(b).collect()} == {("Read", 1), ("Bash", 1)}
+    assert {(r["id"], r["result_line"]) for r in tr.tool_call_pairs(b).collect()} == {("a", 2), ("b", None), (None, None)}
+    assert {(r["name"], r["n_calls"]) for r in tr.tool_usage(b).collect()} == {("Read", 2), ("Bash", 1)}
 
 
 def test_flat_real_user_message_and_modes(spark):
