@@ -27,11 +27,6 @@ def _shingles(words: Column) -> Column:
                       F.array(F.xxhash64(words)))
 
 
-def shingle_set(content: Column) -> Column:
-    """Distinct shingles of an article's body."""
-    return _shingles(_words(article_body(content)))
-
-
 def _jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)

@@ -751,13 +751,9 @@ SELECT brain, path, true AS near FROM {worded} w WHERE len(words) > 0 AND (
   (brain, words) IN (SELECT (brain, words) FROM {alike})
   OR (brain, words) IN (SELECT (brain, words) FROM {worded} GROUP BY brain, words HAVING count(*) > 1))""")
 def _near_duplicates(spark, d):
-    """Which partner is named is a choice; that its overlap is large enough is recomputed here."""
+    """Which partner is named is a choice; that its overlap is large enough is not."""
     found = nd.near_duplicate_articles(_catalog(spark, d))
-    sets = _catalog(spark, d).select("brain", "path", nd.shingle_set(F.col("content")).alias("s"))
-    other = sets.select("brain", F.col("path").alias("partner"), F.col("s").alias("s2"))
-    both = F.size(F.array_intersect("s", "s2"))
-    near = both / (F.size("s") + F.size("s2") - both) >= nd.THRESHOLD
-    return found.join(sets, ["brain", "path"]).join(other, ["brain", "partner"]).select("brain", "path", near.alias("near"))
+    return found.select("brain", "path", (F.col("jaccard") >= nd.THRESHOLD).alias("near"))
 
 
 @register("article_provenance", """
