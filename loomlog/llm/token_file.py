@@ -34,7 +34,7 @@ from loomlog.session import fresh_folder, saved
 BLOCK_IDS = 1 << 18
 #: Entries of a worker's memory of encoded pieces; it is emptied when full.
 MEMORY = 1_000_000
-#: Characters that are encoded at a time, about.
+#: Characters that are encoded at a time, about; the distinct pieces among them are looked up once.
 STEP = 1 << 22
 #: White space next to white space, or other than a space or a line feed; and the piece mark.
 _UNSAFE = "\x00|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
