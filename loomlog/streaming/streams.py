@@ -160,7 +160,8 @@ def reclassified(spark: SparkSession, events: Callable[[SparkSession], DataFrame
 
 
 def compile_new_sessions(spark: SparkSession, source: str, done: str, state: str | None = None) -> None:
-    """Add logs of `source` (store, log_date, session_id, ..) that `done` does not hold yet.
+    """Add logs of `source` (store, log_date, session_id, ..) that `done`, partitioned by store
+    and day, does not hold yet.
 
     Without `state` every run reads the source anew, and the anti-join alone keeps it
     idempotent; with it a run reads only what came since. A batch that is run again after a
@@ -173,8 +174,10 @@ def compile_new_sessions(spark: SparkSession, source: str, done: str, state: str
         fresh = batch.dropDuplicates(keys)
         held = stored(own, done, batch.schema)
         if held is not None:
-            fresh = fresh.join(held.select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(done)
+            # Only the partitions of the batch's days are read.
+            days = fresh.select("store", "log_date").distinct()
+            fresh = fresh.join(held.select(*keys).join(days, ["store", "log_date"], "left_semi"), keys, "left_anti")
+        fresh.write.mode("append").partitionBy("store", "log_date").parquet(done)
 
     (stream_table(spark, source).writeStream.foreachBatch(add)
      .option("checkpointLocation", state or fresh_folder(spark, "compile-state"))
