@@ -7,8 +7,9 @@ matches competes again, so tiles never overlap on either side. A document is con
 when tiles cover at least `threshold` of the item's words, in whatever order the passages stand.
 
 The items are a stated query set: they are cut into blocks of bounded size, and each block is sent to all
-tasks and compared with all documents. Documents are read whole; passages of one item are looked for
-within windows of `WINDOW` words that overlap by twice the block's longest item.
+tasks and compared with all documents. Documents are read whole: seeds are hashed `WINDOW` words at a
+time, and the matches of all steps are tiled together, so the verdict does not depend on where in the
+document the passages stand.
 
 Nulls: a null text has no words and matches nothing; an item with fewer than `least` words, or a null
 text, matches nothing. Null ids are kept as null. Repeated rows give repeated results. Empty tables give
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomlog.llm.common import filtered, pick, table, text_of, texts
 
 LEAST, THRESHOLD = 5, 0.5
-#: Characters of a block of items, and words of a window.
+#: Characters of a block of items, and words whose hashes are held at a time.
 BLOCK_CHARS, WINDOW = 4_000_000, 100_000
 #: Entries of a task's memory of words.
 MEMORY = 500_000
@@ -69,6 +69,17 @@ def running_hashes(ids: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _joined(items: np.ndarray, places: np.ndarray, others: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches of so many seeds each, in order, with those that follow each other on a diagonal as one."""
+    if not len(items):
+        return items, places, others, seeds
+    order = np.lexsort((places, places - others, items))
+    items, places, others, seeds = items[order], places[order], others[order], seeds[order]
+    new = (np.diff(items) != 0) | (np.diff(places - others) != 0) | (np.diff(places) != seeds[:-1])
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    return items[first], places[first], others[first], np.add.reduceat(seeds, first)
+
+
 class Items:
     """A block of items: word numbers, and where each seed stands."""
 
@@ -77,7 +88,8 @@ class Items:
         vocabulary: dict[str, int] = {}
         self.words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], dtype=np.int64) for _, t in rows]
         self.numbers = _Numbers(vocabulary)
-        self.longest = max(map(len, self.words), default=0)
+        self.text = np.concatenate([*self.words, np.zeros(0, np.int64)])
+        self.start = np.cumsum([0, *map(len, self.words)])
         hashes = [running_hashes(w, least) for w in self.words]
         seeds = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
@@ -86,45 +98,46 @@ class Items:
         self.item, self.place = item[order], place[order]
         self.seeds, self.first, self.count = np.unique(seeds[order], return_index=True, return_counts=True)
 
-    def matches(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(item, places in the document, places in the item) of the seeds they share."""
-        hashes = running_hashes(doc, self.least)
-        if not len(hashes) or not len(self.seeds):
-            return
+    def _seeds(self, doc: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
+        """Matches between items and the seeds of `WINDOW` places of the document from `begin` on."""
+        part = doc[begin : begin + WINDOW + self.least - 1]
+        hashes = running_hashes(part, self.least)
         at = np.searchsorted(self.seeds, hashes)
         at[at == len(self.seeds)] = 0
         hit = np.flatnonzero(self.seeds[at] == hashes)
-        if not len(hit):
-            return
         found = at[hit]
         counts = self.count[found]
         to = np.repeat(self.first[found] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        places, items, others = np.repeat(hit, counts), self.item[to], self.place[to]
-        order = np.argsort(items, kind="stable")
-        bounds = np.flatnonzero(np.diff(items[order], prepend=-1))
-        for a, b in zip(bounds, [*bounds[1:], len(order)]):
-            yield int(items[order[a]]), places[order[a:b]], others[order[a:b]]
+        items, places, others = self.item[to], np.repeat(hit, counts), self.place[to]
+        # Equal hashes are checked by their words.
+        same = np.ones(len(places), dtype=bool)
+        for i in range(self.least):
+            same &= part[places + i] == self.text[self.start[items] + others + i]
+        return _joined(items[same], places[same] + begin, others[same], np.ones(same.sum(), dtype=np.int64))
+
+    def matches(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, places in the document, places in the item, words) of the maximal matches of the whole
+        document. What one step of hashes ends with and the next goes on with is one match."""
+        if not len(self.seeds):
+            return
+        steps = [self._seeds(doc, begin) for begin in range(0, len(doc) - self.least + 1, WINDOW)]
+        if not any(len(s[0]) for s in steps):
+            return
+        items, places, others, sizes = _joined(*map(np.concatenate, zip(*steps)))
+        bounds = np.flatnonzero(np.diff(items, prepend=-1))
+        for a, b in zip(bounds, [*bounds[1:], len(items)]):
+            yield int(items[a]), places[a:b], others[a:b], sizes[a:b] + self.least - 1
 
-    def tiled(self, doc: np.ndarray, item: int, places: np.ndarray, others: np.ndarray) -> tuple[int, int]:
+    def tiled(self, item: int, places: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
         """(words of the item that tiles cover, tiles)."""
         text, least = self.words[item], self.least
-        # Equal hashes are checked by their words.
-        same = np.ones(len(places), dtype=bool)
-        for i in range(least):
-            same &= doc[places + i] == text[others + i]
-        places, others = places[same], others[same]
-        order = np.lexsort((places, places - others))
-        places, others = places[order], others[order]
-        if not len(places):
-            return 0, 0
-        new = np.flatnonzero((np.diff(places - others, prepend=np.iinfo(np.int64).min) != 0) | (np.diff(places, prepend=-2) != 1))
-        sizes = np.diff(np.append(new, len(places))) + least - 1
-        heap = [(-int(n), int(p), int(o)) for n, p, o in zip(sizes, places[new], others[new])]
+        heap = [(-int(n), int(p), int(o)) for n, p, o in zip(sizes, places, others)]
         heapq.heapify(heap)
         used_doc: set[int] = set()
         used = np.zeros(len(text), dtype=bool)
         covered = tiles = 0
-        while heap:
+        # Fewer free words than a tile has: nothing can follow.
+        while heap and covered + least <= len(text):
             n, p, o = heapq.heappop(heap)
             free = [i for i in range(-n) if not used[o + i] and (p + i) not in used_doc]
             if len(free) == -n:
@@ -144,17 +157,11 @@ class Items:
         return covered, tiles
 
     def of(self, text: str) -> dict[int, tuple[int, int]]:
-        """Per item with a shared seed: (covered words, tiles), the best over the windows."""
+        """Per item with a shared seed: (covered words, tiles) in the whole text."""
         get = self.numbers.__getitem__
         ids = np.fromiter(map(get, text.lower().split()), np.int64)
         ids = ids[ids >= 0]
-        best: dict[int, tuple[int, int]] = defaultdict(lambda: (0, 0))
-        step = max(WINDOW - 2 * self.longest, WINDOW // 2)
-        for begin in range(0, max(len(ids), 1), step):
-            part = ids[begin : begin + max(WINDOW, step + 2 * self.longest)]
-            for item, places, others in self.matches(part):
-                best[item] = max(best[item], self.tiled(part, item, places, others), key=lambda x: (x[0], -x[1]))
-        return best
+        return {item: self.tiled(item, *found) for item, *found in self.matches(ids)}
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:

@@ -60,6 +60,25 @@ def test_documents(spark, monkeypatch, window):
     assert dc.drop_contaminated(docs, items.limit(0)).count() == 9
 
 
+@pytest.mark.parametrize("window", [100_000, 7, 64])
+def test_passages_far_apart(monkeypatch, window):
+    monkeypatch.setattr(dc, "WINDOW", window)
+    words, noise = ITEM.split(), [f"n{i % 977}" for i in range(150_000 if window > 64 else 500)]
+    doc = [*noise[:1000], *words[24:], *noise, *words[:12], *noise, *words[12:24]]
+    known = dc.Items([(1, "another item of six words"), (7, ITEM)], 5)
+    assert known.of(" ".join(doc)) == {1: (40, 3)}
+    assert known.of(" ".join(noise + words)) == {1: (40, 1)}
+
+
+def test_steps_give_the_same_tiles(monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(20))) for k in range(5)]
+    docs = [" ".join(rng.choice("abcd") for _ in range(150)) for _ in range(20)]
+    whole = [dc.Items(items, 3).of(d) for d in docs]
+    monkeypatch.setattr(dc, "WINDOW", 4)
+    assert [dc.Items(items, 3).of(d) for d in docs] == whole and any(whole)
+
+
 def test_blocks_find_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c {i} " + " ".join(f"i{i % 4}w{j}" for j in range(9))) for i in range(8)], "doc_id long, text string")
     items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(9))) for k in range(4)], "item_id long, text string")
