@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The white space of the contracts: space and the characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,6 +56,13 @@ def filtered(df: DataFrame, good: Callable[[pa.RecordBatch], np.ndarray]) -> Dat
     return df.mapInArrow(run, df.schema)
 
 
+def one_per_row_key(df: DataFrame, kept: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of the rows of `df` whose `key` is in `kept`, the first of each key. Each map task holds back all
+    but one row of a key, so equal rows do not meet in one task."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_first", first).filter("_first = 1").join(kept, key, "left_semi").drop("_first", key)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled ids, those of the smallest hash, that `learn`

@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomlog.llm.common import SPACE, pick, table, text_of
+from loomlog.llm.common import SPACE, one_per_row_key, pick, table, text_of
 from loomlog.session import saved
 
 SALTS = 8
@@ -62,10 +62,8 @@ def classes(rows: DataFrame, salts: int = SALTS) -> DataFrame:
                     F.when(F.col("keep") < F.expr(_LAST), F.col("keep").cast("long")).alias("keep_id"), "group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS,
-                     digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest) of every row; of a group the row with the longest
-    text, then the smallest id, stays. `digest` gives hexadecimal text."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest, length) of every row."""
     rows = rows_of(docs, id_col, text_col, digest)
     found = saved(classes(rows, salts).drop("content"), "classes")
     clashing = found.groupBy("digest").count().filter("count > 1").select("digest")
@@ -79,13 +77,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         by_content = several.join(classes(several, salts).withColumnRenamed("length", "best_length"), ["digest", "content"])
         joined = members.join(alone, "digest").unionByName(by_content.drop("content"))
     return joined.select(F.col("id").alias("doc_id"), "keep_id", "group_size",
-                         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("best_length"))).alias("kept"), "digest")
+                         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("best_length"))).alias("kept"), "digest", "length")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS,
+                     digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest) of every row; of a group the row with the longest
+    text, then the smallest id, stays. `digest` gives hexadecimal text."""
+    return _marked(docs, id_col, text_col, salts, digest).drop("length")
+
+
+def _row_key(doc_id: Column, length: Column, digest: Column) -> Column:
+    return F.concat_ws("/", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), length, F.upper(digest))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that do not stay; ids name rows."""
-    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """`docs` with one row, the one that stays, of each class of equal texts. Rows are told apart by
+    id, length and digest; of rows equal in these the first text stays."""
+    marked = _marked(docs, id_col, text_col, SALTS, sha256).filter("kept")
+    kept = marked.select(_row_key(F.col("doc_id"), F.col("length"), F.hex("digest")).alias("_row"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    keyed = docs.withColumn("_row", _row_key(docs[id_col], F.length(text), sha256(normalised(text))))
+    return one_per_row_key(keyed, kept, "_row", text_col)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

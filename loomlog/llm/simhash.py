@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from loomlog.llm.common import pick, table, texts
+from loomlog.llm.common import one_per_row_key, pick, table, texts
 from loomlog.llm.components import components
 from loomlog.session import saved
 
@@ -125,23 +126,42 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                    seed: int = SEED, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id that links reach."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, distance: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, least id, root of its class) of every fingerprint."""
     signed = saved(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     roots = components(links(signed, distance, hot))
     own = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = own.join(roots, own.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = saved(rooted, "rooted")
+    return signed, saved(rooted, "rooted")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                    seed: int = SEED, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest id that links reach."""
+    signed, rooted = _rooted(docs, id_col, text_col, words, seed, distance, hot)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return signed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _row_key(doc_id: Column, fp: Column) -> Column:
+    return F.concat_ws("/", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), fp)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row, that of the smallest id, of each class; ids name rows."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """`docs` with one row, that of the smallest id, of each class. Rows are told apart by id and
+    fingerprint; of rows equal in these the first text stays. A null id loses against any other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(text) for text in texts(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    _, rooted = _rooted(docs, id_col, text_col, WORDS, SEED, DISTANCE, HOT)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "fp")).alias("_w"))
+    kept = first.select(_row_key(F.col("_w.least"), F.col("_w.fp")).alias("_row"))
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    keyed = printed.withColumn("_row", _row_key(F.col(id_col), F.col("_fp"))).drop("_fp")
+    return one_per_row_key(keyed, kept, "_row", text_col)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

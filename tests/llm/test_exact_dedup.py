@@ -37,5 +37,16 @@ def test_drop(spark):
     assert len(bodies) == len(set(bodies)) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for i, t in TEXTS if i not in (None, 14)})
 
 
+def test_drop_decides_by_row(spark):
+    rows = [*TEXTS, (None, "unique y"), (None, "unique y"), (21, "p"), (22, "p"), (22, "q"), (23, "r s"), (23, "rs"), (23, "r\ts")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(3)
+    left = ed.drop_duplicates(docs)
+    bodies = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in left.collect()]
+    assert left.columns == docs.columns
+    assert sorted(bodies) == sorted({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows})
+    kept = {(r.doc_id, r.text) for r in left.collect()}
+    assert {(None, "unique y"), (None, "zz"), (14, "x"), (21, "p"), (22, "q"), (23, "r\ts")} <= kept
+
+
 def test_no_documents(spark):
     assert ed.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

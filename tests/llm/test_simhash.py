@@ -62,3 +62,11 @@ def test_classes(spark):
         expected.append((doc, signed(values[i]), min((texts[j][0] for j in seen if texts[j][0] is not None), default=None)))
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
     assert sh.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(200)) for k in "xyz")
+    docs = spark.createDataFrame([(None, one), (1, one), (None, two), (None, two), (3, three), (3, three), (3, two + " " + three)], "doc_id long, text string")
+    left = sh.keep_one(docs.repartition(3))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, one), (None, two), (3, three), (3, two + " " + three)], key=str)
