@@ -406,7 +406,7 @@ c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS ws FROM f WHERE k
 cut AS (SELECT c.*, unnest(range(1, k)) AS j FROM c),
 s AS (SELECT cut.lang, cut.phrase, cut.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a) // (x.a + y.a) AS score
       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:j], ' ')
-      JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[j + 1:k], ' ')),
+      JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[j + 1:cut.k], ' ')),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 i AS (SELECT lang, array_to_string(ws[b:b + size - 1], ' ') AS phrase, max(a) AS longer
       FROM (SELECT lang, ws, a, k, size, unnest(range(1, k - size + 2)) AS b FROM (SELECT *, unnest(range(2, k)) AS size FROM c)) GROUP BY ALL),
