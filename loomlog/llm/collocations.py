@@ -8,9 +8,9 @@ parts have survived, under a 64-bit hash that deals them out to buckets. Every t
 into one summary per bucket; the summaries of a bucket are merged into one of more counters than the
 bucket's mass divided by the threshold: whenever it has more, the count of the largest superfluous one is
 taken off all. What is taken off so stays below the threshold, so every frequent n-gram survives; what
-cannot reach the threshold even with that added is dropped. Survivors are kept as bits of a table of fixed
-size. A bit that several hashes share lets n-grams through that are not frequent; they are dropped after
-the second pass, which counts by the words themselves. A bucket's summary is all that a task holds, and
+cannot reach the threshold even with that added is dropped. Survivors are kept as two bits each of a table
+of fixed size. Bits that several hashes share let n-grams through that are not frequent; they are dropped
+after the second pass, which counts by the words themselves. A bucket's summary is all that a task holds, and
 it shrinks with the number of buckets, four per shuffle partition.
 
 Scores: cutting a candidate of frequency a into two parts of frequencies l and r gives
@@ -38,7 +38,9 @@ LEAST, MOST, INSIDE, TOP = 30, 4, 80, 2000
 #: Bytes of text that are looked at together.
 STEP = 1 << 22
 #: Different n-grams that a task sums up before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 21
+#: Phrases that a task of the second pass counts up before it sends them on.
+COUNTED = 1 << 20
 #: Bits of the table of survivors of a round (8 MB).
 BITS = 26
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -116,8 +118,12 @@ class Words:
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(len(bits) * 8 - 1)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether both bits of each hash are set."""
+    out = np.ones(len(h), bool)
+    for part in (h, h >> np.uint64(32)):
+        slot = part & np.uint64(len(bits) * 8 - 1)
+        out &= (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Words]:
@@ -278,11 +284,12 @@ def _survivors(local: DataFrame, least: int) -> DataFrame:
 
 
 def _bits(hashes: DataFrame, bits: int):
-    """Broadcast of the bit table of some hashes. The driver sees words of the table, never hashes: at most
-    its fixed size."""
-    slot = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    words = (hashes.groupBy(F.shiftright(slot, 6).alias("at"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("word")).toArrow())
+    """Broadcast of the bit table of some hashes, two bits each. The driver sees words of the table, never
+    hashes: at most its fixed size."""
+    mask = F.lit((1 << bits) - 1).cast("long")
+    slots = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()
     made = np.zeros(1 << (bits - 6), "<i8")
     made[words.column("at").to_numpy()] = words.column("word").to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(made.tobytes())
@@ -315,7 +322,7 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
         for words in _parts(batches, most):
             for key, n in _exact(words, shared):
                 total[key] = total.get(key, 0) + n
-            if len(total) >= 1 << 19:
+            if len(total) >= COUNTED:
                 yield rows()
                 total.clear()
         yield rows()
