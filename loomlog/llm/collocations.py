@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -310,14 +311,20 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
         shared = _bits(saved(found, "survivors"), bits)
         tables += [shared] * (last - first + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task has read, one row a bucket."""
         shared = [np.frombuffer(t.value, np.uint8) for t in tables]
         total: dict[tuple, int] = {}
 
         def rows() -> pa.RecordBatch:
-            langs, phrases, ks = zip(*total) if total else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(ks, pa.int32()),
-                                               pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "k", "n"])
+            langs, phrases, ks = (list(x) for x in zip(*total))
+            bucket = np.fromiter((xxhash.xxh64_intdigest(p) % buckets for p in phrases), np.int64, len(phrases))
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            offsets, order = pa.array(np.append(first, len(order)), pa.int32()), pa.array(order)
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(ks, pa.int32()), pa.array(list(total.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.ListArray.from_arrays(offsets, c.take(order)) for c in columns]],
+                                              names=["bucket", *_COUNTED])
 
         for words in _parts(batches, most):
             for key, n in _exact(words, shared):
@@ -325,13 +332,45 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
             if len(total) >= COUNTED:
                 yield rows()
                 total.clear()
-        yield rows()
+        if total:
+            yield rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each bucket, summed up again whenever many rows have come together."""
+        bucket, parts, n = None, [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(parts).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns(_COUNTED)
 
-    counts = (rows.mapInArrow(run, "lang string, phrase binary, k int, n long")
-              .groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("k") == 0)))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column("bucket")[i].as_py()
+                if own != bucket and parts:
+                    yield from _batches(summed(), least)
+                    parts, n = [], 0
+                bucket = own
+                parts.append(pa.table({c: batch.column(c)[i].values for c in _COUNTED}))
+                n += len(parts[-1])
+                if n > COUNTED:
+                    parts = [summed()]
+                    n = len(parts[0])
+        if parts:
+            yield from _batches(summed(), least)
+
+    local = rows.mapInArrow(count, "bucket int, lang array<string>, phrase array<binary>, k array<int>, n array<long>")
+    shuffled = local.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    counts = shuffled.mapInArrow(add, "lang string, phrase binary, k int, n long")
     return saved(counts.withColumn("phrase", F.col("phrase").cast("string")), "frequent")
 
 
+_COUNTED = ["lang", "phrase", "k", "n"]
+
+
+def _batches(counts: pa.Table, least: int) -> list[pa.RecordBatch]:
+    """Frequent runs and the totals of languages."""
+    return counts.filter((pc.field("n") >= least) | (pc.field("k") == 0)).to_batches()
+
+
 def _exact(words: Words, tables: list[np.ndarray]) -> Iterator[tuple[tuple, int]]:
     """((lang, phrase, k), n) of the runs that pass the tables, told apart by their words."""
     if not len(words.code):
