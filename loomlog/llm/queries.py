@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import chat_format, collocations, decontamination, exact_dedup, html_text, quality, secrets, toxicity, warc
+from loomlog.llm import chat_format, collocations, decontamination, exact_dedup, html_text, prefix_trie, quality, secrets, toxicity, warc
 from loomlog.llm.bpe import op5_bpe
 from loomlog.llm.simhash import op9_simhash
 from loomlog.llm.token_file import op1_token_file
@@ -24,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "op11_chat_format": chat_format.op11_chat_format,
     "op12_collocations": collocations.op12_collocations,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op11_chat_format": chat_format.SQL,
     "op12_collocations": collocations.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
     "op2_warc": warc.SQL,
     "op3_secrets": secrets.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
