@@ -173,6 +173,11 @@ FROM (SELECT doc_id, brain, path, 10 AS run_id, CASE doc_id % 4 WHEN 3 THEN 'upd
       UNION ALL SELECT doc_id, brain, path, 2000, CASE doc_id % 6 WHEN 5 THEN 'delete' ELSE 'update' END FROM {articles}
       UNION ALL SELECT doc_id, brain, path, 2001, CASE doc_id % 5 WHEN 4 THEN 'delete' ELSE 'update' END FROM {articles}) q""",
 
+    # Logs that their stores hold already, some in the store that the session belongs to.
+    "filed": """
+SELECT session_id, CAST(ts AS DATE) AS log_date, CASE line_no % 4 WHEN 0 THEN 'store_private' ELSE 'store_work' END AS store, line_no, length(text) AS n
+FROM {turns} WHERE line_no % 3 <> 1""",
+
     # Hook payloads as JSON text; errors stand for broken lines, sign-ups carry no session.
     "hook_lines": """
 SELECT event_id, CASE event_type WHEN 'error' THEN '{{bad' WHEN 'signup' THEN concat('{{"mode":"stop","event_id":', CAST(event_id AS STRING), '}}')

@@ -651,12 +651,11 @@ SELECT session_id, log_date, coalesce(r.store, '') AS store,
 FROM (SELECT DISTINCT session_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS log_date FROM {hook_events}
       UNION SELECT DISTINCT session_id, CAST(CAST(ts AS DATE) AS VARCHAR) FROM {turns}) s
 LEFT JOIN {routed} r USING (session_id)
-LEFT JOIN (SELECT session_id, log_date, store FROM {catalog} WHERE hhmmss < '150000') t USING (session_id, log_date, store)""")
+LEFT JOIN (SELECT DISTINCT session_id, CAST(log_date AS VARCHAR) AS log_date, store FROM {filed}) t USING (session_id, log_date, store)""")
 def _migrate_unclassified(spark, d):
     staged = (_fx(spark, d, "hook_events").select("session_id", F.to_date("ts").alias("log_date"))
               .union(_fx(spark, d, "turns").select("session_id", F.to_date("ts").alias("log_date"))).distinct())
-    target = _session_catalog_df(spark, d).filter("hhmmss < '150000'")
-    out = ro.migrate_unclassified(staged, _routed(spark, d), target)
+    out = ro.migrate_unclassified(staged, _routed(spark, d), _fx(spark, d, "filed"))
     return _text(out.select("session_id", "log_date", F.coalesce("store", F.lit("")).alias("store"), "state"), "log_date")
 
 
@@ -952,9 +951,9 @@ def _project_clusters(spark, d):
 
 # ---- 2.5 windows ----
 
-@register("line_number", "SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS position FROM {transcript_lines} WHERE raw <> '{{bad'")
+@register("line_number", "SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS position FROM {transcript_lines}")
 def _line_number(spark, d):
-    lines = _fx(spark, d, "transcript_lines").filter("raw <> '{bad'").select("session_id", "line_no")
+    lines = _fx(spark, d, "transcript_lines").select("session_id", "line_no")
     return tr.line_number(lines, chunk_width=3)
 
 
