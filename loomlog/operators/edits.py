@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.arrays import explode_rows
 from loomlog.functions.front_matter import LIBRARY_ROOT, article_stem, display_path, escapes_root, is_generated
-from loomlog.functions.titles import strip_blanks, truncate_text
+from loomlog.functions.titles import strip_blanks
 from loomlog.operators.library import parse_articles
 from loomlog.plans.ordered import first_per_key, latest_per_key, previous_value
 
 # Block marker and accepted actions of each response kind.
 MARKERS = {"compile": "EDIT", "supervise": "SUPERVISE"}
 ACTIONS = {"compile": ("create", "update", "skip"), "supervise": ("rewrite", "create", "delete", "skip")}
+# A first response and one retry.
 MAX_ATTEMPTS = 2
 RUNS_PER_CHUNK = 1000
 
@@ -67,7 +68,7 @@ def parse_edits(parsed: DataFrame, keys: list[str]) -> DataFrame:
                 block, r"(?md)\A@@@\w+[^\S\n]*\n([\s\S]*?)(?:^@@@(?:BODY|END)[^\S\n]*$|\z)", 1), "\n"))
             .withColumn("_body", F.regexp_extract(
                 block, rf"(?md)\A[\s\S]*?^@@@BODY[^\S\n]*$\n?([\s\S]*?){_END}", 1)))
-    said = F.concat(F.lit("implicit skip (summary-only response): "), truncate_text(F.col("summary"), 200))
+    said = F.concat(F.lit("implicit skip (summary-only response): "), F.col("summary"))
     return rows.select(
         *keys, "kind", "seq",
         F.when(implied, "skip").otherwise(_header_value(F.col("_head"), "action")).alias("action"),
@@ -78,21 +79,25 @@ def parse_edits(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_errors(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Error rows of responses without a usable block; the text is cut to 500 characters."""
+    """Error rows of responses without a usable block, with their whole text."""
     return (parsed.filter(F.col("status") == "unparseable")
             .select(*keys, F.lit("parse").alias("stage"),
-                    F.concat(F.lit("no edit blocks found: "), truncate_text(F.col("text"), 500)).alias("message")))
+                    F.concat(F.lit("no edit blocks found: "), F.col("text")).alias("message")))
 
 
-def retry_choice(parsed: DataFrame, key: str = "run_id") -> DataFrame:
-    """First parseable one of the two allowed attempts of a run."""
-    usable = parsed.filter((F.col("attempt") <= MAX_ATTEMPTS) & (F.col("status") != "unparseable"))
+def _allowed(parsed: DataFrame, attempts: int | None) -> DataFrame:
+    return parsed if attempts is None else parsed.filter(F.col("attempt") <= attempts)
+
+
+def retry_choice(parsed: DataFrame, key: str = "run_id", attempts: int | None = MAX_ATTEMPTS) -> DataFrame:
+    """First parseable one of the first `attempts` responses of a run (None: of all)."""
+    usable = _allowed(parsed, attempts).filter(F.col("status") != "unparseable")
     return first_per_key(usable, [key], ["attempt"])
 
 
-def failed_runs(parsed: DataFrame, key: str = "run_id") -> DataFrame:
-    """Runs whose allowed attempts all failed."""
-    return (parsed.filter(F.col("attempt") <= MAX_ATTEMPTS).groupBy(key)
+def failed_runs(parsed: DataFrame, key: str = "run_id", attempts: int | None = MAX_ATTEMPTS) -> DataFrame:
+    """Runs whose first `attempts` responses all failed."""
+    return (_allowed(parsed, attempts).groupBy(key)
             .agg(F.bool_and(F.col("status") == "unparseable").alias("failed"), F.max("attempt").alias("attempts"))
             .filter("failed").drop("failed"))
 
@@ -174,7 +179,7 @@ def rejected_edits(edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """Error rows of edits that may not be applied."""
     return (classify_edits(edits, root).filter(F.col("verdict") != "ok")
             .select("brain", "run_id", "seq", F.lit("apply").alias("stage"),
-                    truncate_text(F.concat_ws(": ", "verdict", "action", "path"), 500).alias("message")))
+                    F.concat_ws(": ", "verdict", "action", "path").alias("message")))
 
 
 def move_pairs(edits: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:

@@ -373,10 +373,8 @@ def _error_sink(spark, d):
     now = F.lit("2026-06-01 00:00:00").cast("timestamp")
     bad = ed.rejected_edits(_fx(spark, d, "edits"))
     sinks.write_errors(sinks.errors(bad, now, "apply", F.concat_ws("/", "brain", "run_id", "seq"), F.col("message")), folder)
-    parsed = ed.with_blocks(_fx(spark, d, "responses"))
-    failed = parsed.filter("status = 'unparseable'")
-    sinks.write_errors(sinks.errors(failed, now, "parse", F.concat_ws("/", "run_id", "attempt"),
-                                    F.concat(F.lit("no edit blocks found: "), F.col("text"))), folder)
+    failed = ed.parse_errors(ed.with_blocks(_fx(spark, d, "responses")), ["run_id", "attempt"])
+    sinks.write_errors(sinks.errors(failed, now, "parse", F.concat_ws("/", "run_id", "attempt"), F.col("message")), folder)
     return spark.read.parquet(folder).select("stage", "key", "message", "shown")
 
 

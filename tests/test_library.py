@@ -96,8 +96,12 @@ def test_retry(spark):
                                              "run_id long, brain string, kind string, attempt int, text string"))
     assert {(r["run_id"], r["attempt"]) for r in ed.retry_choice(p).collect()} == {(1, 2), (3, 1)}
     assert [r["run_id"] for r in ed.failed_runs(p).collect()] == [2]
+    assert {(r["run_id"], r["attempt"]) for r in ed.retry_choice(p, attempts=None).collect()} == {(1, 2), (2, 3), (3, 1)}
+    assert ed.failed_runs(p, attempts=None).count() == 0 and {r["run_id"] for r in ed.failed_runs(p, attempts=1).collect()} == {1, 2}
     errors = ed.parse_errors(p, ["run_id", "attempt"]).collect()
     assert len(errors) == 4 and all(r["stage"] == "parse" for r in errors)
+    whole = ed.parse_errors(ed.with_blocks(spark.createDataFrame([(1, "w", "compile", 1, "z" * 9000)], "run_id long, brain string, kind string, attempt int, text string")), ["run_id"])
+    assert len(whole.first()["message"]) > 9000
 
 
 EDITS = "brain string, kind string, run_id long, seq int, action string, path string, reason string, content string"
