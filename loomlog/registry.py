@@ -1172,25 +1172,6 @@ def _stream_log_turns(spark, d):
     return _text(spark.read.parquet(folder).select("event_id", "session_id", "mode", "log_date", "scope", "store", "prompt"), "log_date")
 
 
-CTES["stops"] = """
-SELECT session_id, scope, CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store, CAST(CAST(ts AS DATE) AS VARCHAR) AS log_date
-FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rn FROM {event_scopes} WHERE scope <> 'nolog' AND mode = 'stop') q WHERE rn = 1"""
-
-
-@register("stream_log_stops", f"""
-SELECT s.session_id, s.store, s.scope, s.log_date, last_line, {duck_redact("text")} AS text FROM {{stops}} s JOIN (
-  SELECT session_id, max(line_no) AS last_line, string_agg(text, concat(chr(10), chr(10)) ORDER BY line_no) AS text FROM {{turns}}
-  JOIN (SELECT session_id, max(line_no) AS cut FROM {{turns}} WHERE role = 'user' AND NOT is_sidechain AND trim(text) <> '' GROUP BY 1) u USING (session_id)
-  WHERE role = 'assistant' AND NOT is_sidechain AND line_no > cut GROUP BY 1) q USING (session_id)""")
-def _stream_log_stops(spark, d):
-    """Two runs over the same events; the second must add nothing."""
-    folder = fresh_folder(spark, "stops")
-    for n in range(2):
-        events = _stream_events(streams.stream_table(spark, f"{d}/events.parquet"))
-        streams.log_stops(events, lambda s: _typed_turns(s, d), CONFIG, folder, fresh_folder(spark, f"stops-state-{n}"))
-    return _text(spark.read.parquet(folder).select("session_id", "store", "scope", "log_date", "last_line", "text"), "log_date")
-
-
 @register("closed_days", """
 SELECT store, CAST(log_date AS VARCHAR) AS log_date, n_events FROM (
   SELECT CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store, CAST(ts AS DATE) AS log_date, count(*) AS n_events

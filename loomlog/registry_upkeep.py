@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomlog.fixtures import spark_sql
 from loomlog.plans import upkeep
-from loomlog.registry import CTES, _fx, _per_log, _routed, _text, register
+from loomlog.registry import CONFIG, CTES, _fx, _per_log, _routed, _stream_events, _text, duck_redact, register
 from loomlog.session import fresh_folder
 from loomlog.sources.sinks import append_partitioned
+from loomlog.streaming import in_order, streams
 
 CTES["nolog"] = "SELECT session_id FROM {scoped} WHERE scope = 'nolog'"
 CTES["article_sources"] = r"""
@@ -92,3 +94,89 @@ def _commit_run(spark, d):
         rows = spark.read.parquet(f"{home}/{kind}").select(F.lit(kind).alias("kind"), F.col("brain").alias("key"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- streams in the order of event time ----
+
+# The transcripts of the fixtures were written two years after their hook events.
+SHIFT_DAYS = 821
+HOUR = 3_600_000_000
+
+CTES["turn_events"] = f"""
+SELECT session_id, ts - INTERVAL '{SHIFT_DAYS}' DAY AS ts, 0 AS rank, line_no AS pos, CASE role WHEN 'user' THEN 'open' ELSE 'said' END AS kind, text, CAST(NULL AS VARCHAR) AS store, CAST(NULL AS VARCHAR) AS scope
+FROM {{turns}} WHERE NOT is_sidechain AND ((role = 'user' AND trim(text) <> '') OR (role = 'assistant' AND text <> ''))
+UNION ALL SELECT session_id, ts, 1, event_id, 'stop', NULL, CASE scope WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END, scope
+FROM {{event_scopes}} WHERE mode = 'stop'"""
+CTES["turn_parts"] = """
+SELECT *, sum(CASE WHEN kind = 'said' THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts, rank, pos ROWS UNBOUNDED PRECEDING)
+  - CASE WHEN kind = 'said' THEN 0 ELSE 1 END AS part FROM {turn_events}"""
+
+
+def _stream_turns(spark, d):
+    """The `turns` fixture over a streaming table, with the time of the hook events."""
+    streams.stream_table(spark, f"{d}/conversations.parquet").createOrReplaceTempView("streamed_conversations")
+    return (spark.sql(spark_sql("turns", lambda ref: f"streamed_{ref}")).withColumnRenamed("role", "entry_type")
+            .withColumn("is_real_user", F.trim("text") != "").withColumn("ts", F.expr(f"ts - INTERVAL '{SHIFT_DAYS}' DAY")))
+
+
+@register("stream_log_stops", f"""
+SELECT q.session_id, e.pos AS event_id, e.store, e.scope, CAST(CAST(e.ts AS DATE) AS VARCHAR) AS log_date, q.pos AS line_no, {duck_redact("q.text")} AS text
+FROM {{turn_parts}} q JOIN {{turn_parts}} e ON e.session_id = q.session_id AND e.part = q.part AND e.kind = 'stop'
+WHERE q.kind = 'said' AND e.scope <> 'nolog'""")
+def _stream_log_stops(spark, d):
+    """Transcripts and stops as one stream, run twice; the second run has nothing new."""
+    home, state = fresh_folder(spark, "stops"), fresh_folder(spark, "stops-state")
+    job = in_order.stopped_turns(home, 24 * HOUR)
+    for _ in range(2):
+        events = _stream_events(streams.stream_table(spark, f"{d}/events.parquet"))
+        job.run(in_order.turn_rows(_stream_turns(spark, d)).unionByName(in_order.stop_rows(events, CONFIG)), state)
+    job.finish(spark)
+    return _text(spark.read.parquet(f"{home}/turns").select("session_id", "event_id", "store", "scope", "log_date", "line_no", "text"), "log_date")
+
+
+# Most sessions stay: one error in 97 opts out, the others tell nothing.
+CTES["scope_changes"] = """
+SELECT session_id, event_id, ts, was, scope, CASE scope WHEN 'nolog' THEN 'purge' ELSE 'migrate' END AS action
+FROM (SELECT *, lag(scope) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS was FROM (
+  SELECT session_id, event_id, ts, CASE WHEN event_type <> 'error' OR event_id % 97 = 0 THEN scope WHEN user_id % 3 = 0 THEN 'both' ELSE 'unset' END AS scope FROM {event_scopes}) e) q
+WHERE scope <> was AND (scope = 'nolog' OR was = 'unset')"""
+
+
+@register("scopes_applied", """
+SELECT CASE WHEN n.session_id IS NULL THEN 'staged' ELSE n.store END AS store, CAST(CAST(t.ts AS DATE) AS VARCHAR) AS log_date, t.session_id, CAST(count(*) AS BIGINT) AS n_rows
+FROM {turns} t LEFT JOIN (
+  SELECT session_id, bool_or(action = 'purge') AS gone, CASE arg_max(scope, (ts, event_id)) WHEN 'work' THEN 'store_work' WHEN 'private' THEN 'store_private' ELSE 'unclassified' END AS store
+  FROM {scope_changes} GROUP BY 1) n USING (session_id) WHERE gone IS NULL OR NOT gone GROUP BY 1, 2, 3""")
+def _scopes_applied(spark, d):
+    """Staged logs follow the scopes that a stream of events tells; purges and moves read back."""
+    home = fresh_folder(spark, "scopes")
+    staged = _fx(spark, d, "turns").select("session_id", F.to_date("ts").alias("log_date"), "line_no")
+    append_partitioned(staged, f"{home}/staged", ["log_date"])
+    job = in_order.scope_history(home, HOUR)
+    events = _stream_events(streams.stream_table(spark, f"{d}/events.parquet"))
+    title = F.when(~F.startswith("raw_title", F.lit("[nolog]")) | (F.col("event_id") % 97 == 0), F.col("raw_title"))
+    job.run(in_order.scope_rows(events.withColumn("raw_title", title), CONFIG), f"{home}/state")
+    job.finish(spark)
+    for n in range(2):
+        in_order.apply_scopes(spark, home, f"{home}/logs", f"{home}/staged", f"apply-{n}")
+    schema = "session_id string, log_date date, line_no long, store string"
+    left = spark.read.schema(schema).parquet(f"{home}/staged").withColumn("store", F.lit("staged"))
+    moved = in_order.stored(spark, f"{home}/logs", schema)
+    return _per_log(left if moved is None else left.unionByName(moved))
+
+
+@register("dead_letters", """
+SELECT 'error' AS kind, value AS text, CAST(count(*) AS BIGINT) AS n FROM {hook_lines} WHERE value = '{{bad' GROUP BY 2
+UNION ALL SELECT 'prompt', regexp_extract(value, '"prompt":"([^"]*)"', 1), CAST(count(*) AS BIGINT) FROM {hook_lines} WHERE contains(value, '"mode":"prompt"') GROUP BY 2
+UNION ALL SELECT 'lines', '', CAST(count(*) AS BIGINT) FROM {hook_lines}""")
+def _dead_letters(spark, d):
+    """A stream of payload lines, some of them broken: prompts, error rows and counts read back."""
+    home = fresh_folder(spark, "payloads")
+    _fx(spark, d, "hook_lines").select("value").write.text(f"{home}/in")
+    for _ in range(2):
+        lines = spark.readStream.text(f"{home}/in").withColumn("ts", F.lit("2026-06-01 00:00:00").cast("timestamp"))
+        in_order.log_payloads(lines, CONFIG, home, f"{home}/state")
+    bad = spark.read.parquet(f"{home}/errors").groupBy(F.lit("error").alias("kind"), F.col("message").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    good = spark.read.parquet(f"{home}/prompts").groupBy(F.lit("prompt").alias("kind"), F.col("prompt").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.read.parquet(f"{home}/batches").select(F.lit("lines").alias("kind"), F.lit("").alias("text"), F.col("n_lines").alias("n"))
+    return bad.unionByName(good).unionByName(counts)

@@ -23,11 +23,12 @@ def append_partitioned(df: DataFrame, root: str, by: Sequence[str]) -> None:
 
 
 def stored(spark: SparkSession, root: str, schema: str | StructType | None = None) -> DataFrame | None:
-    """A written table, or None where there is none yet. Any other trouble is an error."""
+    """A written table, or None where there is none yet or no file is left. Any other trouble is an
+    error."""
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(root)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomlog.operators.redaction import redact_table
-from loomlog.operators.transcripts import last_turn_pieces
-from loomlog.plans.ordered import latest_per_key
 from loomlog.session import ROCKSDB, fresh_folder
 from loomlog.sources.sinks import stored
 
@@ -52,32 +50,6 @@ def log_turns(events: DataFrame, config) -> DataFrame:
     return redact_table(routed, ["prompt"])
 
 
-def log_stops(events: DataFrame, turns_of: Callable[[SparkSession], DataFrame], config, root: str, state: str) -> None:
-    """What stops write: for each stopped session of a batch the last assistant turn of its
-    transcript, routed and redacted, once per session and turn.
-
-    turns_of: session_id, line_no, entry_type, is_sidechain, is_real_user, text, read anew for
-    each batch. A batch that is run again adds nothing.
-    """
-    keys = ["session_id", "last_line"]
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        stops = config.route(batch).filter("scope <> 'nolog' and mode = 'stop'")
-        stops = latest_per_key(stops, ["session_id"], ["ts", "event_id"]).select("session_id", "store", "scope", F.to_date("ts").alias("log_date"))
-        turns = turns_of(own).join(stops.select("session_id"), "session_id", "left_semi").withColumn("block_no", F.lit(0))
-        pieces = last_turn_pieces(turns, turns)
-        said = (pieces.groupBy("session_id").agg(F.max("line_no").alias("last_line"), F.array_sort(F.collect_list(F.struct("line_no", "block_no", "text"))).alias("_t"))
-                .withColumn("text", F.array_join(F.transform("_t", lambda r: r["text"]), "\n\n")).drop("_t"))
-        rows = redact_table(stops.join(said, "session_id"), ["text"])
-        held = stored(own, root)
-        if held is not None:
-            rows = rows.join(held.select(*keys), keys, "left_anti")
-        rows.write.mode("append").partitionBy("store", "log_date").parquet(root)
-
-    events.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-
-
 def first_events(events: DataFrame) -> DataFrame:
     """First event of each session, exactly once for ever; state holds one id per session."""
     return events.dropDuplicates(["session_id"])
