@@ -12,19 +12,19 @@ id and the text are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from loomlog.llm import rans
 from loomlog.llm.common import pick, shipped_tokenizer, texts
@@ -35,64 +35,108 @@ BLOCK_IDS = 1 << 18
 #: Entries of a worker's memory of encoded pieces; it is emptied when full.
 MEMORY = 1_000_000
 #: Characters that are encoded at a time, about; the distinct pieces among them are looked up once.
-STEP = 1 << 22
+STEP = 1 << 23
 #: White space next to white space, or other than a space or a line feed; and the piece mark.
 _UNSAFE = "\x00|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Words that go through the tokenizer as one text.
+LINES = 1 << 12
+#: Characters by which the texts of equal ids are dealt out.
+BEGIN = 256
+# Letters in every version of Unicode; the pattern of the tokenizer leaves a word of them whole.
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff]"
+_POINT = f"({_LETTERS})([.,])"
+_PLAIN = f"^ ?{_LETTERS}+$"
 _CUT = re.compile(r"(?<=\S)(?=\x20\S)")
 
-RAW = "part int, block long, at long, doc_ids array<long>, counts array<long>, width int, ids binary"
+RAW = "part int, block long, at long, doc_ids array<long>, counts array<long>, width int, ids binary, used binary, times binary"
 FILE = "part int, block long, first_id long, doc_ids array<long>, counts array<long>, frame binary"
 
 
 class _Pieces(dict):
-    """Ids, as little-endian bytes of numpy type `kind`, of pieces of text that the tokenizer never
-    joins."""
-
-    def __init__(self, tokenizer, kind: str) -> None:
-        self.tokenizer, self.kind = tokenizer, kind
+    """Numbers of pieces of text that the tokenizer never joins; `flat` holds their ids one after the
+    other, piece `n` from `starts[n]` to `starts[n + 1]`. New pieces only go through the tokenizer: plain
+    words, which its pattern leaves whole, many at a time, one a line, and the others one by one."""
+
+    def __init__(self, tokenizer_json: str, kind: str, lines: bool) -> None:
+        self.kind = kind
+        self.tokenizer, self.lines = _tokenizer(tokenizer_json), _tokenizer(tokenizer_json) if lines else None
+        if lines:
+            whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), whole])
+            # A character of a token's name stands for a byte of its text.
+            names = self.tokenizer.get_vocab()
+            self.bytes = np.zeros(max(names.values()) + 1, np.int64)
+            self.bytes[list(names.values())] = list(map(len, names))
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, the unknown ones encoded together. A letter and a comma or full stop
-        behind it never share a token, so such a piece needs its word only."""
-        found = list(map(self.get, pieces))
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if len(self) + len(unknown) > MEMORY:
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces."""
+        texts_ = pieces.to_pylist()
+        found = np.fromiter(map(self.get, texts_, repeat(-1)), np.int64, len(texts_))
+        unknown = np.flatnonzero(found < 0)
+        if len(self) + len(unknown) > MEMORY and len(self):
             self.clear()
-        marked = {i: pieces[i][-1] for i in unknown if pieces[i][-1:] in (",", ".") and pieces[i][-2:-1].isalpha()}
-        words = [pieces[i][:-1] if i in marked else pieces[i] for i in unknown]
-        new = list({*filterfalse(self.__contains__, words), ",", "."})
-        code = "H" if self.kind == "<u2" else "I"
-        for word, one in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = one.ids
-            self[word] = struct.pack(f"<{len(ids)}{code}", *ids)
-        for i, word in zip(unknown, words, strict=True):
-            found[i] = self[word] + self[marked[i]] if i in marked else self[word]
-            if i in marked and len(word) < 64:
-                self[pieces[i]] = found[i]
-        for word in new:
-            if len(word) > 64:
-                del self[word]
+            found[:], unknown = -1, np.arange(len(texts_))
+        plain = pc.match_substring_regex(pieces.take(pa.array(unknown)), _PLAIN).to_numpy(zero_copy_only=False)
+        plain &= self.lines is not None
+        for places, step, encoded in ((unknown[plain], 1 << 17, self._of_lines), (unknown[~plain], 1 << 15, self._one_by_one)):
+            flat, sizes = [self.flat], [np.zeros(0, np.int64)]
+            for at in range(0, len(places), step):
+                words = [texts_[i] for i in places[at : at + step].tolist()]
+                ids, size = encoded(words)
+                flat.append(ids)
+                sizes.append(size)
+                found[places[at : at + step]] = np.arange(len(self), len(self) + len(words))
+                self.update(zip(words, range(len(self), len(self) + len(words))))
+            self.flat = np.concatenate(flat)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         return found
 
+    def _of_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = ["\n".join(words[i : i + LINES]) for i in range(0, len(words), LINES)]
+        ids = np.fromiter(chain.from_iterable([one.ids for one in self.lines.encode_batch_fast(lines, add_special_tokens=False)]), self.kind)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [one.ids for one in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum())), sizes
+
+
+def _tokenizer(tokenizer_json: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
 
 class Encoder:
-    """Encodes texts with a tokenizer, repeated pieces once a batch.
+    """Encodes texts with a tokenizer, repeated pieces once a worker.
 
     A byte-level tokenizer whose pattern lets a word take one space before it always parts a text
     between two characters that are not white space with one space or line feed between them: before
-    a space, and on both sides of a line feed. Texts with other white space are encoded in one go.
+    a space, and on both sides of a line feed. It also parts a letter and a comma or full stop behind
+    it. Texts with other white space are encoded in one go.
     """
 
     def __init__(self, tokenizer_json: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        self.kind, self.pieces = kind, _Pieces(tokenizer, kind)
-        self.by_parts = '"use_regex":true' in tokenizer.to_str().replace(" ", "") and tokenizer.normalizer is None
+        made = json.loads(tokenizer_json)
+        first = made.get("pre_tokenizer") or {}
+        self.by_parts = (first.get("type") == "ByteLevel" and bool(first.get("use_regex", True)) and not first.get("add_prefix_space")
+                         and not made.get("normalizer"))
+        # A special text in a word or at a line's end would be taken out of it.
+        special = [t["content"] for t in made.get("added_tokens") or []]
+        lines = self.by_parts and not any("\n" in t or re.search(_PLAIN, t) for t in special)
+        self.kind, self.pieces = kind, _Pieces(tokenizer_json, kind, lines)
 
     def encode(self, some: list[str]) -> Iterator[bytes]:
         """Ids of each text. Long texts are cut where a word with a space before it begins."""
@@ -123,20 +167,18 @@ class Encoder:
         unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False) if self.by_parts else np.ones(len(some), bool)
         safe = column.filter(pa.array(~unsafe))
         marked = pc.replace_substring(pc.replace_substring(safe, " ", "\x00 "), "\n", "\x00\n\x00")
-        split = pc.split_pattern(marked, "\x00")
+        split = pc.split_pattern(pc.replace_substring_regex(marked, _POINT, "\\1\x00\\2"), "\x00")
         coded = split.flatten().dictionary_encode()
-        found = self.pieces.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        numbers = self.pieces.numbers(coded.dictionary)
         width = np.dtype(self.kind).itemsize
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
-        taken = sizes[codes]
-        ends = np.cumsum(taken)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = np.frombuffer(b"".join(found), self.kind)
-        ids = flat[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(total)] if total else flat[:0]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()] * width
-        raw = ids.tobytes()
-        made = (raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        # The ids of all pieces as one binary column, from which those of the texts are taken in order.
+        offsets = pa.py_buffer(self.pieces.starts * width)
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.pieces), [None, offsets, pa.py_buffer(self.pieces.flat)])
+        found = known.take(pa.array(numbers)).take(coded.indices)
+        buffers = found.buffers()
+        ends, raw = np.frombuffer(buffers[1], np.int64)[: len(found) + 1], memoryview(buffers[2] or b"")
+        bounds = ends[split.offsets.to_numpy()]
+        made = (bytes(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return [self.pieces.ids(text) if odd else next(made) for text, odd in zip(some, unsafe.tolist(), strict=True)]
 
 
@@ -158,7 +200,11 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         part, block, at, total, docs_, counts, ids, width = 0, 0, 0, 0, [], [], [], len(end)
 
         def closed() -> pa.RecordBatch:
-            row = {"part": [part], "block": [block], "at": [at], "doc_ids": [docs_], "counts": [counts], "width": [width], "ids": [b"".join(ids)]}
+            raw = b"".join(ids)
+            times = np.bincount(np.frombuffer(raw, kind))
+            used = np.flatnonzero(times)
+            row = {"part": [part], "block": [block], "at": [at], "doc_ids": [docs_], "counts": [counts], "width": [width], "ids": [raw],
+                   "used": [used.astype("<u4").tobytes()], "times": [times[used].astype("<u4").tobytes()]}
             return pa.RecordBatch.from_pydict(row, schema=_RAW)
 
         for batch in batches:
@@ -176,32 +222,34 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         if docs_:
             yield closed()
 
+    # Equal ids, or none, may be many: the ranges go on by how the texts begin, which keeps their order.
     ordered = (pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-               .repartitionByRange("id").sortWithinPartitions("id", "text"))
+               .repartitionByRange("id", F.substring("text", 1, BEGIN)).sortWithinPartitions("id", "text"))
     return ordered.select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(run, RAW)
 
 
 _RAW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                  ("counts", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary())])
+                  ("counts", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("used", pa.binary()), ("times", pa.binary())])
 _FILE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first_id", pa.int64()),
                    ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("frame", pa.binary())])
 
 
 def id_counts(blocks: DataFrame) -> DataFrame:
-    """How often each id occurs in all blocks: (token, n). Each task sums what it has read."""
+    """How often each id occurs in all blocks: (token, n). Blocks bring their own counts, so their ids are
+    not read; each task sums what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-                if len(found) > len(total):
-                    total, found = found.astype(np.int64), total
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": used.astype(np.int64), "n": total[used]})
+            for used, times in zip(batch.column("used"), batch.column("times"), strict=True):
+                used, times = np.frombuffer(used.as_buffer(), "<u4"), np.frombuffer(times.as_buffer(), "<u4")
+                if len(used) and used[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(used[-1]) + 1 - len(total), np.int64)])
+                total[used] += times
+        tokens = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"token": tokens.astype(np.int64), "n": total[tokens]})
 
-    return blocks.select("width", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return blocks.select("used", "times").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -212,7 +260,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
     partition of the sort.
     """
     spark = docs.sparkSession
-    blocks = saved(raw_blocks(docs, tokenizer_path, end_id, id_col, text_col, block_ids), "token-blocks", "zstd")
+    blocks = saved(raw_blocks(docs, tokenizer_path, end_id, id_col, text_col, block_ids), "token-blocks", "lz4")
     rows = id_counts(blocks).collect()
     counts = np.zeros(max([end_id, *(r.token for r in rows)]) + 1, dtype=np.int64)
     for r in rows:
