@@ -1,14 +1,16 @@
 """WARC archives: written by Spark's text writer, read back in byte ranges with verified boundaries.
 
-Writing. A record is one string, header and payload; the text writer ends each with the blank line
-that ends a record, so its part files are WARC files. Of records with equal payloads that with the
-smallest id is a response, others are revisits of it that hold no payload.
-
-Reading. Tasks cut their byte range at every version line and follow it with the length of what comes
-before the next one, so each cut is a candidate record; from its header it knows its successor, the
-offset behind its payload. A cut inside a payload is a candidate too. Chains are verified by pointer
-jumping: only what is reached from the start of the file is a record, and each round doubles the
-distance that is covered. Payloads that hold version lines are joined again from their pieces.
+Writing. A record is one string, header and payload; of records with equal payloads that with the
+smallest id is a response, others are revisits of it that hold no payload. Plain archives: the text writer
+ends each record with its blank line, so part files are WARC files. Packed ones (`members`): each record
+is a gzip member of its own, whose extra field `sl` tells its packed and unpacked length, and the text writer
+ends each with an empty member, so part files are valid gzip files that can be read from the middle.
+
+Reading. Tasks cut their byte range at every mark (a version line, an empty member), so each cut is a
+candidate record; from its header it knows its successor, the offset behind its payload or member. A cut
+inside a payload is a candidate too. Chains are verified by pointer jumping: only what is reached from
+the start of the file is a record, and each round doubles the distance that is covered. A chain that
+does not end where its file does is an error. Records that hold marks are joined again from their pieces.
 
 Nulls: a null html is the empty payload, a null url an empty target; a null id is written as an empty
 field and read as null, and never is the smallest unless all are null (such records are all responses).
@@ -20,7 +22,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -78,25 +83,59 @@ def _record(revisit: Column) -> Column:
     return F.when(revisit, head).otherwise(F.concat(head, F.col("payload").cast("string")))
 
 
+@dataclass(frozen=True)
+class Frame:
+    """How records lie in a file: `mark` separates the cuts, the first record begins at `first`."""
+
+    mark: bytes
+    first: int
+
+
+#: An empty gzip member.
+EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+FRAMES = {"none": Frame(VERSION.encode(), len(VERSION)), "members": Frame(EMPTY, 0)}
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member with its packed and unpacked length in the extra field `sl`."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, 24 + len(body) + 8, len(record))
+    return head + body + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+def member_length(raw: bytes) -> int | None:
+    """Packed length of the member that `raw` begins with."""
+    if len(raw) < 24 or raw[:4] != b"\x1f\x8b\x08\x04" or raw[10:16] != b"\x0c\0sl\x08\0":
+        return None
+    return struct.unpack_from("<I", raw, 16)[0]
+
+
 def write_warc(pages: DataFrame, path: str, compression: str = "none", per_file: int = 20_000, **columns: str) -> None:
-    """Write archives of at most `per_file` records. `compression` gzip packs a file as a whole, which
-    Spark and other readers unpack, but then one task reads it."""
-    (records(pages, **columns).write.option("lineSep", END).option("compression", compression)
-     .option("maxRecordsPerFile", per_file).text(path))
+    """Write archives of at most `per_file` records, plain, as `members`, or packed as whole files (`gzip`),
+    which Spark and other readers unpack, but one task a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [member(x.as_buffer().to_pybytes() + END.encode()) for x in batch.column("value")]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+
+    rows, end, packed = records(pages, **columns), END, compression
+    if compression == "members":
+        rows = rows.select(F.col("value").cast("binary")).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+        end, packed = EMPTY.decode("latin-1"), "none"
+    rows.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", packed).option("maxRecordsPerFile", per_file).text(path)
 
 
 CUT = ("file string, block long, rel long, size long, next_rel long, type string, page_id long, refers_to long, "
-       "payload_bytes long, payload_digest string, whole boolean, head long")
-_CUT = pa.schema([("file", pa.string()), *[(n, pa.int64()) for n in ("block", "rel", "size", "next_rel")], ("type", pa.string()),
-                  *[(n, pa.int64()) for n in ("page_id", "refers_to", "payload_bytes")], ("payload_digest", pa.string()), ("whole", pa.bool_()), ("head", pa.int64())])
-MARK = len(VERSION)
-#: Headers are no longer than this.
-MOST = 1 << 16
+       "payload_bytes long, payload_digest string, whole boolean")
+_FOUND = [("type", pa.string()), *[(n, pa.int64()) for n in ("page_id", "refers_to", "payload_bytes")], ("payload_digest", pa.string())]
+_CUT = pa.schema([("file", pa.string()), *[(n, pa.int64()) for n in ("block", "rel", "size", "next_rel")], *_FOUND, ("whole", pa.bool_())])
 
 
-def ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, value): what follows each version line, in file order within a block."""
-    lines = spark.read.option("lineSep", VERSION).text(path)
+def ranges(spark: SparkSession, path: str, frame: Frame) -> DataFrame:
+    """(file, block, value): what lies between marks, in file order within a block."""
+    lines = spark.read.option("lineSep", frame.mark.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
@@ -105,8 +144,8 @@ def digest_of(payload: bytes) -> str:
 
 
 def _fields(raw: bytes) -> tuple[dict[str, str], int] | None:
-    """Fields of the header that `raw` begins with, and its length."""
-    end = raw.find(b"\r\n\r\n", 0, MOST)
+    """Fields of the header that `raw` begins with, and its length, however long it is."""
+    end = raw.find(b"\r\n\r\n")
     if end < 0:
         return None
     lines = [line.partition(b":") for line in raw[:end].split(b"\r\n")]
@@ -119,25 +158,52 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and text.removeprefix("-").isascii() and text.removeprefix("-").isdigit() else None
 
 
-def _cut(file: str, block: int, rel: int, raw: bytes) -> dict:
-    """A candidate; without a readable header it has no successor."""
-    row = dict.fromkeys(_CUT.names) | {"file": file, "block": block, "rel": rel, "size": len(raw)}
+def _record_of(raw: bytes) -> dict | None:
+    """What a record tells, and the length `next` that its header claims, without its version line; None without a
+    readable header. The digest of a payload that is not all there stays open."""
     found = _fields(raw)
     size = _number(found[0].get("content-length")) if found else None
     if size is None or size < 0:
-        return row
+        return None
     fields, head = found
-    kind, whole = fields.get("warc-type"), head + size + len(END) <= len(raw)
-    row |= {"next_rel": rel + head + size + len(END) + MARK, "type": kind, "page_id": _number(fields.get("x-page-id")), "head": head,
-            "refers_to": _number(fields.get("x-refers-to")), "payload_bytes": size, "whole": whole or kind == "revisit"}
+    kind, end = fields.get("warc-type"), head + size + len(END)
+    row = {"next": end, "type": kind, "page_id": _number(fields.get("x-page-id")), "refers_to": _number(fields.get("x-refers-to")),
+           "payload_bytes": size, "payload_digest": None}
     if kind == "revisit":
         row |= {"payload_bytes": _number(fields.get("x-payload-length")), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:")}
-    elif whole:
+    elif end <= len(raw):
         row["payload_digest"] = digest_of(raw[head : head + size])
     return row
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+def _unpacked(raw: bytes) -> dict | None:
+    """What the record in a whole member tells."""
+    try:
+        record = zlib.decompress(raw, 31)
+    except zlib.error:
+        return None
+    return _record_of(record.removeprefix(VERSION.encode()))
+
+
+def _cut(file: str, block: int, rel: int, raw: bytes, frame: Frame) -> dict:
+    """A candidate; without a readable header it has no successor."""
+    row = dict.fromkeys(_CUT.names) | {"file": file, "block": block, "rel": rel, "size": len(raw), "whole": True}
+    if frame.mark == EMPTY:
+        size = member_length(raw)
+        if size is None:
+            return row
+        row |= {"whole": size <= len(raw)}
+        found = (_unpacked(raw) if size == len(raw) else None) or {}
+    else:
+        found = _record_of(raw)
+        if found is None:
+            return row
+        size = found["next"]
+        row |= {"whole": found["payload_digest"] is not None}
+    return row | {n: found.get(n) for n, _ in _FOUND} | {"next_rel": rel + size + len(frame.mark)}
+
+
+def _placed(batches: Iterator[pa.RecordBatch], frame: Frame) -> Iterator[tuple[str, int, int, bytes]]:
     """(file, block, offset from the block's first cut, value) of a task's ranges."""
     at, place = 0, None
     for batch in batches:
@@ -145,25 +211,25 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             if (file, block) != place:
                 place, at = (file, block), 0
             yield file, block, at, raw
-            at += len(raw) + MARK
+            at += len(raw) + len(frame.mark)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, path: str, frame: Frame) -> DataFrame:
     """All cuts with their place, written once: offsets `start` and `next` of candidates and their
-    successors, counted behind the version line."""
+    successors, counted behind the mark before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for place in _placed(batches):
-            out.append(_cut(*place))
+        for place in _placed(batches, frame):
+            out.append(_cut(*place, frame))
             if len(out) == 5000:
                 yield pa.RecordBatch.from_pylist(out, schema=_CUT)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema=_CUT)
 
-    cuts = saved(ranges(spark, path).mapInArrow(run, CUT), "warc-cuts")
+    cuts = saved(ranges(spark, path, frame).mapInArrow(run, CUT), "warc-cuts")
     # One row per block of a file: a block begins where those before it end.
-    blocks = cuts.groupBy("file", "block").agg(F.sum(F.col("size") + MARK).alias("length"))
+    blocks = cuts.groupBy("file", "block").agg(F.sum(F.col("size") + len(frame.mark)).alias("length"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
     return cuts.join(blocks, ["file", "block"]).withColumn("start", F.col("base") + F.col("rel")).withColumn("next", F.col("base") + F.col("next_rel"))
@@ -188,7 +254,7 @@ def _marked(keys: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"file": pa.array([keys[0].as_py()] * len(reached), pa.string()), "start": pa.array(reached, pa.int64())})
 
 
-def reachable(cuts: DataFrame) -> DataFrame:
+def reachable(cuts: DataFrame, frame: Frame) -> DataFrame:
     """(file, start) of the candidates on the chain from the start of each file.
 
     Each task first follows chains within its block, so pointers jump from block to block; every round
@@ -198,7 +264,7 @@ def reachable(cuts: DataFrame) -> DataFrame:
     starts = held.select("file", "start")
     leaves = held.groupBy("file", "block").applyInArrow(_walked, "file string, start long, to long")
     jumps = saved(leaves.join(starts.withColumnRenamed("start", "to"), ["file", "to"]), "warc-jumps")
-    entries = starts.filter(F.col("start") == MARK)
+    entries = starts.filter(F.col("start") == frame.first)
     while not jumps.isEmpty():
         further = jumps.join(entries, ["file", "start"]).select("file", F.col("to").alias("start"))
         entries = saved(entries.unionByName(further).distinct(), "warc-entries")
@@ -207,44 +273,64 @@ def reachable(cuts: DataFrame) -> DataFrame:
     return held.join(entered, ["file", "block"]).groupBy("file", "block").applyInArrow(_marked, "file string, start long")
 
 
-def _joined_pieces(keys: tuple, rows: pa.Table) -> pa.Table:
-    """Digest of a payload that holds version lines, from its pieces."""
-    first, *rest = sorted(rows.select(["start", "head", "payload_bytes", "value"]).to_pylist(), key=lambda r: r["start"])
-    raw = VERSION.encode().join([first["value"], *(r["value"] for r in rest)])
-    payload = raw[first["head"] : first["head"] + first["payload_bytes"]]
-    if len(payload) < first["payload_bytes"]:
-        raise ValueError("a record is cut off")
-    return pa.table({"file": [keys[0].as_py()], "start": pa.array([first["start"]], pa.int64()), "joined_digest": [digest_of(payload)]})
+def _joined_pieces(keys: tuple, rows: pa.Table, frame: Frame) -> pa.Table:
+    """What a record tells that holds marks, from its pieces."""
+    pieces = sorted(rows.select(["start", "size", "value"]).to_pylist(), key=lambda r: r["start"])
+    raw = frame.mark.join([r["value"] for r in pieces])
+    if frame.mark == EMPTY:
+        found = _unpacked(raw[: member_length(raw)])
+    else:
+        found = _record_of(raw)
+    if found is None or found["payload_digest"] is None:
+        raise ValueError("a record is cut off or damaged")
+    return pa.table({"file": pa.array([keys[0].as_py()]), "start": pa.array([pieces[0]["start"]], pa.int64()),
+                     **{n: pa.array([found[n]], t) for n, t in _FOUND}})
+
+
+def _checked(cuts: DataFrame, held: DataFrame, frame: Frame) -> None:
+    """Raise unless the chain of every file ends at its end."""
+    ends = cuts.groupBy("file").agg(F.max(F.col("start") + F.col("size") + len(frame.mark)).alias("end"))
+    last = held.groupBy("file").agg(F.max("next").alias("last"))
+    odd = ends.join(last, "file", "left").filter((F.col("end") > len(frame.mark)) & ~F.col("last").eqNullSafe(F.col("end"))).first()
+    if odd:
+        raise ValueError(f"the records of {odd['file']} end at {odd['last']}, not at {odd['end']}")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, members: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record."""
-    cuts = candidates(spark, path)
-    held = saved(reachable(cuts).join(cuts, ["file", "start"]), "warc-records")
-    parted = held.filter("not whole")
+    frame = FRAMES["members" if members else "none"]
+    cuts = candidates(spark, path, frame)
+    held = saved(reachable(cuts, frame).join(cuts, ["file", "start"]), "warc-records")
+    _checked(cuts, held, frame)
     fields = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"]
+    parted, whole = held.filter("not whole"), held.filter("whole")
+    damaged = whole.filter("type is null").first()
+    if damaged:
+        raise ValueError(f"a record at {damaged['start']} of {damaged['file']} is damaged")
     if parted.isEmpty():
-        return held.select(*fields)
+        return whole.select(*fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, rel, raw in _placed(batches):
+        for file, block, rel, raw in _placed(batches, frame):
             yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "rel": [rel], "value": [raw]})
 
     # Pieces belong to the last record that begins at or before them.
-    owners = cuts.select("file", "block", "rel", "start").join(held.select("file", "start", F.col("start").alias("owner")), ["file", "start"], "left")
+    owners = cuts.select("file", "block", "rel", "start", "size").join(held.select("file", "start", F.col("start").alias("owner")), ["file", "start"], "left")
     so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owners = owners.withColumn("owner", F.last("owner", ignorenulls=True).over(so_far))
-    needs = parted.select("file", F.col("start").alias("owner"), "head", "payload_bytes")
-    pieces = ranges(spark, path).mapInArrow(run, "file string, block long, rel long, value binary").join(owners.join(needs, ["file", "owner"]), ["file", "block", "rel"])
-    digests = pieces.groupBy("file", "owner").applyInArrow(_joined_pieces, "file string, start long, joined_digest string")
-    return (held.join(digests, ["file", "start"], "left").withColumn("payload_digest", F.coalesce("joined_digest", "payload_digest")).select(*fields))
+    needs = parted.select("file", F.col("start").alias("owner"))
+    pieces = (ranges(spark, path, frame).mapInArrow(run, "file string, block long, rel long, value binary")
+              .join(owners.join(needs, ["file", "owner"]), ["file", "block", "rel"]))
+    joined = pieces.groupBy("file", "owner").applyInArrow(lambda keys, rows: _joined_pieces(keys, rows, frame),
+                                                          "file string, start long, type string, page_id long, refers_to long, payload_bytes long, payload_digest string")
+    return whole.select(*fields).unionByName(joined.select(*fields))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through archives and back."""
+    """All pages through archives of packed records and back."""
     path = fresh_folder(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
-    return read_warc(spark, path)
+    write_warc(table(spark, sf_dir, "pages"), path, compression="members")
+    return read_warc(spark, path, members=True)
 
 
 SQL = """
