@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomlog.session import saved
+
 #: The white space of the contracts: space and the characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -56,23 +58,37 @@ def filtered(df: DataFrame, good: Callable[[pa.RecordBatch], np.ndarray]) -> Dat
     return df.mapInArrow(run, df.schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_per_row_key(df: DataFrame, kept: DataFrame, key: str, *order: str) -> DataFrame:
-    """Of the rows of `df` whose `key` is in `kept`, the first of each key. Each map task holds back all
-    but one row of a key, so equal rows do not meet in one task."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_first", first).filter("_first = 1").join(kept, key, "left_semi").drop("_first", key)
+    """Of the rows of `df` whose `key` is in `kept`, the first of each key, without the key. Each map task
+    holds back all but one row of a key, so equal rows do not meet in one task."""
+    first = free_name(df, "first")
+    numbered = df.withColumn(first, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered.filter(F.col(first) == 1).join(kept, key, "left_semi").drop(first, key)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled ids, those of the smallest hash, that `learn`
-    allows. The ids are broadcast: their number is bounded by `most`. Rows without an id or a label
-    are no examples; of several labels of an id the largest counts."""
+    """(doc_id, text, label) of at most `most` labelled rows, those of the smallest hashes of ids that `learn`
+    allows, written once. Rows that repeat an id with the same text count once, those with other texts each.
+    Only ids and hashes are broadcast: their number is bounded by `most`. Rows without an id or a label are
+    no examples; of several labels of an id the largest counts."""
     known = (pick(labels, id_col, label).toDF("doc_id", "label").filter(learn & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", text_of("text"))
-    return rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    found = (rows.join(F.broadcast(known), "doc_id").withColumn("same", F.xxhash64("text"))
+             .groupBy("doc_id", "label", "same").agg(F.min("text").alias("text")))
+    found = saved(found, "labelled")
+    kept = found.select("doc_id", "same").orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(most)
+    return found.join(F.broadcast(kept), ["doc_id", "same"], "left_semi").select("doc_id", "text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:

@@ -9,7 +9,8 @@ when tiles cover at least `threshold` of the item's words, in whatever order the
 The items are a stated query set: they are cut into blocks of bounded size, and each block is sent to all
 tasks and compared with all documents. Documents are read whole: seeds are hashed `WINDOW` words at a
 time, and the matches of all steps are tiled together, so the verdict does not depend on where in the
-document the passages stand.
+document the passages stand. Where texts repeat themselves every place of the one may meet every place of the
+other: such pairs are joined to matches in steps of bounded size.
 
 Nulls: a null text has no words and matches nothing; an item with fewer than `least` words, or a null
 text, matches nothing. Null ids are kept as null. Repeated rows give repeated results. Empty tables give
@@ -33,6 +34,8 @@ LEAST, THRESHOLD = 5, 0.5
 BLOCK_CHARS, WINDOW = 4_000_000, 100_000
 #: Entries of a task's memory of words.
 MEMORY = 500_000
+#: Pairs of equal seeds that are held at a time, before those on one diagonal are joined.
+PAIRS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -106,6 +109,15 @@ class Items:
         at[at == len(self.seeds)] = 0
         hit = np.flatnonzero(self.seeds[at] == hashes)
         found = at[hit]
+        total, parts, a = np.cumsum(self.count[found]), [], 0
+        while a < len(hit) or not parts:
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            parts.append(self._pairs(part, hit[a:b], found[a:b], begin))
+            a = b
+        return _joined(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
+
+    def _pairs(self, part: np.ndarray, hit: np.ndarray, found: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
+        """Matches of the places `hit` of a part of a document, whose seeds are `found`."""
         counts = self.count[found]
         to = np.repeat(self.first[found] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         items, places, others = self.item[to], np.repeat(hit, counts), self.place[to]

@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomlog.llm.common import SPACE, one_per_row_key, pick, table, text_of
+from loomlog.llm.common import SPACE, free_name, one_per_row_key, pick, table, text_of
 from loomlog.session import saved
 
 SALTS = 8
@@ -95,10 +95,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` with one row, the one that stays, of each class of equal texts. Rows are told apart by
     id, length and digest; of rows equal in these the first text stays."""
     marked = _marked(docs, id_col, text_col, SALTS, sha256).filter("kept")
-    kept = marked.select(_row_key(F.col("doc_id"), F.col("length"), F.hex("digest")).alias("_row"))
+    key = free_name(docs, "row")
+    kept = marked.select(_row_key(F.col("doc_id"), F.col("length"), F.hex("digest")).alias(key))
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.withColumn("_row", _row_key(docs[id_col], F.length(text), sha256(normalised(text))))
-    return one_per_row_key(keyed, kept, "_row", text_col)
+    keyed = docs.withColumn(key, _row_key(docs[id_col], F.length(text), sha256(normalised(text))))
+    return one_per_row_key(keyed, kept, key, text_col)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loomlog.llm.common import one_per_row_key, pick, table, texts
+from loomlog.llm.common import free_name, one_per_row_key, pick, table, texts
 from loomlog.llm.components import components
 from loomlog.session import saved
 
@@ -154,14 +154,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text) for text in texts(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, fp])
 
+    fp, key = free_name(docs, "fp"), free_name(docs, "row")
     _, rooted = _rooted(docs, id_col, text_col, WORDS, SEED, DISTANCE, HOT)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "fp")).alias("_w"))
-    kept = first.select(_row_key(F.col("_w.least"), F.col("_w.fp")).alias("_row"))
-    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    keyed = printed.withColumn("_row", _row_key(F.col(id_col), F.col("_fp"))).drop("_fp")
-    return one_per_row_key(keyed, kept, "_row", text_col)
+    kept = first.select(_row_key(F.col("_w.least"), F.col("_w.fp")).alias(key))
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    keyed = printed.withColumn(key, _row_key(F.col(id_col), F.col(fp))).drop(fp)
+    return one_per_row_key(keyed, kept, key, text_col)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,26 @@ def test_running_hash():
     found = dc.running_hashes(ids, 5)
     expected = [sum(int(x) * pow(int(dc._BASE), 4 - k, 1 << 64) for k, x in enumerate(ids[i : i + 5])) % (1 << 64) for i in range(46)]
     assert found.tolist() == expected and len(dc.running_hashes(ids[:4], 5)) == 0
+
+
+def test_repetitive_texts_in_bounded_memory():
+    """100,000 equal words against an item of 1,000: all pairs would be 100 million."""
+    import tracemalloc
+
+    items = dc.Items([(1, "a " * 1000), (2, "b c " * 20)], dc.LEAST)
+    tracemalloc.start()
+    found = items.of("a " * 100_000 + "b c b c b c b c b c b c b c b c b c b c b c b c")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == (1000, 1) and found[1][0] >= 20 and most < 400e6
+
+
+def test_pair_steps_do_not_change_matches(monkeypatch):
+    rnd = random.Random(6)
+    item = " ".join(rnd.choice("ab") for _ in range(60))
+    doc = " ".join(rnd.choice("ab") for _ in range(400))
+    known = dc.Items([(1, item), (2, item[20:])], dc.LEAST)
+    whole = known.of(doc)
+    for pairs in (1, 50, 999):
+        monkeypatch.setattr(dc, "PAIRS", pairs)
+        assert known.of(doc) == whole

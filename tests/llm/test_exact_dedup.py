@@ -50,3 +50,14 @@ def test_drop_decides_by_row(spark):
 
 def test_no_documents(spark):
     assert ed.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    """Whatever a table's other columns are called, they stay."""
+    names = ["row", "_row", "first", "_first", "ROW_", "digest", "length", "content", "count"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, *range(9)) for i, t in [(1, "a"), (2, "a "), (3, "b"), (None, None)]], schema)
+    left = ed.drop_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in left.collect()), key=str) == sorted([(2, "a "), (3, "b"), (None, None)], key=str)
+    assert ed.drop_duplicates(docs.limit(0)).count() == 0

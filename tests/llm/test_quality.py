@@ -1,9 +1,11 @@
 """The additive model on data with known shape; features and scores of odd texts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomlog.llm import quality as ql
+from loomlog.llm.common import labelled_sample
 
 
 def test_tables_learn_shape_and_interaction():
@@ -49,3 +51,16 @@ def test_documents(spark):
     assert ql.quality(docs.limit(0), model).count() == 0
     empty = ql.fit(docs, labels.limit(0), F.lit(True))
     assert min(r.score for r in ql.quality(docs, empty).collect()) > 0.99
+
+
+@pytest.mark.parametrize("text_of_row", ["same", "other"])
+def test_sample_is_bounded_by_rows(spark, text_of_row):
+    """One labelled id on thousands of rows does not fill the driver."""
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") if text_of_row == "other" else F.lit("x")).alias("text"),
+                                    F.lit(1).alias("same"), F.lit(2).alias("label"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "a", 0, 0), (2, None, 0, 0), (None, "b", 0, 0)], "doc_id long, text string, same int, label int"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (1, 0), (2, None), (None, 1), (3, 1)], "doc_id long, quality int")
+    found = labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert len(found) == (10 if text_of_row == "other" else 2) and {r.doc_id for r in found} <= {1, 7}
+    assert all(r.label == (r.doc_id == 7) for r in found)
+    assert labelled_sample(docs.limit(0), labels, "quality", F.lit(True), 10).count() == 0

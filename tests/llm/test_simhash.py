@@ -70,3 +70,13 @@ def test_keep_one_decides_by_row(spark):
     left = sh.keep_one(docs.repartition(3))
     assert left.columns == docs.columns
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, one), (None, two), (3, three), (3, two + " " + three)], key=str)
+
+
+def test_clashing_names(spark):
+    names = ["row", "_row", "first", "_first", "FP", "_fp", "root", "least", "node"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, *range(9)) for i, t in [(1, "a b c"), (2, "A b  c"), (3, "x y z"), (None, None), (None, "")]], schema)
+    left = sh.keep_one(docs)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {1, 3, None} and left.count() == 3
+    assert sh.keep_one(docs.limit(0)).count() == 0
