@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import front_matter as fm
 from loomlog.functions.titles import token_estimate
+from loomlog.plans.ordered import range_chunks, running_sum
 
 INLINE_CAP = 25
 LINK_MARK = "—"
@@ -165,21 +166,21 @@ def review_context(catalog: DataFrame, today: str, brains: DataFrame | None = No
     path order. `brains` names libraries that may have no articles: their head says so.
     """
     none = F.lit("").alias("category")
-    heads = article_counts(catalog)
+    full = F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), F.regexp_replace("content", r"(?U)\s+\z", ""))
+    # Only the sizes are put in order, by ranges of all items, so a category may have any share of them.
+    sizes = range_chunks(catalog.select("brain", "category", F.col("path").alias("item"), token_estimate(full).alias("tokens")), ["brain", "category", "item"])
+    placed = running_sum(sizes, ["brain", "category"], ["item"], F.col("tokens"), "_so_far", F.col("_range"))
+    chunks = placed.select("brain", "item", F.lit(2).alias("section"), F.floor((F.col("_so_far") - F.col("tokens")) / budget).alias("chunk"))
+    heads = article_counts(sizes)
     if brains is not None:
         heads = brains.select("brain").distinct().join(heads, "brain", "left")
     empty = F.when(F.col("n_articles").isNull(), "\n\n(the library is empty)").otherwise("")
     head = heads.select("brain", F.lit(0).alias("section"), none, F.lit("").alias("item"),
                         F.concat(F.lit(f"# Library state {LINK_MARK} {today}"), empty).alias("text"))
-    full = F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), F.regexp_replace("content", r"(?U)\s+\z", ""))
     pair = F.array(F.struct(F.lit(1).alias("section"), F.lit("").alias("category"), F.col("path").alias("item"), _toc_line().alias("text")),
                    F.struct(F.lit(2).alias("section"), F.col("category"), F.col("path").alias("item"), full.alias("text")))
     rows = (head.unionByName(field_defaults(catalog).select("brain", F.inline(pair)))
             .withColumn("tokens", token_estimate(F.col("text"))))
-    # Only the sizes are put in order; a category is a folder of one library.
-    sizes = rows.filter("section = 2").select("brain", "category", "item", "tokens")
-    so_far = Window.partitionBy("brain", "category").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks = sizes.withColumn("chunk", F.floor((F.sum("tokens").over(so_far) - F.col("tokens")) / budget)).select("brain", "item", F.lit(2).alias("section"), "chunk")
     return (rows.join(chunks, ["brain", "item", "section"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
             .select("brain", "section", "category", "chunk", "item", "text", "tokens"))
 

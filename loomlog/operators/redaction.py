@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.arrays import explode_rows
+from loomlog.functions.arrays import explode_rows, keep_computed
 from loomlog.functions.redaction import DEFAULT_RULES, Rule, apply_rule, may_match, redact
 
 # Findings that are no secrets.
@@ -21,23 +21,29 @@ def redact_table(df: DataFrame, cols: Sequence[str], rules: tuple[Rule, ...] = D
 
 
 def redaction_hits(df: DataFrame, col: str, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """Adds one count column per rule (hits_1..n), each on the text left by earlier rules.
-    Texts without any rule's literal are dropped: they cannot count."""
-    out = df.filter(may_match(F.col(col), rules)).withColumn("_text", F.col(col))
-    text = F.col("_text")
-    for n, rule in enumerate(rules, 1):
-        out = out.withColumns({f"hits_{n}": F.regexp_count(text, F.lit(rule.java)), "_text": apply_rule(text, rule)})
-    return out.drop("_text")
+    """Adds `hits`, the matches of each rule in order, each on the text left by earlier rules. Texts without
+    any rule's literal are dropped: they cannot count.
+
+    The rules are steps over one (text, hits) value, so the plan grows by one step a rule and no generated
+    method holds them all.
+    """
+    def step(rule: Rule):
+        return lambda s: F.struct(apply_rule(s["text"], rule).alias("text"),
+                                  F.concat(s["hits"], F.array(F.regexp_count(s["text"], F.lit(rule.java)))).alias("hits"))
+
+    state = F.array(F.struct(F.col(col).alias("text"), F.array().cast("array<int>").alias("hits")))
+    for rule in rules:
+        state = F.transform(state, step(rule))
+    kept = keep_computed(df, may_match(F.col(col), rules), [c for c in df.columns if c != col], [col])
+    return kept.withColumn("hits", F.get(state, F.lit(0))["hits"])
 
 
 def redaction_audit(df: DataFrame, col: str, by: Sequence[str], rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Hits per rule and group (by.., ord, label, hits), zero rows left out."""
-    sums = redaction_hits(df, col, rules).groupBy(*by).agg(
-        *[F.sum(f"hits_{n}").alias(f"hits_{n}") for n in range(1, len(rules) + 1)])
-    rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(r.label).alias("label"), F.col(f"hits_{n}").alias("hits"))
-                     for n, r in enumerate(rules, 1)])
-    return (explode_rows(sums, list(by), F.filter(rows, lambda x: x["hits"] > 0), "_r")
-            .select(*by, "_r.ord", "_r.label", "_r.hits"))
+    rows = explode_rows(redaction_hits(df, col, rules), list(by), "hits", "_n", pos="_at").filter("_n > 0")
+    labels = F.array(*[F.lit(r.label) for r in rules])
+    return (rows.groupBy(*by, "_at").agg(F.sum("_n").alias("hits"))
+            .select(*by, (F.col("_at") + 1).alias("ord"), F.get(labels, F.col("_at")).alias("label"), "hits"))
 
 
 def findings(df: DataFrame, col: str, keys: Sequence[str], rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.session import saved
+
 CHUNK_WIDTH = 100_000
 
 
@@ -37,6 +39,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             .drop("_chunk", "_value", "_before"))
 
 
+def range_chunks(df: DataFrame, order: Sequence[str], out: str = "_range") -> DataFrame:
+    """Rows dealt out by ranges of their order, of about equal numbers of rows, the range's number in
+    `out`: a chunk column for orders that are no numbers. Written once, so that every use sees the same ranges."""
+    return saved(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id().cast("bigint")), "ranges")
+
+
 def join_group_value(rows: DataFrame, values: DataFrame, keys: Sequence[str], chunk: Column,
                      how: str = "inner") -> DataFrame:
     """Join one row per group onto the rows of groups of any size. `values` is first copied to

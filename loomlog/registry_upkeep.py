@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.fixtures import spark_sql
+from loomlog.operators import copies
 from loomlog.plans import upkeep
 from loomlog.registry import CONFIG, CTES, _fx, _per_log, _routed, _stream_events, _text, duck_redact, register
 from loomlog.session import fresh_folder
@@ -180,3 +181,22 @@ def _dead_letters(spark, d):
     good = spark.read.parquet(f"{home}/prompts").groupBy(F.lit("prompt").alias("kind"), F.col("prompt").alias("text")).agg(F.count(F.lit(1)).alias("n"))
     counts = spark.read.parquet(f"{home}/batches").select(F.lit("lines").alias("kind"), F.lit("").alias("text"), F.col("n_lines").alias("n"))
     return bad.unionByName(good).unionByName(counts)
+
+
+# ---- daily copies ----
+
+@register("snapshots_once", """
+SELECT session_id, store, CAST(log_date AS VARCHAR) AS log_date, line_no, line, row_number() OVER (PARTITION BY session_id, store, log_date ORDER BY line_no) AS position FROM (
+  SELECT t.session_id, r.store, DATE '2026-04-01' + CAST(d AS INT) AS log_date, line_no, raw AS line
+  FROM {transcript_lines} t JOIN {routed} r USING (session_id), (SELECT unnest([0, 1, 2, 3]) AS d) q WHERE line_no < 2 * d + 2 AND r.scope <> 'nolog') z""")
+def _snapshots_once(spark, d):
+    """Copies of four days, each two lines longer, written day by day and once more; all read back."""
+    home = fresh_folder(spark, "copies")
+    routed = _routed(spark, d).filter("scope <> 'nolog'").select("session_id", "store")
+    lines = _fx(spark, d, "transcript_lines").select("session_id", "line_no", F.col("raw").alias("line")).join(routed, "session_id")
+    for n in (0, 1, 2, 3, 3):
+        day = F.date_add(F.lit("2026-04-01").cast("date"), n)
+        copies.write_copies(lines.filter(F.col("line_no") < 2 * n + 2).withColumn("log_date", day), home, f"day-{n}", chunk_width=3)
+    back = copies.read_copies(spark, home)
+    # Line numbers of these transcripts are dense from 0.
+    return _text(back.select("session_id", "store", "log_date", (F.col("position") - 1).alias("line_no"), "line", "position"), "log_date")

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomlog.fixtures import fixture
+from loomlog.operators import redaction as rd
 from loomlog.operators import routing as ro
-from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, running_sum
+from loomlog.operators.changelog import changelog
+from loomlog.operators.library import parse_articles, review_context
+from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, range_chunks, running_sum
 from loomlog.registry import SCOPE_RULES
 
 
@@ -76,3 +79,45 @@ def test_predicate_reaches_the_partitions(spark, tmp_path):
     out = pending_sessions(logs, {"b": Cursor(date(2026, 4, 3))}, date(2026, 4, 6))
     assert "PartitionFilters: [" in plan(out) and "PartitionFilters: []" not in plan(out)
     assert sorted(r["session_id"] for r in out.collect()) == ["s4", "s5"]
+
+
+def test_running_sum_in_text_order(spark):
+    """A third of all rows in one group, in the order of a text: the group is cut into ranges."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+                                    F.md5(F.col("id").cast("string")).alias("item"), (F.xxhash64("id") % 9).alias("v"))
+    want = rows.withColumn("want", F.sum("v").over(Window.partitionBy("k").orderBy("item")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = range_chunks(want, ["k", "item"])
+        got = running_sum(ranged, ["k"], ["item"], F.col("v"), "got", F.col("_range"))
+        assert got.count() == 3000 and got.filter("got <> want").count() == 0
+        assert ranged.filter("k = 'hot'").select("_range").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_review_has_no_window_over_a_category(spark):
+    articles = spark.createDataFrame([("work", f"library/patterns/a{i}.md", f"---\ntitle: T{i}\n---\nx") for i in range(50)], "brain string, path string, content string")
+    p = plan(review_context(parse_articles(articles), "2026-06-20"))
+    by_item = [line for line in p.splitlines() if "- Window [" in line and "item#" in line]
+    assert by_item and all("_chunk#" in line for line in by_item)
+
+
+def test_changelog_scans(spark):
+    entries = spark.createDataFrame([("w", "compile", 1, 0, "create", "library/a.md", None)], "brain string, kind string, run_id long, seq int, action string, path string, note string")
+    runs = spark.sql("SELECT 'w' AS brain, 'compile' AS kind, 1L AS run_id, DATE '2026-04-01' AS section_date, '10:00' AS hm, 's' AS summary")
+    assert plan(changelog(entries, runs)).count("FileScan parquet") <= 4
+
+
+def test_audit_generates_small_methods(spark, sf_dir):
+    """The chain of rules is one value passed from step to step; no generated code holds all replacements."""
+    p = rd.redaction_audit(spark.createDataFrame([("a", "b")], "text string, g string"), "text", ["g"])
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        assert p.count() == 0
+        turns = fixture(spark, sf_dir, "turns")
+        assert rd.redaction_audit(turns, "text", ["role"]).count() > 20
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
