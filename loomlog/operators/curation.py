@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import front_matter as fm
 from loomlog.functions.arrays import explode_rows, keep_computed
 from loomlog.functions.titles import normalize_cwd
+from loomlog.plans.key_filter import KeyFilter
 from loomlog.session import saved
 
 # Accepted front matter.
@@ -139,6 +140,19 @@ def _title_keys(titles: DataFrame) -> DataFrame:
             .withColumn("_key", F.coalesce("_key", "_short")).drop("_short"))
 
 
+def _runs_like(titles: DataFrame, words: DataFrame) -> DataFrame:
+    """(brain, path, _key) of the word runs of each body that may be a title's key. Only lengths that
+    keys have are hashed, and what cannot be a key is dropped within the row: the rows that are shuffled
+    grow with what is found, not with the bodies."""
+    told = titles.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.least(F.size(F.split("title", " ")), F.lit(3))).alias("lengths")).first()
+    keys = KeyFilter(titles, "_key", told["n"])
+    runs = [r for n, r in enumerate(_run_hashes(F.col("_w")), 1) if n in told["lengths"]]
+    if not runs:
+        runs = [F.array().cast("array<bigint>")]
+    hits = F.array_distinct(F.filter(F.concat(*runs), keys.may_hold))
+    return explode_rows(words, ["brain", "path"], hits, "_key")
+
+
 def missing_backlinks(catalog: DataFrame) -> DataFrame:
     """Articles that hold another article's title as a run of words but do not link to it.
 
@@ -152,12 +166,10 @@ def missing_backlinks(catalog: DataFrame) -> DataFrame:
         "brain", "path", "stem", F.array_join(_tokens(F.col("title")), " ").alias("title"),
         F.concat(fm.wiki_links(fm.article_body(F.col("content"))), "related").alias("targets")), "titles-links")
     named = narrow.filter("title <> ''").select("brain", "path", "stem", "title")
-    titles = _title_keys(named.groupBy("brain", "title").agg(F.count(F.lit(1)).alias("n_articles"),
-                                                             F.min("path").alias("target_path")))
+    titles = saved(_title_keys(named.groupBy("brain", "title").agg(F.count(F.lit(1)).alias("n_articles"),
+                                                                   F.min("path").alias("target_path"))), "title-keys")
     words = catalog.select("brain", "path", _tokens(fm.article_body(F.col("content"))).alias("_w"))
-    runs = F.array_distinct(F.concat(*_run_hashes(F.col("_w"))))
-    found = (explode_rows(words, ["brain", "path"], runs, "_key")
-             .join(titles, ["brain", "_key"]).drop("_key"))
+    found = _runs_like(titles, words).join(titles, ["brain", "_key"]).drop("_key")
     # A link means one article, so it names one title.
     named_by_stem = (named.groupBy("brain", F.col("stem").alias("target"))
                      .agg(F.min(F.struct("path", "title")).alias("_m")).select("brain", "target", "_m.title"))

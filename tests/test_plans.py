@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomlog.fixtures import fixture
+from loomlog.operators import curation as cu
 from loomlog.operators import redaction as rd
 from loomlog.operators import routing as ro
 from loomlog.operators.changelog import changelog
 from loomlog.operators.library import parse_articles, review_context
+from loomlog.plans.key_filter import KeyFilter
 from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, range_chunks, running_sum
 from loomlog.registry import SCOPE_RULES
 
@@ -121,3 +123,25 @@ def test_audit_generates_small_methods(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
         spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+
+def test_backlink_rows_grow_with_hits(spark):
+    """Of 60,000 word runs of bodies only those that may be a title leave the rows that hold them."""
+    titles = spark.createDataFrame([("w", f"title{i} of words number{i}", 1, "p") for i in range(40)], "brain string, title string, n_articles long, target_path string")
+    keyed = cu._title_keys(titles)
+    bodies = spark.range(20).select(F.lit("w").alias("brain"), F.concat(F.lit("a"), "id").alias("path"), F.concat(
+        F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit("x"), F.col("id") * 1000 + i)),
+        F.array(F.concat(F.lit("title"), "id"), F.lit("of"), F.lit("words"), F.concat(F.lit("number"), "id"))).alias("_w"))
+    found = cu._runs_like(keyed, bodies)
+    assert found.join(keyed, ["brain", "_key"]).count() == 20
+    assert found.count() < 20 + 0.1 * 20_000  # 32 bits a key let about 3 in 100 pass
+
+
+def test_key_filter_holds_every_key(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    for most in (22, 10):
+        known = KeyFilter(keys, "k", 5000, most)
+        rows = spark.range(20_000).select(F.col("id"), known.may_hold(F.xxhash64("id")).alias("held"))
+        assert rows.filter("id < 5000 and not held").count() == 0
+        passed = rows.filter("id >= 5000 and held").count()
+        assert passed < 1500 if most == 22 else passed > 0
