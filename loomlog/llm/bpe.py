@@ -11,8 +11,9 @@ Decoding. Ids go in, text comes out as soon as it is certain. With a byte-level
 a character may be spread over ids, and the machine keeps at most three bytes. Without a decoder the
 text is the tokens with one space between them, as the tokenizer's file says.
 
-Nulls: a null text is the empty text (no ids); null ids and repeated rows are kept as they are.
-Columns other than the id and the text are not read.
+Nulls: a null text is the empty text (no ids); null ids and repeated rows are kept as they are. An empty
+table gives no rows. A word of any length is worked through as it comes: what has settled is given out.
+Columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -181,9 +182,7 @@ class WordTokenizer:
             raw, machine = word.encode(), self.transducer
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.last[raw[-1]]
-            # A word that fits the buffer settles at its end only.
-            found = machine.merged(symbols) if len(symbols) < machine.buffer else list(machine.word(symbols))
-            ids = np.array(found, "<u4").tobytes()
+            ids = np.array(list(machine.word(symbols)), "<u4").tobytes()
             if len(word) < 64:
                 if len(self._word) >= MEMORY:
                     self._word.clear()

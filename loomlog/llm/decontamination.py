@@ -224,7 +224,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                       least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without contaminated rows, in one pass per block of items."""
+    """`docs` without contaminated rows, in one pass per block of items, with all their columns. Rows are decided one by one;
+    null and empty texts stay, and so do all rows if there is no item."""
     for block in blocks_of(items, item_id, item_text):
         docs = filtered(docs, _clean(docs.sparkSession.sparkContext.broadcast(block), text_col, least, threshold))
     return docs

@@ -217,7 +217,8 @@ LEAST = 0.3
 
 
 def drop_poor(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """`docs` without the rows whose score is below `least`, in one pass."""
+    """`docs` without the rows whose score is below `least`, in one pass, with all their columns. Rows are decided one by
+    one, so repeated ids and rows, null ids and null texts (scored as empty) need no further rule."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(batch: pa.RecordBatch) -> np.ndarray:
