@@ -11,7 +11,6 @@ from loomlog.plans.ordered import latest_per_key
 from loomlog.session import saved
 
 THRESHOLD = 0.7
-_BUCKET = ["brain", "shingle"]
 
 
 def _words(text: Column) -> Column:
@@ -46,7 +45,7 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
     worded = catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
     # The one pass over the texts; every later step reads columns of this table.
     signed = saved(worded.select("brain", "path", F.md5(F.array_join("words", " ")).alias("word_key"),
-                                 _shingles(F.col("words")).alias("shingles")), "signatures")
+                                 _shingles(F.col("words")).alias("shingles"), F.monotonically_increasing_id().alias("id")), "signatures")
     keyed = signed.select("brain", "path", "word_key").filter(F.col("word_key") != F.md5(F.lit("")))
     groups = (keyed.groupBy("brain", "word_key")
               .agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count(F.lit(1)).alias("n")))
@@ -55,41 +54,47 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
                       .otherwise(F.col("first")).alias("partner"), F.lit(1.0).alias("jaccard")))
     single = signed.join(groups.select("brain", F.col("first").alias("path")), ["brain", "path"], "left_semi")
     edges = _led(saved(_rare(single, threshold), "buckets"), single, threshold)
-    found = edges.unionByName(edges.select("brain", F.col("partner").alias("path"), F.col("path").alias("partner"),
-                                           "jaccard"))
+    both = edges.unionByName(edges.select(F.col("partner").alias("id"), F.col("id").alias("partner"), "jaccard"))
+    names = signed.select("id", "brain", "path")
+    found = (both.join(names, "id").join(names.select(F.col("id").alias("partner"), F.col("path").alias("_path")), "partner")
+             .select("brain", "path", F.col("_path").alias("partner"), "jaccard"))
     all_found = found.unionByName(copies).withColumn("_closeness", F.col("jaccard"))
     return latest_per_key(all_found, ["brain", "path"], ["_closeness", "partner"]).drop("_closeness")
 
 
 def _rare(articles: DataFrame, threshold: float) -> DataFrame:
-    """(brain, shingle, path): the rarest shingles of each article, of which any article alike
-    shares one. A shingle that only one article holds counts as rare and is left out."""
-    rows = explode_rows(articles.withColumn("_size", F.size("shingles")), ["brain", "path", "_size"], "shingles", "shingle")
-    often = rows.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    own = Window.partitionBy("brain", "path")
+    """(key, id): the rarest shingles of each article, hashed with its library, of which any article alike
+    shares one. A shingle that only one article holds counts as rare and is left out. Rows are two numbers
+    and a size, as there is one for each shingle of the library."""
+    keys = F.transform("shingles", lambda s: F.xxhash64(F.col("brain"), s))
+    rows = explode_rows(articles.withColumn("_size", F.size("shingles")), ["id", "_size"], keys, "key")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("id")
     may_differ = F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9) + 1
-    shared = (rows.join(often, _BUCKET).withColumn("_shared", F.count(F.lit(1)).over(own))
-              .withColumn("_rank", F.row_number().over(own.orderBy("n", "shingle"))))
-    return shared.filter(F.col("_rank") <= may_differ - (F.col("_size") - F.col("_shared"))).select(*_BUCKET, "path")
+    shared = (rows.join(often, "key").withColumn("_shared", F.count(F.lit(1)).over(own))
+              .withColumn("_rank", F.row_number().over(own.orderBy("n", "key"))))
+    return shared.filter(F.col("_rank") <= may_differ - (F.col("_size") - F.col("_shared"))).select("key", "id", "_size")
 
 
 def _led(members: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that leaders find (brain, path, partner, jaccard)."""
-    sets = articles.select("brain", "path", "shingles")
+    """Pairs that leaders find (id, partner, jaccard). Articles of which one has too few shingles for the
+    other are no pair, whatever they share; so their sets are not fetched."""
+    sets = articles.select("id", "brain", "shingles")
+    others = articles.select(F.col("id").alias("partner"), F.col("brain").alias("_brain"), F.col("shingles").alias("_other"))
     waiting, edges, leaders = members, None, 1
+    fits = F.least("_size", "_partner_size") >= F.greatest("_size", "_partner_size") * threshold - 1e-9
     while True:
         # Keeps at most `leaders` rows per bucket and map task before the shuffle.
-        rank = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("path"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
         lead = saved(waiting.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).drop("_rank"), "leaders")
-        pairs = (members.join(lead.withColumnRenamed("path", "partner"), _BUCKET).filter(F.col("path") != F.col("partner"))
-                 .select("brain", "path", "partner").distinct())
-        hits = saved(pairs.join(sets, ["brain", "path"])
-                     .join(sets.select("brain", F.col("path").alias("partner"), F.col("shingles").alias("_other")), ["brain", "partner"])
-                     .select("brain", "path", "partner", _jaccard(F.col("shingles"), F.col("_other")).alias("jaccard"))
+        pairs = (members.join(lead.select("key", F.col("id").alias("partner"), F.col("_size").alias("_partner_size")), "key")
+                 .filter((F.col("id") != F.col("partner")) & fits).select("id", "partner").distinct())
+        hits = saved(pairs.join(sets, "id").join(others, "partner").filter("brain = _brain")
+                     .select("id", "partner", _jaccard(F.col("shingles"), F.col("_other")).alias("jaccard"))
                      .filter(F.col("jaccard") >= threshold), "hits")
         edges = hits if edges is None else edges.unionByName(hits)
-        settled = hits.select("brain", "path").unionByName(hits.select("brain", F.col("partner").alias("path"))).distinct()
-        waiting = saved(waiting.join(settled, ["brain", "path"], "left_anti").join(lead, [*_BUCKET, "path"], "left_anti"), "waiting")
+        settled = hits.select("id").unionByName(hits.select(F.col("partner").alias("id"))).distinct()
+        waiting = saved(waiting.join(settled, "id", "left_anti").join(lead, ["key", "id"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return edges
         leaders *= 2
