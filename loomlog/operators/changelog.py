@@ -12,6 +12,7 @@ from loomlog.operators.edits import RUNS_PER_CHUNK
 from loomlog.plans.ordered import running_sum
 from loomlog.session import saved
 
+# Fixed texts of the output format: this head, and the lines below.
 HEAD = "# Library changelog\n\n_Machine-maintained. One section per compile date._\n"
 COUNTED = ["create", "update", "rewrite", "delete", "skip"]
 

@@ -12,6 +12,7 @@ from loomlog.plans.ordered import range_chunks, running_sum
 INLINE_CAP = 25
 LINK_MARK = "—"
 
+# Fixed texts of the output format: title, note and the text of an empty library.
 TITLE = "# Library — curated knowledge index"
 
 
