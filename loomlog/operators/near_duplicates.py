@@ -37,10 +37,13 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
     Copies with the same words are grouped first and linked to one member, so any number of
     them costs one row each. The rest is an exact set join: two articles that are alike share
     a shingle among the rarest of each (as many as they may differ in, plus one), so those
-    shingles are the buckets, and boilerplate never is one. In a bucket the first waiting
-    member leads and is compared with all others; whoever has a partner waits no more, and
-    each round takes twice as many leaders. A bucket of near-copies takes one pass, no bucket
-    is cut short, and which articles are reported depends on nothing but their texts.
+    shingles are the buckets, and boilerplate never is one. The place of a shingle in the order by
+    rarity bounds what two articles can share from there on: articles that stand too far back for
+    even the smallest one that has the shingle are in no bucket, and pairs that cannot reach
+    the threshold are not compared. In a bucket the smallest waiting member leads and is compared
+    with all others; whoever has a partner waits no more, and each round takes twice as many
+    leaders. A bucket of near-copies takes one pass, articles that share a template but nothing else take
+    none, no bucket is cut short, and which articles are reported depends on nothing but their texts.
     """
     worded = catalog.select("brain", "path", _words(article_body(F.col("content"))).alias("words"))
     # The one pass over the texts; every later step reads columns of this table.
@@ -62,32 +65,43 @@ def near_duplicate_articles(catalog: DataFrame, threshold: float = THRESHOLD) ->
     return latest_per_key(all_found, ["brain", "path"], ["_closeness", "partner"]).drop("_closeness")
 
 
+def _needed(size: Column, other: Column, threshold: float) -> Column:
+    """Shingles that two articles of these sizes share at least if they are alike."""
+    return F.ceil((size + other) * (threshold / (1 + threshold)) - 1e-9)
+
+
 def _rare(articles: DataFrame, threshold: float) -> DataFrame:
-    """(key, id): the rarest shingles of each article, hashed with its library, of which any article alike
-    shares one. A shingle that only one article holds counts as rare and is left out. Rows are two numbers
-    and a size, as there is one for each shingle of the library."""
+    """(key, id, _size, _left): the rarest shingles of each article, hashed with its library, of which any
+    article alike shares one, and how many shingles it has from there on in the order by rarity. A shingle that
+    only one article holds comes first and is left out. Rows are four numbers, as there is one for each
+    shingle of the library."""
     keys = F.transform("shingles", lambda s: F.xxhash64(F.col("brain"), s))
     rows = explode_rows(articles.withColumn("_size", F.size("shingles")), ["id", "_size"], keys, "key")
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_size").alias("_least")).filter("n > 1")
     own = Window.partitionBy("id")
-    may_differ = F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9) + 1
     shared = (rows.join(often, "key").withColumn("_shared", F.count(F.lit(1)).over(own))
               .withColumn("_rank", F.row_number().over(own.orderBy("n", "key"))))
-    return shared.filter(F.col("_rank") <= may_differ - (F.col("_size") - F.col("_shared"))).select("key", "id", "_size")
+    # The smallest article with the shingle asks for the fewest in common, but not if it is too small itself.
+    smallest = F.greatest(F.col("_least"), F.ceil(F.col("_size") * threshold - 1e-9))
+    return (shared.withColumn("_left", F.col("_shared") - F.col("_rank") + 1)
+            .filter(F.col("_left") >= _needed(F.col("_size"), smallest, threshold)).select("key", "id", "_size", "_left"))
 
 
 def _led(members: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
     """Pairs that leaders find (id, partner, jaccard). Articles of which one has too few shingles for the
-    other are no pair, whatever they share; so their sets are not fetched."""
+    other, in all or from the place of the common one on, are no pair, whatever they share; so their sets are not
+    fetched. That holds for the first shingle in common, and a pair meets at it."""
     sets = articles.select("id", "brain", "shingles")
     others = articles.select(F.col("id").alias("partner"), F.col("brain").alias("_brain"), F.col("shingles").alias("_other"))
     waiting, edges, leaders = members, None, 1
-    fits = F.least("_size", "_partner_size") >= F.greatest("_size", "_partner_size") * threshold - 1e-9
+    fits = ((F.least("_size", "_partner_size") >= F.greatest("_size", "_partner_size") * threshold - 1e-9)
+            & (F.least("_left", "_partner_left") >= _needed(F.col("_size"), F.col("_partner_size"), threshold)))
     while True:
         # Keeps at most `leaders` rows per bucket and map task before the shuffle.
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("_size", "id"))
         lead = saved(waiting.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).drop("_rank"), "leaders")
-        pairs = (members.join(lead.select("key", F.col("id").alias("partner"), F.col("_size").alias("_partner_size")), "key")
+        pairs = (members.join(lead.select("key", F.col("id").alias("partner"), F.col("_size").alias("_partner_size"),
+                                            F.col("_left").alias("_partner_left")), "key")
                  .filter((F.col("id") != F.col("partner")) & fits).select("id", "partner").distinct())
         hits = saved(pairs.join(sets, "id").join(others, "partner").filter("brain = _brain")
                      .select("id", "partner", _jaccard(F.col("shingles"), F.col("_other")).alias("jaccard"))

@@ -81,3 +81,24 @@ def test_nearly_alike_at_the_threshold(spark):
             changed[j] = f"c{i}x{j}"
         texts[f"library/{i}-b.md"] = " ".join(changed)
     assert set(run(spark, texts)) == set(brute(texts))
+
+
+@pytest.mark.parametrize("own", [lambda i: 40, lambda i: 20 + i % 40])
+def test_one_template(spark, own, monkeypatch):
+    """All articles are one template and some words of their own, and none or few are alike. What is kept per bucket and compared
+    grows with the articles, not with their square."""
+    rows, keep = {}, nd.saved
+    def counted(df, name, *args):  # noqa: E306
+        out = keep(df, name, *args)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(nd, "saved", counted)
+    made = {}
+    for n in (100, 200):
+        rows.clear()
+        texts = {f"library/{i:04}.md": " ".join([f"t{j}" for j in range(100)] + [f"o{i}x{j}" for j in range(own(i))]) for i in range(n)}
+        assert set(run(spark, texts)) == set(brute(texts))
+        made[n] = dict(rows)
+    for name in ("buckets", "leaders", "hits", "waiting"):
+        assert made[200].get(name, 0) <= 2.5 * made[100].get(name, 0), (name, made)
+    assert made[200].get("hits", 0) <= 200 * 8
