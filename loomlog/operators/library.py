@@ -67,9 +67,12 @@ def _entry(link: Column, ttl: Column, updated: Column) -> Column:
     return F.concat(link, F.lit(f" {LINK_MARK} ttl:"), ttl, F.lit(", updated:"), updated)
 
 
+NOTE = "*Machine-maintained. Edit articles, not this file.*"
+NOTHING = "_Empty — no articles yet._"
+
+
 def library_index(catalog: DataFrame, regenerated: str, first_token: bool = False, title: str = TITLE,
-                  note: str = "*Machine-maintained. Edit articles, not this file.*",
-                  empty: str = "_Empty — no articles yet._", brains: DataFrame | None = None) -> DataFrame:
+                  note: str = NOTE, empty: str = NOTHING, brains: DataFrame | None = None) -> DataFrame:
     """Index documents as ordered lines (brain, part, category, stem, path, line).
 
     Part 0 is the head, 1 the category headings, 2 the articles below them, 3 the blank line
@@ -77,6 +80,12 @@ def library_index(catalog: DataFrame, regenerated: str, first_token: bool = Fals
     article, so a library of any size is written by a distributed sort. `brains` lists
     libraries that may be empty and still need an index.
     """
+    counts = catalog.groupBy("brain").agg(F.count(F.lit(1)).alias("n"))
+    return index_heads(counts, regenerated, title, note, empty, brains).unionByName(index_sections(catalog, first_token))
+
+
+def index_sections(catalog: DataFrame, first_token: bool = False) -> DataFrame:
+    """The lines of an index below its head; those of a category depend on its articles only."""
     filled = field_defaults(catalog)
     ttl, updated = F.col("ttl"), F.col("updated_text")
     if first_token:
@@ -89,16 +98,21 @@ def library_index(catalog: DataFrame, regenerated: str, first_token: bool = Fals
                     F.struct(F.lit(3).alias("part"), none.alias("line")))
     headings = (catalog.select("brain", "category").distinct().select("brain", "category", F.inline(frame))
                 .select("brain", "part", "category", none.alias("stem"), none.alias("path"), "line"))
-    counts = catalog.groupBy("brain").agg(F.count(F.lit(1)).alias("n"))
+    return headings.unionByName(items)
+
+
+def index_heads(counts: DataFrame, regenerated: str, title: str = TITLE, note: str = NOTE, empty: str = NOTHING,
+                brains: DataFrame | None = None) -> DataFrame:
+    """The head of each index; counts: (brain, n) articles."""
+    none = F.lit("")
     if brains is not None:
         counts = (brains.select("brain").distinct().join(counts, "brain", "left")
                   .withColumn("n", F.coalesce("n", F.lit(0))))
     head = F.concat(F.lit(f"{title}\n\n_Last regenerated: {regenerated}_\n_Article count: "),
                     F.col("n").cast("string"), F.lit(f"_\n\n{note}\n"),
                     F.when(F.col("n") == 0, F.lit(f"\n{empty}")).otherwise(""))
-    heads = counts.select("brain", F.lit(0).alias("part"), none.alias("category"), none.alias("stem"),
-                          none.alias("path"), head.alias("line"))
-    return heads.unionByName(headings).unionByName(items)
+    return counts.select("brain", F.lit(0).alias("part"), none.alias("category"), none.alias("stem"),
+                         none.alias("path"), head.alias("line"))
 
 
 # The head has no category and comes first by itself.

@@ -796,7 +796,10 @@ UNION ALL SELECT brain, 0, '', '', '', concat({2}, chr(10), chr(10), '_Last rege
   CAST(count(*) AS STRING), '_', chr(10), chr(10), '*Machine-maintained. Edit articles, not this file.*', chr(10)) FROM {{cat}} GROUP BY brain"""
 
 
-@register("library_index", _INDEX.format("coalesce(ttl, '?')", "coalesce(updated_text, '?')", "'# Library — curated knowledge index'").replace("{{", "{").replace("}}", "}"))
+INDEX_SQL = _INDEX.format("coalesce(ttl, '?')", "coalesce(updated_text, '?')", "'# Library — curated knowledge index'").replace("{{", "{").replace("}}", "}")
+
+
+@register("library_index", INDEX_SQL)
 def _library_index(spark, d):
     return lb.library_index(_catalog(spark, d), "2026-06-20 00:00:00")
 
@@ -869,7 +872,7 @@ def _log_entries(spark, d):
     return ed.applied_log(_fx(spark, d, "edits"), _fx(spark, d, "articles"))
 
 
-@register("changelog", """
+CHANGELOG_SQL = """
 SELECT brain, CAST(section_date AS VARCHAR) AS section_date, run_id, rank, seq, line FROM (
   SELECT r.brain, section_date, r.run_id, CASE action WHEN 'skip' THEN 2 ELSE 1 END AS rank, CAST(e.seq AS BIGINT) AS seq,
     CASE WHEN action = 'skip' THEN concat('- `', hm, '` — _skip_: ', note)
@@ -891,7 +894,10 @@ SELECT brain, CAST(section_date AS VARCHAR) AS section_date, run_id, rank, seq,
   UNION ALL
   SELECT brain, section_date, max(run_id), 9, 0, '' FROM {runs} GROUP BY 1, 2
   UNION ALL
-  SELECT DISTINCT brain, CAST(NULL AS DATE), 0, -1, 0, concat('# Library changelog', chr(10), chr(10), '_Machine-maintained. One section per compile date._', chr(10)) FROM {runs}) q""")
+  SELECT DISTINCT brain, CAST(NULL AS DATE), 0, -1, 0, concat('# Library changelog', chr(10), chr(10), '_Machine-maintained. One section per compile date._', chr(10)) FROM {runs}) q"""
+
+
+@register("changelog", CHANGELOG_SQL)
 def _changelog(spark, d):
     return _text(ch.changelog(_log_entries(spark, d), _fx(spark, d, "runs")), "section_date")
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from loomlog.fixtures import spark_sql
 from loomlog.operators import copies
-from loomlog.plans import upkeep
-from loomlog.registry import CONFIG, CTES, _fx, _per_log, _routed, _stream_events, _text, duck_redact, register
-from loomlog.session import fresh_folder
+from loomlog.operators import edits as ed
+from loomlog.operators import library as lb
+from loomlog.plans import documents, upkeep
+from loomlog.registry import (CHANGELOG_SQL, CONFIG, CTES, INDEX_SQL, _fx, _log_entries, _per_log, _routed, _stream_events, _text, duck_redact,
+                              register)
+from loomlog.session import fresh_folder, saved
 from loomlog.sources.sinks import append_partitioned
 from loomlog.streaming import in_order, streams
 
@@ -97,6 +100,43 @@ def _commit_run(spark, d):
     return out.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# ---- documents by increments ----
+
+CTES["current"] = """
+SELECT brain, path, content FROM (SELECT *, row_number() OVER (PARTITION BY brain, path ORDER BY run_id DESC, seq DESC) AS rn FROM {versions}) q
+WHERE rn = 1 AND action <> 'delete'"""
+CTES["current_cat"] = CTES["cat"].replace("{articles}", "{current}")
+
+
+def _kept_up(spark, d):
+    """Home of the documents after three increments of the history and of the log, each tried again."""
+    home, versions = fresh_folder(spark, "documents"), _fx(spark, d, "versions")
+    entries, runs = saved(_log_entries(spark, d), "log-entries"), _fx(spark, d, "runs")
+    steps = [r.run_id for r in versions.select("run_id").distinct().orderBy("run_id").collect()]
+    low, high = runs.agg(F.min("run_id"), F.max("run_id")).first()
+    for n, step in enumerate(steps):
+        catalog = lb.parse_articles(ed.latest_version(versions.filter(F.col("run_id") <= step)))
+        edited = versions.filter(F.col("run_id") == step).select("brain", "path")
+        share = F.least(F.floor((F.col("run_id") - low) * len(steps) / (high - low + 1)), F.lit(len(steps) - 1))
+        seen, new = runs.filter(share <= n), runs.filter(share == n)
+        tried = [documents.refresh_documents(spark, home, f"step-{n}", catalog, edited, entries, seen, new) for _ in range(2)]
+        if tried != [True, False]:
+            raise ValueError(f"step {n} was made {sum(tried)} times")
+    return home
+
+
+@register("index_kept_up", INDEX_SQL.replace("{cat}", "{current_cat}"))
+def _index_kept_up(spark, d):
+    """The index after every run of the history, from its fragments."""
+    return documents.index_document(spark, _kept_up(spark, d), "2026-06-20 00:00:00")
+
+
+@register("changelog_kept_up", CHANGELOG_SQL)
+def _changelog_kept_up(spark, d):
+    """The changelog after every part of the log, from its fragments."""
+    return _text(documents.changelog_document(spark, _kept_up(spark, d)), "section_date")
+
+
 # ---- streams in the order of event time ----
 
 # The transcripts of the fixtures were written two years after their hook events.

@@ -120,6 +120,16 @@ class Change:
             self.add(held.join(victims.select(*keys), list(keys), "left_anti"), root, by)
             self.drop(files, root)
 
+    def replace(self, root: str, rows: DataFrame, units: DataFrame, by: str) -> None:
+        """Put `rows` in place of whatever a table, partitioned by `by`, holds of the partitions in `units`. Only
+        names of files and partitions are read of what was there."""
+        held = stored(self.spark, root, rows.schema)
+        if held is not None:
+            old = (held.select(by, F.col("_metadata.file_path").alias("_file")).join(units.select(by), by, "left_semi")
+                   .select("_file").distinct().collect())
+            self.drop([r["_file"] for r in old], root)
+        self.add(rows.hint("rebalance", by), root, [by])
+
     def empty(self) -> bool:
         return not self.roots and not self.dropped
 
