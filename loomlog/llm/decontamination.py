@@ -6,10 +6,12 @@ diagonal make maximal matches; the longest match is marked first, and what marke
 matches competes again, so tiles never overlap on either side. A document is contaminated by an item
 when tiles cover at least `threshold` of the item's words, in whatever order the passages stand.
 
-The items are a stated query set: they are cut into blocks of bounded size, and each block is sent to all
-tasks and compared with all documents. Documents are read whole: seeds are hashed `WINDOW` words at a
-time, and the matches of all steps are tiled together, so the verdict does not depend on where in the
-document the passages stand. Where texts repeat themselves every place of the one may meet every place of the
+The items are a stated query set. A set of up to `BLOCK_CHARS` characters is sent to all tasks and compared with
+all documents in one pass. A larger one is joined by its seeds: the seeds of documents that pass a bit table
+of all item seeds meet the items', pairs that share too few for tiles to reach the threshold are dropped, and
+what is left is tiled. Both ways compare words in the end and give the same rows. Documents are read whole:
+seeds are hashed `WINDOW` words at a time, and the matches of all steps are tiled together, so the verdict does not
+depend on where in the document the passages stand. Where texts repeat themselves every place of the one may meet every place of the
 other: such pairs are joined to matches in steps of bounded size.
 
 Nulls: a null text has no words and matches nothing; an item with fewer than `least` words, or a null
@@ -25,9 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomlog.llm.common import filtered, pick, table, text_of, texts
+from loomlog.llm.collocations import _bits as bit_table, _held as in_table
+from loomlog.llm.common import filtered, free_name, pick, table, text_of, texts
+from loomlog.session import saved
 
 LEAST, THRESHOLD = 5, 0.5
 #: Characters of a block of items, and words whose hashes are held at a time.
@@ -37,6 +42,8 @@ MEMORY = 500_000
 #: Pairs of equal seeds that are held at a time, before those on one diagonal are joined.
 PAIRS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the table of item seeds, at most (32 MB).
+MOST_BITS = 28
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -190,13 +197,126 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CH
         yield block
 
 
+def _chars(items: DataFrame, text_col: str) -> int:
+    return pick(items, text_col).toDF("text").agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+
+
+class _Hashes(dict):
+    """Hash of the word in each run of characters, 0 for no word."""
+
+    def __missing__(self, run: str) -> int:
+        word = _NOT_WORD.sub("", run)
+        value = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(run) < 64:
+            self[run] = value
+        return value
+
+    def seeds(self, text: str, least: int) -> tuple[np.ndarray, int]:
+        """Hashes of all windows of `least` words, and the number of words."""
+        words = np.fromiter(map(self.__getitem__, text.lower().split()), np.uint64)
+        words = words[words > 0]
+        return running_hashes(words, least), len(words)
+
+
+def _key(text: Column) -> Column:
+    """What stands for a text: equal texts are compared once."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _item_seeds(items: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(item, seed, times, need): how often a seed stands in an item, and how many places of the item must
+    have a seed in common with a document. A tile of n words has n - least + 1 seeds, at least n / least."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), texts(batch, "text"), strict=True):
+                found, n = hashes.seeds(text, least)
+                seeds, times = np.unique(found, return_counts=True)
+                need = max(1, int(np.ceil(threshold * n / least - 1e-9)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), item)), pa.array(seeds.view(np.int64)), pa.array(times.astype(np.int64)),
+                                                  pa.array(np.full(len(seeds), need))], names=["item", "seed", "times", "need"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, seed long, times long, need long")
+
+
+def _doc_seeds(docs: DataFrame, shared, least: int) -> DataFrame:
+    """(key, seed) of documents (key, text): the seeds that pass the bit table, once per document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = _Hashes(), np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), texts(batch, "text"), strict=True):
+                found = hashes.seeds(text, least)[0]
+                found = np.unique(found[in_table(bits, found)]) if len(found) else found
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.binary()), pa.array(found.view(np.int64))], names=["key", "seed"])
+
+    return docs.select("key", "text").mapInArrow(run, "key binary, seed long").distinct()
+
+
+def _tiles(rows: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(key, item_id, covered, item_words, tiles, coverage) of rows (key, kind, id, text): a document's text, kind 0, and then the
+    items, kind 1, that it is compared with. Both stream through; a document and a block of items are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, block, size = None, "", [], 0
+
+        def closed() -> pa.RecordBatch:
+            known, hits = Items(block, least), []
+            for item, (covered, tiles) in known.of(doc).items():
+                n = len(known.words[item])
+                if covered >= threshold * n:
+                    hits.append((key, known.ids[item], covered, n, tiles, covered / n))
+            types = [pa.binary(), *[pa.int64()] * 4, pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*hits)) or [[]] * 6, types, strict=True)],
+                                              names=["key", "item_id", "covered", "item_words", "tiles", "coverage"])
+
+        for batch in batches:
+            for own, kind, item, text in zip(*[batch.column(c).to_pylist() for c in ("key", "kind", "id")], texts(batch, "text"), strict=True):
+                if block and (kind == 0 or size >= BLOCK_CHARS):
+                    yield closed()
+                    block, size = [], 0
+                if kind == 0:
+                    key, doc = own, text
+                else:
+                    block.append((item, text))
+                    size += len(text)
+        if block:
+            yield closed()
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "kind")
+    return ordered.mapInArrow(run, "key binary, item_id long, covered long, item_words long, tiles long, coverage double")
+
+
+def _by_seeds(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, chars: int, least: int, threshold: float) -> DataFrame:
+    """`_tiles` of texts (key, text) and the items of any number that they are contaminated by."""
+    known = pick(items, item_id, item_text).toDF("id", "text").select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
+    known = saved(known.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = saved(_item_seeds(known, least, threshold), "item-seeds")
+    bits = min(MOST_BITS, max(20, (2 * chars).bit_length()))
+    shared = bit_table(seeds.select(F.col("seed").alias("hash")).distinct(), bits)
+    both = _doc_seeds(docs, shared, least).join(seeds, "seed").groupBy("key", "item").agg(F.sum("times").alias("n"), F.max("need").alias("need"))
+    pairs = saved(both.filter("n >= need").select("key", "item"), "candidates")
+    # Of texts that many rows have each task sends one on.
+    whole = docs.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    rows = whole.select("key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "text").unionByName(
+        pairs.join(known, "item").select("key", F.lit(1).alias("kind"), "id", "text"))
+    return saved(_tiles(rows, least, threshold), "tiles")
+
+
 SCHEMA = "doc_id long, item_id long, covered long, item_words long, tiles long, coverage double"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and item whose words tiles cover to at least `threshold`."""
+                 item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, broadcast_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document and item whose words tiles cover to at least `threshold`. Items of more than
+    `broadcast_chars` characters in all are joined by their seeds."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    chars = _chars(items, item_text)
+    if chars > broadcast_chars:
+        keyed = rows.select("doc_id", _key(text_of("text")).alias("key"), text_of("text").alias("text"))
+        found = _by_seeds(keyed.select("key", "text"), items, item_id, item_text, chars, least, threshold)
+        return keyed.select("doc_id", "key").join(found, "key").drop("key")
     out = docs.sparkSession.createDataFrame([], SCHEMA)
 
     def found(block: list[tuple[int | None, str]]) -> DataFrame:
@@ -223,9 +343,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                      least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without contaminated rows, in one pass per block of items, with all their columns. Rows are decided one by one;
-    null and empty texts stay, and so do all rows if there is no item."""
+                      least: int = LEAST, threshold: float = THRESHOLD, broadcast_chars: int = BLOCK_CHARS) -> DataFrame:
+    """`docs` without contaminated rows, with all their columns; `broadcast_chars` as in `contaminated`. Rows are decided
+    one by one; null and empty texts stay, and so do all rows if there is no item."""
+    chars = _chars(items, item_text)
+    if chars > broadcast_chars:
+        key = free_name(docs, "key")
+        keyed = docs.withColumn(key, _key(text_of(text_col)))
+        texts_only = docs.select(_key(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+        gone = _by_seeds(texts_only, items, item_id, item_text, chars, least, threshold).select(F.col("key").alias(key)).distinct()
+        return keyed.join(gone, key, "left_anti").select(*[keyed[c] for c in docs.columns])
     for block in blocks_of(items, item_id, item_text):
         docs = filtered(docs, _clean(docs.sparkSession.sparkContext.broadcast(block), text_col, least, threshold))
     return docs

@@ -116,3 +116,37 @@ def test_pair_steps_do_not_change_matches(monkeypatch):
     for pairs in (1, 50, 999):
         monkeypatch.setattr(dc, "PAIRS", pairs)
         assert known.of(doc) == whole
+
+
+def both_ways(docs, items):
+    found = [sorted(map(str, dc.contaminated(docs, items, broadcast_chars=n).collect())) for n in (dc.BLOCK_CHARS, 0)]
+    left = [sorted(map(str, dc.drop_contaminated(docs, items, broadcast_chars=n).collect())) for n in (dc.BLOCK_CHARS, 0)]
+    assert found[0] == found[1] and left[0] == left[1]
+    return found[0], left[0]
+
+
+def test_join_by_seeds_gives_the_same_rows(spark):
+    rng = random.Random(11)
+    items = [(i if i else None, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(3, 40))), "x") for i in range(60)]
+    items += [items[3], (90, None, "x"), (91, "", "x"), (92, "a b", "x"), (93, "the " * 30, "x")]
+    docs = []
+    for i in range(80):
+        parts = []
+        for _, text, _ in rng.sample(items[:60], 3):
+            words = text.split()
+            cut = rng.randrange(len(words))
+            parts += rng.choice([[*words[cut:], *words[:cut]], words[: max(cut, 5)], words])
+            parts += [f"n{rng.randrange(900)}"] * rng.randint(0, 3)
+        docs.append((i, " ".join(parts), 1, "k"))
+    docs += [docs[0], (None, docs[1][1], 1, "k"), (None, None, 1, "k"), (500, "", 1, "k"), (501, "the " * 3000, 1, "k"), *[(600 + i, docs[2][1], 1, "k") for i in range(50)]]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, item_id long, key string")
+    items = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    found, left = both_ways(docs, items)
+    assert found and len(left) < docs.count()
+    assert both_ways(docs.limit(0), items) == ([], []) and len(both_ways(docs, items.limit(0))[1]) == docs.count()
+
+
+def test_join_by_seeds_on_the_tables(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found, _ = both_ways(docs, items)
+    assert found
