@@ -1,9 +1,11 @@
 """Index and changelog kept up by increments.
 
 A document is stored as fragments: of the index one per category, of the changelog one per day. Either
-depends on nothing outside it, so a run rewrites the fragments that its edits and runs fall into, and no
-other; all it rewrites is one change (`sources/changes.py`). Heads are made when a document is read: they
-hold no more than the number of articles, which the fragments tell.
+depends on nothing outside it, so a run makes the fragments anew that its edits and runs fall into, and no
+other; all it rewrites is one change (`sources/changes.py`). A category is a folder of its own. Days are many
+and small, so files hold ranges of them: a file with a day that is made anew is written without it, the
+others stay, and a log has as many files as its runs and its size ask for, not one a day. Heads are made when
+a document is read: they hold no more than the number of articles, which the fragments tell.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def refresh_documents(spark: SparkSession, home: str, name: str, catalog: DataFr
     of_days = runs.join(days, ["brain", "section_date"], "left_semi")
     told = entries.join(of_days, ["brain", "run_id"], "left_semi")
     lines = ch.changelog(told, of_days).filter("section_date is not null").withColumn("unit", _unit("brain", "section_date"))
-    change.replace(f"{home}/changelog", _typed(lines, CHANGELOG_SCHEMA), days, "unit")
+    change.remove(f"{home}/changelog", days, ["unit"])
+    change.add(_typed(lines, CHANGELOG_SCHEMA).repartitionByRange("section_date", "brain", "run_id"), f"{home}/changelog")
 
     change.run()
     return True

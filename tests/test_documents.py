@@ -90,6 +90,18 @@ def test_only_dirty_fragments_are_written(spark, tmp_path):
     assert lib.found() == lib.wanted(8)
 
 
+def test_files_do_not_grow_with_days(spark, tmp_path):
+    """Many days are a few files; a day made anew rewrites only the files that hold it."""
+    lib = Library(spark, str(tmp_path), [version("work", "a", "x", run, 0, "update") for run in range(1, 57)])
+    lib.refresh(50, 0)
+    first = lib.files("changelog")
+    assert len(first) <= 4
+    # Run 51 falls into the day of run 50.
+    lib.refresh(56, 50)
+    assert len(first - lib.files("changelog")) == 1 and len(lib.files("changelog")) <= 8
+    assert lib.found() == lib.wanted(56)
+
+
 @pytest.mark.parametrize("n", [0, 1, 4])
 def test_refresh_cut_off(spark, tmp_path, monkeypatch, n):
     """The driver is lost at any step: readers who settle see both documents before the run or after it."""
