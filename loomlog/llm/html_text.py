@@ -7,7 +7,7 @@ blank lines, indents lists under their markers and aligns the cells of tables.
 
 Nulls and empty pages give an empty text; null ids and repeated rows are kept; an empty table gives no
 rows. Columns other than the id and the html are not read. Texts are whole: column padding stops at
-`WIDEST` characters, indents at `DEEPEST` levels and the alignment of tables at `GRID` fields, text does not.
+`WIDEST` characters and indents at `DEEPEST` levels, text does not. Tables of any size are aligned.
 Elements may be nested to any depth; the innermost open one of a name is looked up, not searched for.
 """
 
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import merge
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from loomlog.llm.common import pick, table, texts
 
 WIDEST, DEEPEST = 80, 40
-#: Fields (rows by columns) of the largest table that is aligned.
-GRID = 1 << 20
 
 # Names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -171,25 +171,18 @@ class Grid:
                 if across == 1:
                     widths[place[at]] = max([widths[place[at]], *(len(x) for x in lines if len(x) <= WIDEST)])
         out = list(self.captions)
-        if len(used) * len(self.rows) > GRID:
-            # So many columns are not aligned: the blank room alone would be more than the text.
-            return out + [" | ".join(lines[i] if i < len(lines) else "" for _, _, lines in row).rstrip(" ")
-                          for row in self.rows for i in range(max((len(lines) for _, _, lines in row), default=0))]
+        # A row without any cell, and where each column begins in it.
+        blank, begins = "".join(" " * w + " | " for w in widths), [0, *accumulate(w + 3 for w in widths)]
         for row in self.rows:
+            spots, end = [], 0
+            for at, across, lines in row:
+                first, stop = place[at], bisect_left(used, at + across, place[at] + 1)
+                spots.append((blank[begins[end]:begins[first]] if end < first else "", lines,
+                              min(begins[stop] - begins[first] - 3, 4 * WIDEST), " | " if at != row[-1][0] else ""))
+                end = stop
             for i in range(max((len(lines) for _, _, lines in row), default=0)):
-                line, end = "", 0
-                for at, across, lines in row:
-                    first = place[at]
-                    while end < first:
-                        line += " " * widths[end] + " | "
-                        end += 1
-                    stop = first + 1
-                    while stop < len(used) and used[stop] < at + across:
-                        stop += 1
-                    room = min(sum(widths[first:stop]) + 3 * (stop - first - 1), 4 * WIDEST)
-                    line += (lines[i] if i < len(lines) else "").ljust(room) + (" | " if at != row[-1][0] else "")
-                    end = stop
-                out.append(line.rstrip(" "))
+                line = [gap + (lines[i] if i < len(lines) else "").ljust(room) + mark for gap, lines, room, mark in spots]
+                out.append("".join(line).rstrip(" "))
         return out
 
 

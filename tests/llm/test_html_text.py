@@ -128,6 +128,16 @@ def test_columns_of_random_tables():
             assert [c[0] for c in grid.rows[-1]] == expected
 
 
+def test_large_tables_are_aligned():
+    """Over a million fields, with and without fields that are empty for cells above them."""
+    page = "<table><tr><td>long" + "<td>y" * 1049 + ("<tr><td>a" + "<td>b" * 1049) * 1049 + "</table>"
+    lines = ht.rendered(page).split("\n")
+    assert lines[0] == "long" + " | y" * 1049 and set(lines[1:]) == {"a   " + " | b" * 1049} and len(lines) == 1050
+    page = "<table><tr>" + "<td rowspan=1200>xy" * 1000 + "<td>z" + "<tr><td>z" * 1199 + "</table>"
+    lines = ht.rendered(page).split("\n")
+    assert lines[0] == "xy | " * 1000 + "z" and set(lines[1:]) == {"   | " * 1000 + "z"} and len(lines) == 1200
+
+
 @pytest.mark.parametrize("page", ["<table>" + ("<tr>" + "<td colspan=1000 rowspan=60000>x" * 5) * 300, "<b hidden><div>" * 5000 + "</div></b>" * 5000,
                                   "<b hidden><div>" * 5000 + "x</div>" * 5000])
 def test_hostile_pages_cost_little(page):
