@@ -14,7 +14,9 @@ readers.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,37 +24,63 @@ from pyspark.sql import functions as F
 from loomlog.sources.sinks import stored
 
 FOLDER = "_changes"
+#: Files that are looked up, moved or deleted at the same time.
+AT_ONCE = 16
+
+
+@lru_cache(4)
+def _path_class(jvm):
+    """Looking a class up by its dotted name costs a call for every part of it."""
+    return jvm.org.apache.hadoop.fs.Path
 
 
 def _path(spark: SparkSession, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(name)
+    return _path_class(spark._jvm)(name)
 
 
 def _fs(spark: SparkSession, name: str):
     return _path(spark, name).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _files(spark: SparkSession, folder: str) -> Iterator[str]:
-    """Data files below a folder."""
-    fs = _fs(spark, folder)
-    if not fs.exists(_path(spark, folder)):
-        return
-    found = fs.listFiles(_path(spark, folder), True)
-    while found.hasNext():
-        path = found.next().getPath()
-        if not path.getName().startswith(("_", ".")):
-            yield path.toString()
+def _each(step: Callable, items: Iterable) -> list:
+    """`step` of every item, many at a time; the first error is raised."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(step, items))
 
 
-def _delete(spark: SparkSession, file: str, root: str) -> None:
-    """Delete a file, and folders below the table's root that are empty then."""
+def _files(spark: SparkSession, folder: str, depth: int) -> list[str]:
+    """Data files `depth` partition folders below a folder, listed level by level."""
+    fs = _fs(spark, folder)
+    if not fs.exists(_path(spark, folder)):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = fs.listStatus(_path(spark, folder))
+    for _ in range(depth):
+        found = fs.listStatus(hadoop.FileUtil.stat2Paths(found))
+    paths = hadoop.FileUtil.stat2Paths(found)
+    names = _each(lambda i: paths[i].toString(), range(len(paths)))
+    return [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def _delete(spark: SparkSession, file: str) -> str:
+    """Delete a file; returns its folder."""
     fs, path = _fs(spark, file), _path(spark, file)
     fs.delete(path, False)
-    root_path = fs.makeQualified(_path(spark, root))
-    above = fs.makeQualified(path).getParent()
-    while not above.equals(root_path) and fs.exists(above) and not fs.listStatus(above):
-        fs.delete(above, False)
-        above = above.getParent()
+    return fs.makeQualified(path.getParent()).toString()
+
+
+def _clear(spark: SparkSession, folders: set[str], roots: set[str]) -> None:
+    """Delete folders that are empty, and those above them that are empty then, up to the tables' roots."""
+    def clear(folder: str) -> str | None:
+        fs, path = _fs(spark, folder), _path(spark, folder)
+        if not fs.exists(path) or not fs.listStatus(path):
+            fs.delete(path, False)
+            return fs.makeQualified(path.getParent()).toString()
+        return None
+
+    above = {fs.makeQualified(_path(spark, r)).toString() for r in roots for fs in [_fs(spark, r)]}
+    while folders := folders - above:
+        folders = {f for f in _each(clear, sorted(folders)) if f}
 
 
 def _move(spark: SparkSession, file: str, to: str) -> None:
@@ -93,14 +121,14 @@ class Change:
         if finished(spark, home, name) or _read(spark, f"{self.folder}/record.json"):
             raise ValueError(f"the change {name} is committed")
         _fs(spark, self.folder).delete(_path(spark, self.folder), True)
-        self.roots: list[str] = []
+        self.roots: list[tuple[str, int]] = []
         self.dropped: list[tuple[str, str]] = []
 
     def add(self, rows: DataFrame, root: str, by: Sequence[str] = ()) -> None:
         """Rows that come into the table at `root`, which is partitioned by `by`."""
         writer = rows.write.mode("error")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/new/{len(self.roots)}")
-        self.roots.append(root.rstrip("/"))
+        self.roots.append((root.rstrip("/"), len(by)))
 
     def drop(self, files: Sequence[str], root: str) -> None:
         """Files that leave the table at `root`."""
@@ -135,13 +163,14 @@ class Change:
 
     def commit(self) -> None:
         """Make the change certain. Until here nothing shows."""
-        missing = [f for f, _ in self.dropped if not _fs(self.spark, f).exists(_path(self.spark, f))]
+        there = _each(lambda d: _fs(self.spark, d[0]).exists(_path(self.spark, d[0])), self.dropped)
+        missing = [f for (f, _), ok in zip(self.dropped, there) if not ok]
         if missing:
             raise RuntimeError(f"another writer took {missing[0]} and {len(missing) - 1} more")
         moves = []
-        for i, root in enumerate(self.roots):
+        for i, (root, depth) in enumerate(self.roots):
             base = _fs(self.spark, self.folder).makeQualified(_path(self.spark, f"{self.folder}/new/{i}")).toString()
-            moves += [(f, root + f[len(base):]) for f in _files(self.spark, base)]
+            moves += [(f, root + f[len(base):]) for f in _files(self.spark, base, depth)]
         _write(self.spark, f"{self.folder}/record.json", json.dumps({"drop": self.dropped, "move": moves}))
 
     def run(self) -> None:
@@ -152,10 +181,10 @@ class Change:
 
 def _apply(spark: SparkSession, folder: str) -> None:
     record = json.loads(_read(spark, f"{folder}/record.json"))
-    for file, root in record["drop"]:
-        _delete(spark, file, root)
-    for file, to in record["move"]:
-        _move(spark, file, to)
+    # Added first, so that no folder is taken away and made again.
+    _each(lambda m: _move(spark, *m), record["move"])
+    folders = set(_each(lambda d: _delete(spark, d[0]), record["drop"]))
+    _clear(spark, folders, {root for _, root in record["drop"]})
     _fs(spark, folder).delete(_path(spark, f"{folder}/new"), True)
     _move(spark, f"{folder}/record.json", f"{folder}/done.json")
 

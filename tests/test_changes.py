@@ -1,6 +1,7 @@
 """Changes that are cut off after any step end right, and touch no other file."""
 
 import os
+import threading
 from datetime import date
 
 import pytest
@@ -161,3 +162,19 @@ def test_run_shows_as_a_whole(spark, tmp_path, monkeypatch, n):
     assert seen == [n > 0] * 3
     assert upkeep.commit_run(spark, home, "run-1", parts()) == (n == 0)
     assert [spark.read.parquet(f"{home}/{t}").count() for t in ("versions", "log", "cursor")] == [6, 6, 1]
+
+
+def test_files_are_moved_at_the_same_time(spark, tmp_path, monkeypatch):
+    """A change of many files does not wait for one after the other."""
+    home, both, move = str(tmp_path), threading.Barrier(2, timeout=30), changes._move
+    change = changes.Change(spark, home, "c")
+    change.add(spark.range(2).select("id", F.col("id").alias("part")), f"{home}/t", ["part"])
+
+    def met(spark, file, to):
+        if file.endswith(".parquet"):
+            both.wait()
+        move(spark, file, to)
+
+    monkeypatch.setattr(changes, "_move", met)
+    change.run()
+    assert spark.read.parquet(f"{home}/t").count() == 2
