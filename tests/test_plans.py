@@ -10,7 +10,7 @@ from loomlog.operators import curation as cu
 from loomlog.operators import redaction as rd
 from loomlog.operators import routing as ro
 from loomlog.operators.changelog import changelog
-from loomlog.operators.library import parse_articles, review_context
+from loomlog.operators.library import compile_context, parse_articles, review_context
 from loomlog.plans.key_filter import KeyFilter
 from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, range_chunks, running_sum
 from loomlog.registry import SCOPE_RULES
@@ -145,3 +145,28 @@ def test_key_filter_holds_every_key(spark):
         assert rows.filter("id < 5000 and not held").count() == 0
         passed = rows.filter("id >= 5000 and held").count()
         assert passed < 1500 if most == 22 else passed > 0
+
+
+def test_key_filter_of_many_keys(spark):
+    """A filter grows with its keys: of a million, hardly any key passes that is not among them."""
+    keys = spark.range(1_000_000).select(F.xxhash64("id").alias("k"))
+    held = KeyFilter(keys, "k", 1_000_000).may_hold(F.col("k"))
+    found = keys.agg(F.count_if(held).alias("n")).first()["n"]
+    wrong = spark.range(1_000_000, 1_200_000).select(F.xxhash64("id").alias("k")).agg(F.count_if(held).alias("n")).first()["n"]
+    assert found == 1_000_000 and wrong < 200_000 * 0.05
+
+
+def test_compile_context_moves_no_texts(spark):
+    """Whatever Spark knows of sizes, the texts of a library are not sent to one task to meet its count."""
+    article = ("work", "library/patterns/a.md", "---\ntitle: A\nttl: 2w\nupdated: 2026-01-01\n---\nbody")
+    catalog = parse_articles(spark.createDataFrame([article], "brain string, path string, content string"))
+    sessions = spark.createDataFrame([("work", "s1", 1, "hi")], "brain string, session_file string, seq long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = compile_context(catalog, sessions)
+        assert out.count() == 4 - 1
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not [line for line in plan.splitlines() if "SortMergeJoin [brain" in line and "LeftOuter" not in line]
