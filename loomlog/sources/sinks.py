@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,6 +66,60 @@ def write_document(lines: DataFrame, order: Sequence[Column | str], path: str, c
     lines.orderBy(*order).select(col).write.text(path)
 
 
+def write_text_files(rows: DataFrame, root: str, by: Sequence[str], col: str, order: Sequence[str] = ()) -> None:
+    """Write each group of `by` as one text file of its `col` values, a line each, in `order`:
+    `<root>/<by>=<value>/../<file>`, the layout of a text table partitioned by these columns. A group of any size
+    is written as its rows come.
+
+    In a local folder the tasks write the files themselves: Hadoop's local file system without its native library
+    starts a process to set the permissions of every folder, file and checksum file, which costs far more than
+    the file. A file appears whole under its one name, so a task that runs again leaves no second copy."""
+    spark, keys = rows.sparkSession, list(by)
+    # Null and the empty text share a folder.
+    named = rows.withColumns({k: F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys})
+    groups = named.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, col)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    target = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if target.getScheme() == "file":
+        os.makedirs(target.getPath())
+        groups.mapInArrow(_file_writer(target.getPath(), keys), "files long").agg(F.sum("files")).collect()
+    else:
+        groups.write.partitionBy(*keys).option("lineSep", "\n").text(root)
+
+
+def _folder_value(value: str | None) -> str:
+    """A value in a folder name, escaped as Spark does."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _file_writer(root: str, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, folder, out, files = None, "", None, 0
+        hidden = f".{uuid.uuid4().hex}"
+
+        def finish() -> None:
+            if out:
+                out.close()
+                os.replace(f"{folder}/{hidden}", f"{folder}/part-00000.txt")
+
+        for batch in batches:
+            *values, texts = [c.to_pylist() for c in batch.columns]
+            for key, group in groupby(zip(zip(*values), texts), itemgetter(0)):
+                if key != last:
+                    finish()
+                    last, folder = key, "/".join([root, *(f"{k}={_folder_value(v)}" for k, v in zip(keys, key))])
+                    os.makedirs(folder, exist_ok=True)
+                    out, files = open(f"{folder}/{hidden}", "wb"), files + 1
+                for _, text in group:
+                    out.write(f"{text or ''}\n".encode())
+        finish()
+        yield pa.record_batch({"files": pa.array([files], pa.int64())})
+
+    return run
+
+
 def write_cursor(rows: DataFrame, root: str) -> None:
     """Append resume points (brain, cursor_date, cursor_session, run_ts)."""
     rows.write.mode("append").parquet(root)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog import registry
 from loomlog.functions import front_matter as fm
 from loomlog.operators import changelog as ch
 from loomlog.operators import curation as cu
@@ -215,6 +216,35 @@ def test_read_articles(spark, tmp_path):
         readers.read_articles(spark, f"{tmp_path}/[x]", "work").collect()
 
 
+def test_text_files_as_a_partitioned_text_table(spark, tmp_path):
+    """The same folders, lines and order as Spark's writer, one file a group, whatever the values hold."""
+    days = ["2026-04-01", None, "a/b:c=d%e", "q'\"#?*\\{[]}^ +\t\x7f"]
+    rows = spark.createDataFrame([(d, f"n{k % 3}", k, None if k % 7 == 6 else f"line {k}\r") for k in range(60) for d in days],
+                                 "day string, name string, at int, line string")
+    plain = rows.repartition("day", "name").sortWithinPartitions("day", "name", "at").select("day", "name", "line")
+    plain.write.partitionBy("day", "name").text(f"{tmp_path}/spark")
+    sinks.write_text_files(rows, f"file:{tmp_path}/own", ["day", "name"], "line", ["at"])
+
+    def files(at, pattern):
+        return sorted((str(f.parent.relative_to(at)), f.read_bytes()) for f in at.rglob(pattern))
+    assert files(tmp_path / "own", "part-*") == files(tmp_path / "spark", "part-*")
+    assert len(files(tmp_path / "own", "part-*")) == len([f for f in (tmp_path / "own").rglob("*") if f.is_file()]) == 12
+    sinks.write_text_files(spark.createDataFrame([("", "x"), (None, "y")], "k string, line string"), f"{tmp_path}/none", ["k"], "line", ["line"])
+    assert files(tmp_path / "none", "*.txt") == [("k=__HIVE_DEFAULT_PARTITION__", b"x\ny\n")]
+
+
+@pytest.mark.parametrize("query, one", [("read_articles", "path=*")])
+def test_many_files_are_written_without_checksum_files(spark, tmp_path, monkeypatch, query, one):
+    """Each costs Hadoop's local file system a process, as do the folder and the file."""
+    monkeypatch.setattr(registry, "fresh_folder", lambda spark, name: f"{tmp_path}/{name}")
+    spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.createDataFrame([(k // 3, k % 3, "user", f"text {k}") for k in range(90)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/in/conversations.parquet")
+    found = registry.QUERIES[query](spark, f"{tmp_path}/in").count()
+    made = [f for f in tmp_path.glob("[!i]*/**/*") if f.is_file()]
+    assert len(made) == len({f.parent for f in made}) >= 30 and all(f.match(f"{one}/*") and f.suffix == ".txt" for f in made)
+    assert found >= 30
+
+
 def test_read_session_logs(spark, tmp_path):
     day = tmp_path / "2026-04-01"
     day.mkdir()
