@@ -233,7 +233,7 @@ def test_text_files_as_a_partitioned_text_table(spark, tmp_path):
     assert files(tmp_path / "none", "*.txt") == [("k=__HIVE_DEFAULT_PARTITION__", b"x\ny\n")]
 
 
-@pytest.mark.parametrize("query, one", [("read_articles", "path=*"), ("read_session_logs", "day=*/name=*")])
+@pytest.mark.parametrize("query, one", [("read_articles", "path=*"), ("read_session_logs", "day=*/name=*"), ("read_transcripts", "session_id=*")])
 def test_many_files_are_written_without_checksum_files(spark, tmp_path, monkeypatch, query, one):
     """Each costs Hadoop's local file system a process, as do the folder and the file."""
     monkeypatch.setattr(registry, "fresh_folder", lambda spark, name: f"{tmp_path}/{name}")
