@@ -102,3 +102,30 @@ def test_one_template(spark, own, monkeypatch):
     for name in ("buckets", "leaders", "hits", "waiting"):
         assert made[200].get(name, 0) <= 2.5 * made[100].get(name, 0), (name, made)
     assert made[200].get("hits", 0) <= 200 * 8
+
+
+def test_repeated_rows_and_paths(spark):
+    """Copies, rows that come twice, one path with two texts, nulls: one row per article that has a partner."""
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [("w", "p1", one), ("w", "p1", one), ("w", "p2", one), ("w", "p2", other), ("w", "p3", other + " c"), ("w", "p4", "alone here now"),
+            ("v", "p5", one), ("w", None, other), ("w", "p6", ""), ("w", "p7", None), ("w", "p8", "")]
+    c = lb.parse_articles(spark.createDataFrame(rows, "brain string, path string, content string"))
+    got = {(r["brain"], r["path"]) for r in nd.near_duplicate_articles(c).collect()}
+    assert got == {("w", "p1"), ("w", "p2"), ("w", "p3"), ("w", None)}
+
+
+def test_shingles_are_shuffled_once_each_way(spark, monkeypatch):
+    """Rows, one for each shingle, are dealt by shingle once and by article once, and sets of articles without a
+    candidate are not dealt at all."""
+    plans, keep = {}, nd.saved
+    def kept(df, name, *args):  # noqa: E306
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, *args)
+    monkeypatch.setattr(nd, "saved", kept)
+    texts = {f"library/{i:03}.md": " ".join(f"o{i}x{j}" for j in range(40)) for i in range(60)}
+    texts["library/a.md"], texts["library/b.md"] = (" ".join([f"s{j}" for j in range(40)] + [end]) for end in "ab")
+    assert set(run(spark, texts)) == {"library/a.md", "library/b.md"}
+    dealt = [line.split("hashpartitioning(")[1].split("#")[0] for line in plans["buckets"].split("\n") if "Exchange hashpartitioning(" in line]
+    assert dealt.count("key") == 1
+    signed = spark.createDataFrame([(k, "w", [k]) for k in range(1000)], "id long, brain string, shingles array<bigint>")
+    assert nd._sets(signed, spark.createDataFrame([(5, 9)], "id long, partner long")).count() < 100
