@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import os
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +23,11 @@ RESPONSE_SCHEMA = ("run_id long, kind string, brain string, log_date date, sessi
                    "run_ts timestamp, text string")
 
 _ROW_BITS = (1 << 33) - 1
+#: Rows and bytes of files that a task holds before it hands them on.
+_FILE_ROWS, _FILE_BYTES = 10_000, 4 << 20
+#: Files that Spark unpacks by their suffix; the others need its own readers.
+_UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".deflate": zlib.decompress}
+_PACKED = (".lz4", ".snappy", ".zst")
 
 
 def _path() -> Column:
@@ -82,17 +95,97 @@ def read_session_logs(spark: SparkSession, root: str, day_pattern: str = r"/(\d{
             .withColumn("hhmmss", log_name_time(name)).withColumn("session_id", log_name_session(name)))
 
 
+def _is_shown(name: str, folder: bool) -> bool:
+    """Names that Spark's file sources do not take for hidden."""
+    listed = "=" in name or folder and name.startswith(("_metadata", "_common_metadata"))
+    return not (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and not listed)
+
+
+def _entries(folder: str, deep: bool) -> Iterator[tuple[str, bool]]:
+    """(path, is folder) of what lies in a folder or, with `deep`, of all files below it, as they are listed."""
+    with os.scandir(folder) as found:
+        for e in found:
+            folder = e.is_dir()
+            if _is_shown(e.name, folder):
+                if folder:
+                    yield from _entries(e.path, True) if deep else [(e.path, True)]
+                elif e.is_file():
+                    yield e.path, False
+
+
+def _lister(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found = (entry for path, folder in given for entry in (_entries(path, deep) if folder else [(path, False)]))
+        for rows in batched(found, _FILE_ROWS):
+            paths, folders = zip(*rows)
+            yield pa.record_batch({"file": pa.array(paths, pa.string()), "folder": pa.array(folders, pa.bool_())})
+
+    return run
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held() -> pa.RecordBatch:
+        return pa.record_batch({"file": pa.array(paths, pa.string()), "value": pa.array(texts, pa.binary())})
+
+    paths, texts, size = [], [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                text = f.read()
+            if not text:
+                continue  # a file source has no row for it
+            suffix = os.path.splitext(path)[1]
+            if suffix in _PACKED:
+                raise ValueError(f"packed in a way that cannot be read here: {path}")
+            text = _UNPACK.get(suffix, bytes)(text)
+            paths.append(path)
+            texts.append(text)
+            size += len(text)
+            if size >= _FILE_BYTES or len(paths) >= _FILE_ROWS:
+                yield held()
+                paths, texts, size = [], [], 0
+    if paths:
+        yield held()
+
+
+def _local_files(spark: SparkSession, base: str, glob: str) -> DataFrame:
+    """(file, value) of every file below a local folder that all tasks see. Tasks list the folders and read the
+    files, so no list of files passes through the driver; names are listed as they come and dealt out twice: what lies
+    in the folder itself, then all files."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = "file string, folder boolean"
+    root = spark.range(0, 1, 1, 1).select(F.lit(base).alias("file"), F.lit(True).alias("folder"))
+    inside = root.mapInArrow(_lister(False), names).repartition(tasks, "file")
+    # The pattern as Hadoop reads it: braces, classes.
+    named = F.lit(rf"(?s)/(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})\z")
+    files = inside.mapInArrow(_lister(True), names).select("file").filter(F.regexp(F.concat(F.lit("/"), F.substring_index("file", "/", -1)), named))
+    return (files.repartition(tasks, "file").mapInArrow(_read_whole, "file string, value binary")
+            .select("file", F.col("value").cast("string").alias("value")))
+
+
+def _spark_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """The same by Spark's reader, which lists all files on the driver."""
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .text(root, wholetext=True).select(_path().alias("file"), "value"))
+
+
 def read_articles(spark: SparkSession, root: str, brain: str, prefix: str = "library/", glob: str = "*.md") -> DataFrame:
     """Articles below `root` (brain, path, content), without the generated files at the root.
     One article is one document written by one edit, so it is read as one value. `root` is one
-    folder in any file system; a file that does not lie below it by name is an error."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    folder in any file system; a file that does not lie below it by name is an error.
+
+    A local folder is listed and read by the tasks, when the rows are asked for: the driver holds nothing that grows with the
+    number of files. Elsewhere Spark lists the files, on the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.toUri().getPath().rstrip("/") + "/"
     below = r"\A(?:[^:/]+:(?://[^/]*)?)?\Q" + base + r"\E(.+)\z"
-    rel = F.when(_path().rlike(below), F.regexp_extract(_path(), below, 1)).otherwise(
-        F.raise_error(F.concat(F.lit(f"not below {base}: "), _path())))
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-            .text(root, wholetext=True)
-            .select(F.lit(brain).alias("brain"), rel.alias("_rel"), unix_newlines(F.col("value")).alias("content"))
+    scheme = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getScheme()
+    local = scheme == "file" and base.startswith("/") and not set(base) & set("{}[]*?\\") and os.path.isdir(base)
+    files = _local_files(spark, base, glob) if local else _spark_files(spark, root, glob)
+    rel = F.when(F.col("file").rlike(below), F.regexp_extract("file", below, 1)).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("file"))))
+    return (files.select(F.lit(brain).alias("brain"), rel.alias("_rel"), unix_newlines(F.col("value")).alias("content"))
             .filter(~F.col("_rel").isin(*GENERATED_FILES))
             .select("brain", F.concat(F.lit(prefix), "_rel").alias("path"), "content"))
 

@@ -1,6 +1,8 @@
-from datetime import date
-
+import bz2
+import gzip
 import random
+import zlib
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +218,37 @@ def test_read_articles(spark, tmp_path):
         readers.read_articles(spark, f"{tmp_path}/[x]", "work").collect()
 
 
+@pytest.mark.parametrize("glob", ["*", "*.md", "{a,p*}.[mgb]*"])
+def test_tasks_list_and_read_the_files_that_spark_would(spark, tmp_path, glob):
+    """Whatever the names and bytes; and nothing that the driver holds names a file."""
+    names = ["a.md", "b c+d%2F.md", "d/e/f/g.md", "d/index.md", "d/_x.md", "d/.y.md", "q.md/z.md", "t.txt", "n\nl.md", "[z]/w.md", "index.md", "_h.md",
+             "_k=v.md", "_metadata.md", "x._COPYING_", "_d/in.md", "_d=1/in.md", ".d/in.md", "_metadata/in.md", "r/_common_metadata"]
+    texts = {**{n: n.encode() for n in names}, "empty.md": b"", "cr.md": b"a\r\nb\rc", "bad.md": b"\xff\xfe\x80 ok", "bom.md": b"\xef\xbb\xbfok", "nul.md": b"a\0b",
+             "p.gz": gzip.compress(b"hello"), "p.bz2": bz2.compress(b"hey"), "p.deflate": zlib.compress(b"ho"), "e.gz": gzip.compress(b"")}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "ld").symlink_to(tmp_path / "d")
+    (tmp_path / "la.md").symlink_to(tmp_path / "a.md")
+    (tmp_path / "broken.md").symlink_to(tmp_path / "nowhere")
+    value = F.hex(F.col("value").cast("binary"))
+    theirs = readers._spark_files(spark, str(tmp_path), glob).select(F.regexp_replace("file", "^file:(//)?", ""), value).collect()
+    ours = readers._local_files(spark, f"{tmp_path}/", glob).select("file", value).collect()
+    assert sorted(map(tuple, ours)) == sorted(map(tuple, theirs)) and len(ours) >= 3
+    articles = readers.read_articles(spark, str(tmp_path), "work", glob=glob)
+    assert articles.inputFiles() == [] and "a.md" not in articles._jdf.queryExecution().toString()
+    (tmp_path / "n\nl.md").unlink()  # an error, as it was
+    assert articles.count() == len([f for f in theirs if f[0] not in (f"{tmp_path}/index.md", f"{tmp_path}/n\nl.md")])
+
+
+def test_packed_files_that_cannot_be_read_are_an_error(spark, tmp_path):
+    (tmp_path / "a.md.snappy").write_bytes(b"x")
+    with pytest.raises(Exception, match="packed in a way"):
+        readers.read_articles(spark, str(tmp_path), "work", glob="*").collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_articles(spark, f"{tmp_path}/none", "work")
+
+
 def test_text_files_as_a_partitioned_text_table(spark, tmp_path):
     """The same folders, lines and order as Spark's writer, one file a group, whatever the values hold."""
     days = ["2026-04-01", None, "a/b:c=d%e", "q'\"#?*\\{[]}^ +\t\x7f"]
