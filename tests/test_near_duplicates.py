@@ -129,3 +129,18 @@ def test_shingles_are_shuffled_once_each_way(spark, monkeypatch):
     assert dealt.count("key") == 1
     signed = spark.createDataFrame([(k, "w", [k]) for k in range(1000)], "id long, brain string, shingles array<bigint>")
     assert nd._sets(signed, spark.createDataFrame([(5, 9)], "id long, partner long")).count() < 100
+
+
+def test_plans_do_not_grow_with_the_articles(spark, monkeypatch):
+    """The driver holds, logs and prints plans many times over: the keys of copies and of pairs are in none."""
+    longest, keep = [], nd.saved
+    def kept(df, name, *args):  # noqa: E306
+        longest[-1] = max(longest[-1], len(df._jdf.queryExecution().toString()))
+        return keep(df, name, *args)
+    monkeypatch.setattr(nd, "saved", kept)
+    for n in (20, 600):
+        longest.append(0)
+        texts = {f"library/{i:04}{end or 'a'}.md": " ".join([f"o{i}x{j}" for j in range(30)] + [end]) for i in range(n) for end in ("", "b", "b c", "c b")}
+        texts |= {f"library/{i:04}copy.md": texts[f"library/{i:04}a.md"] for i in range(n)}
+        assert set(run(spark, texts)) == set(texts)
+    assert longest[1] < 1.05 * longest[0]

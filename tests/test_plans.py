@@ -11,7 +11,7 @@ from loomlog.operators import redaction as rd
 from loomlog.operators import routing as ro
 from loomlog.operators.changelog import changelog
 from loomlog.operators.library import compile_context, parse_articles, review_context
-from loomlog.plans.key_filter import KeyFilter
+from loomlog.plans.key_filter import KeyFilter, KeyTable
 from loomlog.plans.ordered import join_group_value, latest_per_key, previous_value, range_chunks, running_sum
 from loomlog.registry import SCOPE_RULES
 
@@ -156,6 +156,27 @@ def test_key_filter_of_many_keys(spark):
     assert found == 1_000_000 and wrong < 200_000 * 0.05
 
 
+@pytest.mark.parametrize("n", [0, 20, 5000, 200_000])
+def test_key_table_parts_rows_and_is_in_no_plan(spark, n):
+    """All keys and few others are among those that may be held; the rest of the rows, and no others, are not."""
+    known = KeyTable(spark.range(n).select(F.xxhash64("id").alias("k")), "k", n)
+    rows = spark.range(n + 20_000)
+    held, rest = known.may_hold(rows, F.xxhash64("id")), known.holds_not(rows, F.xxhash64("id"))
+    found = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < n).alias("keys")).first()
+    assert found["keys"] == n and found["n"] - n <= 1500 and found["n"] + rest.count() == n + 20_000
+    assert held.join(rest, "id").count() == 0
+    for df in (held, rest):
+        assert "BroadcastNestedLoopJoin" in plan(df) and len(df._jdf.queryExecution().toString()) < 10_000
+
+
+def test_key_table_and_key_filter_hold_the_same(spark):
+    keys, rows = spark.range(3000).select(F.xxhash64("id").alias("k")), spark.range(30_000)
+    for most in (26, 12):
+        literal = rows.filter(KeyFilter(keys, "k", 3000, most).may_hold(F.xxhash64("id")))
+        written = KeyTable(keys, "k", 3000, most).may_hold(rows, F.xxhash64("id"))
+        assert sorted(r["id"] for r in written.collect()) == sorted(r["id"] for r in literal.collect())
+
+
 def test_compile_context_moves_no_texts(spark):
     """Whatever Spark knows of sizes, the texts of a library are not sent to one task to meet its count."""
     article = ("work", "library/patterns/a.md", "---\ntitle: A\nttl: 2w\nupdated: 2026-01-01\n---\nbody")
