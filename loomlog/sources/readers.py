@@ -25,9 +25,6 @@ RESPONSE_SCHEMA = ("run_id long, kind string, brain string, log_date date, sessi
 _ROW_BITS = (1 << 33) - 1
 #: Rows and bytes of files that a task holds before it hands them on.
 _FILE_ROWS, _FILE_BYTES = 10_000, 4 << 20
-#: Files that Spark unpacks by their suffix; the others need its own readers.
-_UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".deflate": zlib.decompress}
-_PACKED = (".lz4", ".snappy", ".zst")
 
 
 def _path() -> Column:
@@ -124,6 +121,60 @@ def _lister(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _lz4_size(data: bytes) -> int:
+    """Bytes that a raw LZ4 block holds: literals and matches, their lengths carried on while they are 255."""
+    at, size = 0, 0
+
+    def length(n: int) -> int:
+        nonlocal at
+        more = n == 15
+        while more:
+            n, more, at = n + data[at], data[at] == 255, at + 1
+        return n
+
+    while at < len(data):
+        token, at = data[at], at + 1
+        literals = length(token >> 4)
+        at, size = at + literals, size + literals
+        if at < len(data):
+            at += 2
+            size += length(token & 15) + 4
+    return size
+
+
+def _snappy_size(data: bytes) -> int:
+    size = 0
+    for n, byte in enumerate(data):
+        size |= (byte & 127) << 7 * n
+        if byte < 128:
+            break
+    return size
+
+
+def _unpack_blocks(codec: str, size: Callable[[bytes], int]) -> Callable[[bytes], bytes]:
+    """Hadoop's block files: the length of a block, then its chunks, each after its packed length."""
+    def run(data: bytes) -> bytes:
+        at, out = 0, bytearray()
+        while at < len(data):
+            end, at = len(out) + int.from_bytes(data[at:at + 4], "big"), at + 4
+            while len(out) < end:
+                n, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+                chunk, at = data[at:at + n], at + n
+                out += pa.Codec(codec).decompress(chunk, size(chunk), asbytes=True)
+        return bytes(out)
+
+    return run
+
+
+def _unpack_zstd(data: bytes) -> bytes:
+    return pa.input_stream(pa.BufferReader(data), compression="zstd").read()
+
+
+#: Files that Spark unpacks, by their suffix.
+_UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".deflate": zlib.decompress, ".zst": _unpack_zstd,
+           ".lz4": _unpack_blocks("lz4_raw", _lz4_size), ".snappy": _unpack_blocks("snappy", _snappy_size)}
+
+
 def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def held() -> pa.RecordBatch:
         return pa.record_batch({"file": pa.array(paths, pa.string()), "value": pa.array(texts, pa.binary())})
@@ -135,10 +186,7 @@ def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = f.read()
             if not text:
                 continue  # a file source has no row for it
-            suffix = os.path.splitext(path)[1]
-            if suffix in _PACKED:
-                raise ValueError(f"packed in a way that cannot be read here: {path}")
-            text = _UNPACK.get(suffix, bytes)(text)
+            text = _UNPACK.get(os.path.splitext(path)[1], bytes)(text)
             paths.append(path)
             texts.append(text)
             size += len(text)

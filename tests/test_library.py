@@ -4,6 +4,7 @@ import random
 import zlib
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,10 +242,18 @@ def test_tasks_list_and_read_the_files_that_spark_would(spark, tmp_path, glob):
     assert articles.count() == len([f for f in theirs if f[0] not in (f"{tmp_path}/index.md", f"{tmp_path}/n\nl.md")])
 
 
-def test_packed_files_that_cannot_be_read_are_an_error(spark, tmp_path):
-    (tmp_path / "a.md.snappy").write_bytes(b"x")
-    with pytest.raises(Exception, match="packed in a way"):
-        readers.read_articles(spark, str(tmp_path), "work", glob="*").collect()
+@pytest.mark.parametrize("codec", ["lz4", "snappy", "gzip", "bzip2", "deflate"])
+def test_packed_files_are_unpacked_as_by_spark(spark, tmp_path, codec):
+    """Of many blocks, of one, of runs, empty."""
+    for name, n, text in (("big", 20_000, F.sha2(F.col("id").cast("string"), 256)), ("small", 1, F.lit("h\u00e9 hey hey hey hey")), ("runs", 3000, F.lit("a" * 700)), ("none", 1, F.lit(""))):
+        spark.range(n).coalesce(1).select(text.alias("v")).write.option("compression", codec).text(f"{tmp_path}/{name}")
+    (tmp_path / "a.zst").write_bytes(pa.Codec("zstd").compress(b"hello", asbytes=True))
+    key = [F.substring_index("file", "/", -2), F.length("value"), F.md5(F.col("value").cast("binary"))]
+    ours, theirs = readers._local_files(spark, f"{tmp_path}/", "*").select(*key).collect(), readers._spark_files(spark, str(tmp_path), "*").select(*key).collect()
+    assert sorted(map(tuple, ours)) == sorted(map(tuple, theirs)) and len(ours) >= 5
+
+
+def test_no_folder_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_articles(spark, f"{tmp_path}/none", "work")
 
